@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import exact_dedup, minhash
+from tessella.llm import exact_dedup, language_id, minhash, mixing, packing, token_ids
 
-_MODULES = (exact_dedup, minhash)
+_MODULES = (token_ids, packing, exact_dedup, language_id, mixing, minhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import exact_dedup, language_id, minhash, mixing, packing, token_ids
+from tessella.llm import exact_dedup, language_id, license_scan, minhash, mixing, packing, quality_rules, token_counts, token_ids
 
-_MODULES = (token_ids, packing, exact_dedup, language_id, mixing, minhash)
+_MODULES = (token_ids, license_scan, packing, exact_dedup, token_counts, language_id, quality_rules, mixing, minhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,35 +7,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import LOWER, LOWER_BYTES, NOT_SPACE, discard, documents, mixed, raw, shingles, slices, small_batches, stored, word_hashes, words
 from tessella.llm.graph import components
 
-#: Coordinates of a signature, and how many must be equal for a pair to be looked at. Two documents at similarity 0.8 have
-#: at least 34 of 64 in common but for one pair in 10 million.
-COORDINATES, MATCHES = 64, 34
+#: Coordinates of a signature, hash functions whose least values make up one coordinate, and how many coordinates must be
+#: equal for a pair to be looked at. At similarity 0.8 a coordinate is equal with probability 0.512; fewer than 8 of 48
+#: are for one pair in 7 million. Unrelated texts share single least values, but hardly three at once.
+COORDINATES, JOINED, MATCHES = 48, 3, 8
+#: The last byte of every least value is kept, too: so many of 144 must be equal, or a pair isn't confirmed. At similarity
+#: 0.8 fewer are for one pair in 18 million.
+BYTES, EQUAL_BYTES = COORDINATES * JOINED, 88
 _rng = np.random.default_rng(8128)
-_ODD = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
+_ODD = _rng.integers(0, 2**63, BYTES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _rng.integers(0, 2**63, BYTES, dtype=np.uint64)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _signatures(k: int, coordinates: int):
-    odd, flip = _ODD[:coordinates, None], _FLIP[:coordinates, None]
-    place = np.arange(coordinates, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def _signatures(k: int):
+    odd, flip = _ODD[:, None], _FLIP[:, None]
+    place = np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    def signature(s: np.ndarray) -> np.ndarray:
-        least = np.full(coordinates, 2**64 - 1, np.uint64)
-        for at in range(0, len(s), 4096):
-            np.minimum(least, ((s[None, at : at + 4096] ^ flip) * odd).min(axis=1), out=least)
-        return mixed(least + place).view(np.int64)
+    def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        least = np.full(BYTES, 2**64 - 1, np.uint64)
+        for at in range(0, len(s), 1024):
+            np.minimum(least, ((s[None, at : at + 1024] ^ flip) * odd).min(axis=1), out=least)
+        least = mixed(least)
+        token = place
+        for j in range(JOINED):
+            token = mixed(token + least[j::JOINED])
+        return token.view(np.int64), (least & np.uint64(255)).astype(np.uint8).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = raw(batch.column(1))
-            keys, sizes, tokens, has = [], [], [], []
+            keys, sizes, tokens, sketches, has = [], [], [], [], []
             for _, _, d, o in slices(data, offsets):
                 d = LOWER_BYTES[d]
                 starts, ends, counts = words(d, o, NOT_SPACE)
@@ -44,13 +52,16 @@ def _signatures(k: int, coordinates: int):
                     has.append(len(s) > 0)
                     if len(s):
                         keys.append(np.array([np.bitwise_xor.reduce(mixed(s)), np.add.reduce(mixed(s * np.uint64(3)))], np.uint64).tobytes() + len(s).to_bytes(4, "little"))
-                        tokens.append(signature(s))
+                        token, sketch = signature(s)
+                        tokens.append(token)
+                        sketches.append(sketch)
                     else:
                         keys.append(None)
-            flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
-            ends = np.cumsum(np.array(has, np.int32), dtype=np.int32) * coordinates if has else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n_shingles", "set_key", "tokens"])
+            lists = []
+            for parts, size in ((tokens, COORDINATES), (sketches, BYTES // 8)):
+                ends = np.concatenate([[0], np.cumsum(np.array(has, np.int32)) * size]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *lists], names=["doc_id", "n_shingles", "set_key", "tokens", "sketch"])
 
     return run
 
@@ -78,12 +89,23 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int, least: int) -> DataFrame:
-    """Of the pairs (a, b) of class representatives, those with enough equal coordinates and then a high enough similarity."""
-    sig = signed.select("doc_id", "n_shingles", "tokens")
-    left = sig.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("tokens").alias("xa"))
-    right = sig.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("tokens").alias("xb"))
-    near = pairs.join(left, "a").join(right, "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.size(F.array_intersect("xa", "xb")) >= least))
+def _different_bytes(a: str, b: str) -> Column:
+    """How many bytes differ between two sketches: each byte's bits are folded into its last, and those are counted."""
+    total = None
+    for i in range(BYTES // 8):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        n = F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+        total = n if total is None else total + n
+    return total
+
+
+def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of class representatives, those with enough equal bytes and then a high enough similarity."""
+    left = signed.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("xa"))
+    right = signed.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("xb"))
+    near = pairs.join(left, "a").join(right, "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_different_bytes("xa", "xb") <= BYTES - EQUAL_BYTES))
     near = stored(near.select("a", "b"))
     needed = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = stored(docs.join(needed, "doc_id", "left_semi"))
@@ -94,7 +116,7 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, k: int, per
     return out
 
 
-def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of distinct word shingles (a document of
@@ -102,33 +124,36 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     1. Equal sets are one class, represented by its smallest id; only representatives go on.
     2. Each representative is posted under each (coordinate, value) of its signature. In the order of global frequency,
-       rarest first, two documents with `matches` equal coordinates must meet under one of the first
-       coordinates - matches + 1; values that nobody else has use these places up, so a document with too many of them
+       rarest first, two documents with MATCHES equal coordinates must meet under one of the first
+       COORDINATES - MATCHES + 1; values that nobody else has use these places up, so a document with too many of them
        drops out. The remaining, longer lists are skipped: they are only probed, pair by pair, to count all collisions.
-    3. In each list all are paired with the smallest id first, and pairs above the match threshold are confirmed on full
+    3. In each list all are paired with the smallest id first, and pairs whose signatures agree enough are confirmed on full
        sets and joined into components. Then, where a list still has several components, each document outside the
        list's largest component is paired with those of other components. So no link between components is lost,
        while a group of copies costs one pair per copy and list, not all pairs.
 
+    The signature's parameters are for a percent of 80 or more; lower ones are refused.
+
     Null text is empty. A null id isn't compared: its component_id is null and it is kept. Rows that repeat an id must repeat
     its text; they share a component and are all kept or dropped together. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    if percent < 80:
+        raise ValueError("the signatures are made for 80 percent or more")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = stored(docs.mapInArrow(_signatures(shingle_words, coordinates), "doc_id long, n_shingles long, set_key binary, tokens array<long>"))
+    signed = stored(docs.mapInArrow(_signatures(shingle_words), "doc_id long, n_shingles long, set_key binary, tokens array<long>, sketch array<long>"))
     usable = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = stored(usable.join(classes, (usable.set_key == classes.set_key) & (usable.doc_id == classes.rep)).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "tokens"))
+    reps = stored(usable.join(classes, (usable.set_key == classes.set_key) & (usable.doc_id == classes.rep)).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "tokens", "sketch"))
 
     posts = reps.select("doc_id", F.explode("tokens").alias("token"))
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ordered = posts.join(shared, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order")).where(F.size("order") >= matches)
-    lists = stored(ordered.select("doc_id", F.explode(F.slice("order", F.lit(1), F.size("order") - (matches - 1))).alias("t")).select(F.col("t.token").alias("token"), "doc_id"))
+    ordered = posts.join(shared, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order")).where(F.size("order") >= MATCHES)
+    lists = stored(ordered.select("doc_id", F.explode(F.slice("order", F.lit(1), F.size("order") - (MATCHES - 1))).alias("t")).select(F.col("t.token").alias("token"), "doc_id"))
 
     pivots = lists.groupBy("token").agg(F.min("doc_id").alias("a"))
     star = lists.join(pivots, "token").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = _confirmed(star, reps, docs, shingle_words, percent, matches)
+    links = _confirmed(star, reps, docs, shingle_words, percent)
     labels = components(links)
 
     labelled = lists.join(labels, lists.doc_id == labels.id, "left").select("token", "doc_id", F.coalesce("label", "doc_id").alias("label"))
@@ -138,7 +163,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     others = open_lists.select("token", F.col("doc_id").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"))
     rest = minor.join(others, "token").where("lx <> ly AND (in_main OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = rest.join(star, ["a", "b"], "left_anti")
-    more = _confirmed(rest, reps, docs, shingle_words, percent, matches)
+    more = _confirmed(rest, reps, docs, shingle_words, percent)
     reached = components(links.unionByName(more))
 
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")

@@ -44,7 +44,7 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     columns = cells.groupBy(F.col(b).alias("c")).agg(F.sum("n").alias("rb"))
     chance = rows.join(columns, "c").agg(F.coalesce(F.sum(F.col("ra") * F.col("rb")), F.lit(0)).alias("cross"))
     po, pe = F.col("same") / F.col("n"), F.col("cross") / (F.col("n") * F.col("n"))
-    both = total.crossJoin(chance).select("n", po.alias("po"), pe.alias("pe"))  # one row each
+    both = total.withColumn("one", F.lit(1)).join(chance.withColumn("one", F.lit(1)), "one").select("n", po.alias("po"), pe.alias("pe"))
     return both.select("n", "po", "pe", F.when(F.col("pe") < 1, (F.col("po") - F.col("pe")) / (1 - F.col("pe"))).when(F.col("po") >= 1, 1.0).alias("kappa"), (2 * F.col("po") - 1).alias("pabak"))
 
 
@@ -66,7 +66,7 @@ def operating_point(rows: DataFrame, score: str, positive: str, most: float = 0.
     counts = _by_score(rows, score, positive)
     above = W.orderBy(F.desc(score))
     totals = counts.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    points = counts.select(F.col(score).alias("threshold"), F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp")).crossJoin(F.broadcast(totals))  # totals: one row
+    points = counts.select(F.col(score).alias("threshold"), F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.lit(1).alias("one")).join(totals.withColumn("one", F.lit(1)), "one")
     points = points.select("threshold", (F.col("tp") / F.col("n_pos")).alias("sensitivity"), (F.col("fp") / F.col("n_neg")).alias("fpr")).where(F.col("fpr") <= most)
     return points.orderBy(F.desc("sensitivity"), F.desc("threshold")).limit(1)
 

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import documents, partitions, raw, shared_dir, small_batches, stored, word_hashes
+from tessella.llm.common import documents, mixed, partitions, raw, shared_dir, small_batches, word_hashes
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 50
@@ -264,65 +264,102 @@ def _words(t: np.ndarray) -> np.ndarray:
     return ((four[:-4] << np.uint64(32)) | four[4:])[: len(t)]
 
 
-def _dense(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
+def _fingerprint(parts: list[np.ndarray]) -> np.ndarray:
+    h = mixed(parts[0])
+    for x in parts[1:]:
+        h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + x)
+    return h
+
+
+def _grouped(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys (of several words) stand together, and where each run of equal ones begins.
+
+    Sorting one fingerprint is far quicker than sorting by several words. Neighbours' words are compared; should two keys
+    with one fingerprint differ, all is sorted by the words.
+    """
+    h = _fingerprint(parts)
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    equal = same.copy()
+    for x in parts:
+        equal &= x[order[1:]] == x[order[:-1]]
+    if (same != equal).any():
+        order = np.lexsort(parts[::-1])
+        equal = np.ones(max(len(order) - 1, 0), bool)
+        for x in parts:
+            equal &= x[order[1:]] == x[order[:-1]]
+    return order, np.concatenate([[True], ~equal])[: len(order)]
+
+
+def _ranked(parts: list[np.ndarray]) -> np.ndarray:
+    """The dense rank, from 1 on, of each key among all in the order of its words; only different keys are sorted by words."""
+    order, new = _grouped(parts)
+    first = order[new]
+    sort = np.lexsort([x[first] for x in parts[::-1]])
+    rank = np.empty(len(first), np.int64)
+    rank[sort] = np.arange(1, len(first) + 1)
     out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new) + 1
+    out[order] = rank[np.cumsum(new) - 1]
     return out
 
 
-def cover_ranks(t: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """For the positions of the cover the rank of their suffixes by 2 * PERIOD bytes, 1 and up; 0 elsewhere and past the end.
+_PREFIX = (0, 8, 16, PERIOD - 8)
+
+
+def cover_ranks(word: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For the positions of the cover in the PERIOD bytes from each start on, the rank of their suffixes by 2 * PERIOD bytes; 0 elsewhere.
 
     Ranks by PERIOD bytes come first; PERIOD further on is a position of the cover, too, so pairs of these ranks give
     those by twice as many bytes.
     """
-    at = np.flatnonzero(_IN_COVER[np.arange(len(t)) % PERIOD])
-    parts = [word[at + x] for x in (0, 8, 16, PERIOD - 8)]
+    edge = np.zeros(len(word) + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + PERIOD, -1)
+    at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    at = at[_IN_COVER[at % PERIOD]]
+    both = np.union1d(at, at + PERIOD)
     ranks = np.zeros(len(word) + PERIOD, np.int64)
-    ranks[at] = _dense(np.lexsort(parts[::-1]), *parts)
-    parts = [ranks[at], ranks[at + PERIOD]]
-    double = _dense(np.lexsort(parts[::-1]), *parts)
+    ranks[both] = _ranked([word[both + x] for x in _PREFIX])
+    double = _ranked([ranks[at].view(np.uint64), ranks[at + PERIOD].view(np.uint64)])
+    ranks[:] = 0
     ranks[at] = double
     return ranks
 
 
 def suffix_order(t: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The starts in the order of their suffixes, and whether each has LENGTH bytes in common with the one before.
+    """The starts in runs of suffixes with LENGTH bytes in common, and whether each goes on the run of the one before.
 
-    Suffixes are sorted by their first PERIOD bytes. Longer ties are resolved by quicksort on all of them at once: each is
-    compared with a pivot of its group after the shift that takes both into the cover, where ranks are known. Suffixes that
-    even these ranks don't tell apart have more than LENGTH bytes in common, and stay beside each other.
+    Suffixes are dealt into buckets by their first PERIOD bytes; one that is alone in its bucket repeats nothing and is left
+    out. Long ties, the rest, are sorted bucket by bucket, by quicksort on all of them at once: each is compared with a pivot
+    of its bucket after the shift that takes both into the cover, where ranks are known. Suffixes that even these ranks
+    don't tell apart have more than LENGTH bytes in common, and stay beside each other.
     """
-    word = _words(np.concatenate([t, np.zeros(3 * PERIOD, np.uint8)]))
-    parts = [word[starts + x] for x in (0, 8, 16, PERIOD - 8)]
-    order = np.lexsort(parts[::-1])
-    group = _dense(order, *parts)[order]
-    out = starts[order]
-    del parts
-    ranks = cover_ranks(t, word)
-    tied = group[1:] == group[:-1]
-    live = np.flatnonzero(np.concatenate([[False], tied]) | np.concatenate([tied, [False]]))
-    of = group[live]
+    word = _words(np.concatenate([t, np.zeros(5 * PERIOD, np.uint8)]))
+    order, new = _grouped([word[starts + x] for x in _PREFIX])
+    alone = new & np.append(new[1:], True)
+    out = starts[order[~alone]]
+    group = (np.cumsum(new) - 1)[~alone]
+    if not len(out):
+        return out, np.zeros(0, bool)
+    ranks = cover_ranks(word, out)
+    live, of = np.arange(len(out)), group
     while len(live):
         here = out[live]
-        begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        step = np.concatenate([[True], of[1:] != of[:-1]])
+        begins = np.flatnonzero(step)
         sizes = np.diff(np.append(begins, len(live)))
         pivot = np.repeat(here[begins + sizes // 2], sizes)
         shift = _SHIFT[here % PERIOD, pivot % PERIOD]
         side = np.sign(ranks[here + shift] - ranks[pivot + shift])
-        key = (np.cumsum(np.concatenate([[False], of[1:] != of[:-1]])) * 3 + side + 1).astype(np.int64)
+        key = np.cumsum(step) * 3 + side
         sort = np.argsort(key, kind="stable")
         out[live] = here[sort]
         key = key[sort]
         sizes = np.bincount(key)[key]
-        more = (key % 3 != 1) & (sizes > 1)
+        more = (key % 3 != 0) & (sizes > 1)
         live, of = live[more], key[more]
     equal = np.zeros(len(out), bool)
-    near = np.flatnonzero(tied) + 1
+    near = np.flatnonzero(group[1:] == group[:-1]) + 1
     for x in (LENGTH - 24, LENGTH - 16, LENGTH - 8):
         near = near[word[out[near] + x] == word[out[near - 1] + x]]
     equal[near] = True
@@ -352,6 +389,8 @@ def repeated(ids: np.ndarray, counts: np.ndarray, text: np.ndarray) -> tuple[np.
         order, equal = suffix_order(t, starts)
         segment = np.searchsorted(base, order, "right") - 1
         of = ids[one][segment]
+        if not len(order):
+            return tuple(np.concatenate(x) for x in zip(*out, strict=True))
         runs = np.flatnonzero(~equal)
         smallest = np.minimum.reduceat(of, runs)[np.cumsum(~equal) - 1]
         gone = np.sort(order[of > smallest])

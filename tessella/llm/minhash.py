@@ -101,21 +101,43 @@ def _different_bytes(a: str, b: str) -> Column:
     return total
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, signed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of class representatives, those with enough equal bytes and then a high enough similarity."""
     left = signed.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("xa"))
     right = signed.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("xb"))
     near = pairs.join(left, "a").join(right, "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_different_bytes("xa", "xb") <= BYTES - EQUAL_BYTES))
     near = stored(near.select("a", "b"))
-    needed = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(docs.join(needed, "doc_id", "left_semi"))
     both = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     out = stored(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent), "a long, b long"))
     discard(near)
-    discard(texts)
     return out
 
 
+def _hashed(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = raw(batch.column(1))
+            for first, last, d, o in slices(data, offsets):
+                d = LOWER_BYTES[d]
+                starts, ends, counts = words(d, o, NOT_SPACE)
+                sets = list(shingles(word_hashes(d, starts, ends), counts, k))
+                owner = np.repeat(ids[first:last], [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], names=["doc_id", "h"])
+
+    return run
+
+
+def _hopeless(open_ids: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the documents that are left, those of whose shingles so many are in none of the others that no similarity can be high enough.
+
+    A shingle of one document has that as its smallest and only owner, so counts by shingle and then by owner are enough.
+    """
+    rows = texts.join(open_ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_hashed(k), "doc_id long, h long")
+    alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+    return alone.join(reps.select("doc_id", "n_shingles"), "doc_id").where(100 * (F.col("n_shingles") - F.col("alone")) < percent * F.col("n_shingles")).select("doc_id")
+
+
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -127,10 +149,12 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
        rarest first, two documents with MATCHES equal coordinates must meet under one of the first
        COORDINATES - MATCHES + 1; values that nobody else has use these places up, so a document with too many of them
        drops out. The remaining, longer lists are skipped: they are only probed, pair by pair, to count all collisions.
-    3. In each list all are paired with the smallest id first, and pairs whose signatures agree enough are confirmed on full
-       sets and joined into components. Then, where a list still has several components, each document outside the
-       list's largest component is paired with those of other components. So no link between components is lost,
-       while a group of copies costs one pair per copy and list, not all pairs.
+    3. In each list all are first paired with the one whose coordinates most others share, the centre of a group of copies,
+       and pairs whose signatures agree enough are confirmed on full sets and joined into components. Where a list still
+       has several components, documents of whose shingles more than 100 - percent in 100 are in no other such document drop
+       out, since their similarity can't reach the threshold; of the rest each document outside the list's largest
+       component is paired with those of other components. So no link between components is lost, while a group of
+       copies costs one pair per copy and list, not all pairs.
 
     The signature's parameters are for a percent of 80 or more; lower ones are refused.
 
@@ -148,22 +172,28 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     posts = reps.select("doc_id", F.explode("tokens").alias("token"))
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ordered = posts.join(shared, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order")).where(F.size("order") >= MATCHES)
-    lists = stored(ordered.select("doc_id", F.explode(F.slice("order", F.lit(1), F.size("order") - (MATCHES - 1))).alias("t")).select(F.col("t.token").alias("token"), "doc_id"))
-
-    pivots = lists.groupBy("token").agg(F.min("doc_id").alias("a"))
-    star = lists.join(pivots, "token").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = _confirmed(star, reps, docs, shingle_words, percent)
+    ordered = stored(posts.join(shared, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order"), F.sum("n").alias("centre")).where(F.size("order") >= MATCHES))
+    lists = stored(ordered.select("doc_id", "centre", F.explode(F.slice("order", F.lit(1), F.size("order") - (MATCHES - 1))).alias("t")).select(F.col("t.token").alias("token"), "doc_id", "centre"))
+    texts = stored(docs.join(ordered.select("doc_id"), "doc_id", "left_semi"))
+
+    pivots = lists.groupBy("token").agg(F.max_by("doc_id", F.struct("centre", -F.col("doc_id"))).alias("pivot"))
+    star = lists.join(pivots, "token").where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
+    star = stored(star)
+    links = _confirmed(star, reps, texts, shingle_words, percent)
     labels = components(links)
 
     labelled = lists.join(labels, lists.doc_id == labels.id, "left").select("token", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    mixed_lists = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    open_lists = stored(labelled.join(mixed_lists, "token"))
+    several = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    labelled = stored(labelled.join(several, "token"))
+    hopeless = _hopeless(labelled.select("doc_id").distinct(), reps, texts, shingle_words, percent)
+    labelled = stored(labelled.join(hopeless, "doc_id", "left_anti"))
+    main = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
+    open_lists = stored(labelled.join(main, "token"))
     minor = open_lists.where("label <> main").select("token", F.col("doc_id").alias("x"), F.col("label").alias("lx"))
     others = open_lists.select("token", F.col("doc_id").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"))
     rest = minor.join(others, "token").where("lx <> ly AND (in_main OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = rest.join(star, ["a", "b"], "left_anti")
-    more = _confirmed(rest, reps, docs, shingle_words, percent)
+    more = _confirmed(rest, reps, texts, shingle_words, percent)
     reached = components(links.unionByName(more))
 
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")

@@ -111,13 +111,13 @@ def _place(uri: str) -> tuple[pa.fs.FileSystem, str]:
 
 def _schema(kind: np.dtype, sequence: int) -> pa.Schema:
     ids = pa.from_numpy_dtype(kind)
-    return pa.schema([("ids", pa.list_(pa.field("item", ids, False), sequence)), ("mask", pa.list_(pa.field("item", pa.uint8(), False), sequence))])
+    return pa.schema([("ids", pa.list_(pa.field("item", ids, False), sequence)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), sequence))])
 
 
 def write_shard(uri: str, name: str, docs: Iterator[tuple[int | None, bytes]], kind: np.dtype, sequence: int = SEQUENCE) -> Iterator[tuple[int | None, int, int]]:
     """Writes one shard, `name`.arrow, in the Arrow file format, and yields (doc_id, start in the shard, ids) as it goes.
 
-    Each record batch has BATCH sequences of `sequence` ids; mask is 1 for an id, 0 for the padding after the last. A task
+    Each record batch has BATCH sequences of `sequence` ids; mask, of bits, is true for an id, false for the padding after the last. A task
     writes under a name of its own attempt and then renames, so a task that runs again replaces the shard whole.
     """
     fs, folder = _place(uri)
@@ -130,7 +130,7 @@ def write_shard(uri: str, name: str, docs: Iterator[tuple[int | None, bytes]], k
     def batch(ids: np.ndarray) -> pa.RecordBatch:
         padded = np.zeros(-(-len(ids) // sequence) * sequence, kind)
         padded[: len(ids)] = ids
-        mask = (np.arange(len(padded)) < len(ids)).astype(np.uint8)
+        mask = np.arange(len(padded)) < len(ids)
         return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), type=schema.field(i).type) for i, x in enumerate((padded, mask))], schema=schema)
 
     with fs.open_output_stream(temporary) as sink, pa.ipc.new_file(sink, schema) as writer:
@@ -152,7 +152,7 @@ def write_shard(uri: str, name: str, docs: Iterator[tuple[int | None, bytes]], k
 
 
 class Shard:
-    """Random access to a shard: ids(start, n) and sequence(i) are views into the mapped file where the store allows it."""
+    """Random access to a shard: ids(start, n) and sequence_and_mask(i) are views into the mapped file where the store allows it."""
 
     def __init__(self, uri: str, name: str):
         fs, folder = _place(uri)
@@ -160,16 +160,17 @@ class Shard:
         source = pa.memory_map(path) if isinstance(fs, pa.fs.LocalFileSystem) else fs.open_input_file(path)
         self.reader = pa.ipc.open_file(source)
         self.sequence = self.reader.schema.field("ids").type.list_size
-        self._last = (-1, None)
+        self._last: tuple = (-1, None)
 
-    def _flat(self, i: int, column: int = 0) -> np.ndarray:
-        if self._last[0] != (i, column):
-            self._last = ((i, column), self.reader.get_batch(i).column(column).flatten().to_numpy(zero_copy_only=True))
+    def _flat(self, i: int) -> np.ndarray:
+        if self._last[0] != i:
+            self._last = (i, self.reader.get_batch(i).column(0).flatten().to_numpy(zero_copy_only=True))
         return self._last[1]
 
-    def sequence_and_mask(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence_and_mask(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """A sequence as a view of its ids and a view of its mask's bits."""
         b, r = divmod(i, BATCH)
-        return tuple(self._flat(b, c)[r * self.sequence : (r + 1) * self.sequence] for c in (0, 1))
+        return self._flat(b)[r * self.sequence : (r + 1) * self.sequence], self.reader.get_batch(b).column(1)[r].values
 
     def ids(self, start: int, n: int) -> np.ndarray:
         room, parts = self.sequence * BATCH, []

@@ -27,11 +27,11 @@ _TWO_SPACES = re.compile(r"[^\S\x1c-\x1f]{2}")
 
 
 class _Cache(dict):
-    """Ids of pieces after a fixed prefix. The older half of what is kept goes when the newer is full."""
+    """Ids of pieces. The older half of what is kept goes when the newer is full."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], prefix: str, kept: int):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], kept: int):
         super().__init__()
-        self.encode, self.prefix, self.kept, self.older = encode, prefix, kept, {}
+        self.encode, self.kept, self.older = encode, kept, {}
 
     def learn(self, new: set[str]) -> None:
         """Adds pieces that it doesn't hold; it may pass `kept` by the pieces of one batch."""
@@ -43,7 +43,7 @@ class _Cache(dict):
         known = [p for p in new if p in self.older]
         self.update((p, self.older[p]) for p in known)
         rest = list(new.difference(known))
-        self.update(zip(rest, self.encode([self.prefix + p for p in rest]), strict=True))
+        self.update(zip(rest, self.encode(rest), strict=True))
 
 
 class CachedBpe:
@@ -59,12 +59,35 @@ class CachedBpe:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.any, self.spaced = _Cache(self._ids, "", kept), _Cache(self._ids, " ", kept)
+        self.any, self.spaced = _Cache(self._ids, kept), _Cache(self._spaced_ids, kept)
         plain = json.loads(self.tokenizer.to_str())
         before = plain.get("pre_tokenizer") or {}
         #: Only then may texts be cut into pieces.
         self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not plain.get("normalizer")
 
+        #: Bytes of text that each id stands for: a byte-level vocabulary has one character a byte.
+        self.widths = np.zeros(self.size, np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.widths[i] = len(token)
+
+    def _spaced_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word after a space. Long runs of words are encoded as one text, where no token crosses from one to the next, and cut where the tokens' widths add up to the words'."""
+        plain = [w for w in words if w and not w[-1].isspace()] if self.cuts else []
+        runs = [plain[at : at + 2000] for at in range(0, len(plain), 2000)]
+        out: dict[str, bytes] = {}
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, run)), np.int64, len(run)) + 1)
+            cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
+            packed, width = ids.tobytes(), self.kind.itemsize
+            at = 0
+            for word, cut in zip(run, (cuts * width).tolist(), strict=True):
+                out[word] = packed[at:cut]
+                at = cut
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._ids([" " + w for w in rest]), strict=True))
+        return [out[w] for w in words]
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -91,7 +114,7 @@ class CachedBpe:
             if runs is None:
                 out.append(self._ids([text])[0] if text else b"")
             else:
-                out.append(b"".join([x for c, pieces, got in runs for x in (map(c.get, pieces, got) if None in got else got)]))
+                out.append(b"".join([x for c, pieces, got in runs for x in ([c[p] if x is None else x for p, x in zip(pieces, got, strict=True)] if None in got else got)]))
         return out
 
 
@@ -206,9 +229,9 @@ def write_token_ids(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2,
             batch = first
             while batch is not None:
                 ids = batch.column(0).to_pylist()
-                for at in range(0, len(ids), 50):
-                    part = batch.column(1).slice(at, 50)
-                    for doc, packed in zip(ids[at : at + 50], bpe.encode(part.to_pylist()), strict=True):
+                for at in range(0, len(ids), 200):
+                    part = batch.column(1).slice(at, 200)
+                    for doc, packed in zip(ids[at : at + 200], bpe.encode(part.to_pylist()), strict=True):
                         yield doc, packed + end
                 batch = next(batches, None)
 

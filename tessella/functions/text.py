@@ -40,6 +40,11 @@ def plain(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(text, r"https?://\S+", " "), r"[*_`#>\[\]()]", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end; Spark's own trim leaves line ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def tokens(text: Column) -> Column:
     """All tokens, in order (SCA01)."""
     return F.regexp_extract_all(plain(text), F.lit(f"({TOKEN})"))

@@ -132,7 +132,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text_col).alias("digest")))
     size, cut = rows.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", 0.5, 1000)).first()
     parts = max(1, -(-size // KEYS_PER_PART))
-    past = history if history is not None else F.coalesce(F.col("doc_id") < F.lit(cut), F.lit(False))
+    past = F.coalesce(F.col("doc_id") < F.lit(cut) if history is None else history, F.lit(False))
     seen = rows.where(past).groupBy("digest").agg(F.min("doc_id").alias("winner"), F.count(F.lit(1)).alias("n"))
     new = rows.where(~past).groupBy("digest").agg(F.min("doc_id").alias("winner"), F.count(F.lit(1)).alias("n"))
     groups = probe_index(build_index(seen, parts), new, parts)

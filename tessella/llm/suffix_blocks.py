@@ -25,8 +25,8 @@ SEED = 12
 PERIOD, COVER = 31, np.array([1, 5, 11, 24, 25, 27])
 #: Bytes of text that a task cuts into segments at a time; a longer document stands alone.
 CHUNK = 4 << 20
-#: Buckets for each shuffle partition; a task sorts one at a time.
-BUCKETS = 4
+#: Buckets for each shuffle partition; a task takes one at a time, and of it hashes whose segments have so many bytes.
+BUCKETS, SORTED = 4, 2 << 20
 _NO_ID = 2**63 - 1
 _BYTE = np.random.default_rng(77).integers(1, 2**32, 256, dtype=np.uint32)
 #: By the residues of two positions: the least shift after which both are in the cover.
@@ -381,32 +381,46 @@ def repeated(ids: np.ndarray, counts: np.ndarray, text: np.ndarray) -> tuple[np.
     least = np.minimum.reduceat(seeds, np.stack([to, to + width], 1).ravel()[: 2 * len(to) - (to[-1] + width >= len(seeds))])[::2] if len(to) else seeds
     _, which, n = np.unique(least, return_inverse=True, return_counts=True)
     several = np.flatnonzero(n[which] > 1)
-    if len(several):
-        one, begins_, size = one[several], to[several], sizes[one][several]
-        t = gather(joined, begins_, size)
-        base = np.cumsum(size) - size
-        starts = np.arange(counts[one].sum()) + np.repeat(base - np.cumsum(counts[one]) + counts[one], counts[one])
-        order, equal = suffix_order(t, starts)
-        segment = np.searchsorted(base, order, "right") - 1
-        of = ids[one][segment]
-        if not len(order):
-            return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-        runs = np.flatnonzero(~equal)
-        smallest = np.minimum.reduceat(of, runs)[np.cumsum(~equal) - 1]
-        gone = np.sort(order[of > smallest])
-        if len(gone):
-            segment = np.searchsorted(base, gone, "right") - 1
-            new = np.flatnonzero(np.concatenate([[True], (gone[1:] != gone[:-1] + 1) | (segment[1:] != segment[:-1])]))
-            length = np.diff(np.append(new, len(gone)))
-            seg, at = one[segment[new]], gone[new] - base[segment[new]]
-            twins = np.flatnonzero((ids == ids[head]) & np.isin(head, seg))  # equal segments in the same document, itself included
-            order = np.argsort(seg, kind="stable")
-            lo, hi = np.searchsorted(seg[order], head[twins]), np.searchsorted(seg[order], head[twins], "right")
-            pick = order[np.arange((hi - lo).sum()) + np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo)]
-            out.append((np.repeat(twins, hi - lo), at[pick], length[pick]))
+    several = several[np.argsort(which[several], kind="stable")]
+    ends = np.flatnonzero(np.append(which[several][1:] != which[several][:-1], True)) + 1 if len(several) else several
+    filled = np.cumsum(sizes[one][several])
+    at = 0
+    while at < len(several):  # some hashes' segments at a time
+        upto = ends[np.searchsorted(ends, at, "right") :]
+        fits = upto[filled[upto - 1] - (filled[at - 1] if at else 0) <= SORTED]
+        end = int(fits[-1]) if len(fits) else int(upto[0])
+        some = several[at:end]
+        out += _sorted_runs(ids, counts, head, one[some], gather(joined, to[some], sizes[one][some]))
+        at = end
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _sorted_runs(ids: np.ndarray, counts: np.ndarray, head: np.ndarray, one: np.ndarray, t: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The runs that sorting the suffixes of the segments `one`, whose text is t, gives them and their equals in the same document."""
+    size = counts[one] + LENGTH - 1
+    base = np.cumsum(size) - size
+    starts = np.arange(counts[one].sum()) + np.repeat(base - np.cumsum(counts[one]) + counts[one], counts[one])
+    order, equal = suffix_order(t, starts)
+    if not len(order):
+        return []
+    segment = np.searchsorted(base, order, "right") - 1
+    of = ids[one][segment]
+    runs = np.flatnonzero(~equal)
+    smallest = np.minimum.reduceat(of, runs)[np.cumsum(~equal) - 1]
+    gone = np.sort(order[of > smallest])
+    if not len(gone):
+        return []
+    segment = np.searchsorted(base, gone, "right") - 1
+    new = np.flatnonzero(np.concatenate([[True], (gone[1:] != gone[:-1] + 1) | (segment[1:] != segment[:-1])]))
+    length = np.diff(np.append(new, len(gone)))
+    seg, at = one[segment[new]], gone[new] - base[segment[new]]
+    twins = np.flatnonzero((ids == ids[head]) & np.isin(head, seg))  # equal segments in the same document, itself included
+    order = np.argsort(seg, kind="stable")
+    lo, hi = np.searchsorted(seg[order], head[twins]), np.searchsorted(seg[order], head[twins], "right")
+    pick = order[np.arange((hi - lo).sum()) + np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo)]
+    return [(np.repeat(twins, hi - lo), at[pick], length[pick])]
+
+
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets one after another: their segments' repeated strings as runs (row_key, at, n) of starts in the document."""
     now, held = None, []

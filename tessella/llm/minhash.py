@@ -20,6 +20,8 @@ COORDINATES, JOINED, MATCHES = 48, 3, 8
 #: The last byte of every least value is kept, too: so many of 144 must be equal, or a pair isn't confirmed. At similarity
 #: 0.8 fewer are for one pair in 18 million.
 BYTES, EQUAL_BYTES = COORDINATES * JOINED, 88
+#: From so many equal bytes on a document is taken to resemble a pivot; this only decides on the way it is handled.
+NEAR_BYTES = 50
 _rng = np.random.default_rng(8128)
 _ODD = _rng.integers(0, 2**63, BYTES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _rng.integers(0, 2**63, BYTES, dtype=np.uint64)
@@ -101,18 +103,53 @@ def _different_bytes(a: str, b: str) -> Column:
     return total
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of class representatives, those with enough equal bytes and then a high enough similarity."""
+def _sketched(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """pairs (a, b) with the numbers of shingles na, nb and how many bytes of the sketches differ."""
     left = signed.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("xa"))
     right = signed.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("xb"))
-    near = pairs.join(left, "a").join(right, "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_different_bytes("xa", "xb") <= BYTES - EQUAL_BYTES))
-    near = stored(near.select("a", "b"))
+    return pairs.join(left, "a").join(right, "b").withColumn("differ", _different_bytes("xa", "xb")).drop("xa", "xb")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of sketched pairs of class representatives those with enough equal bytes and then a high enough similarity."""
+    near = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("differ") <= BYTES - EQUAL_BYTES))
+    near = stored(near.select("a", "b").distinct())
     both = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     out = stored(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent), "a long, b long"))
     discard(near)
     return out
 
 
+def _residuals(k: int):
+    """For rows (pivot, doc_id, its text, the pivot's): how many shingles both have, and which the pivot hasn't."""
+
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        out = []
+        data, offsets = raw(column)
+        for _, _, d, o in slices(data, offsets):
+            d = LOWER_BYTES[d]
+            starts, ends, counts = words(d, o, NOT_SPACE)
+            out += shingles(word_hashes(d, starts, ends), counts, k)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pivot = None, None
+        for batch in batches:
+            met, rest = [], []
+            for i, (p, own) in enumerate(zip(batch.column(0).to_pylist(), sets(batch.column(2)), strict=True)):
+                if p != last:
+                    last, pivot = p, sets(batch.column(3).slice(i, 1))[0]
+                at = np.minimum(np.searchsorted(pivot, own), len(pivot) - 1)
+                common = pivot[at] == own
+                met.append(int(common.sum()))
+                rest.append(own[~common].view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rest) if rest else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(met, pa.int64()), lists], names=["p", "x", "met", "rest"])
+
+    return run
+
+
 def _hashed(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,12 +186,17 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
        rarest first, two documents with MATCHES equal coordinates must meet under one of the first
        COORDINATES - MATCHES + 1; values that nobody else has use these places up, so a document with too many of them
        drops out. The remaining, longer lists are skipped: they are only probed, pair by pair, to count all collisions.
-    3. In each list all are first paired with the one whose coordinates most others share, the centre of a group of copies,
-       and pairs whose signatures agree enough are confirmed on full sets and joined into components. Where a list still
-       has several components, documents of whose shingles more than 100 - percent in 100 are in no other such document drop
-       out, since their similarity can't reach the threshold; of the rest each document outside the list's largest
-       component is paired with those of other components. So no link between components is lost, while a group of
-       copies costs one pair per copy and list, not all pairs.
+    3. In each list all are first paired with the pivot, the one whose coordinates most others share: the centre of a group
+       of copies. Pairs whose signatures agree enough are confirmed on full sets and joined into components.
+    4. Documents x, y of one list that are still in different components are paired where they can be similar enough. What
+       they have in common is in the pivot or not. If x and y resemble the pivot, at most the smaller of what either shares
+       with it is in it, so the rest must be made up by shingles that the pivot hasn't: x and y are joined on these, the
+       few words in which a copy differs, and the collisions counted. Only where both are all but inside a larger
+       pivot they may need none, and are compared by these numbers alone. Documents unlike the pivot are paired with
+       all others of their list, but first those drop out of whose shingles more than 100 - percent in 100 are in no
+       other such document.
+
+    So no link between components is lost, while a group of copies costs one pair per copy and list, not all pairs.
 
     The signature's parameters are for a percent of 80 or more; lower ones are refused.
 
@@ -176,24 +218,44 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = stored(ordered.select("doc_id", "centre", F.explode(F.slice("order", F.lit(1), F.size("order") - (MATCHES - 1))).alias("t")).select(F.col("t.token").alias("token"), "doc_id", "centre"))
     texts = stored(docs.join(ordered.select("doc_id"), "doc_id", "left_semi"))
 
-    pivots = lists.groupBy("token").agg(F.max_by("doc_id", F.struct("centre", -F.col("doc_id"))).alias("pivot"))
-    star = lists.join(pivots, "token").where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
-    star = stored(star)
-    links = _confirmed(star, reps, texts, shingle_words, percent)
+    pivots = lists.groupBy("token").agg(F.max_by("doc_id", F.struct("centre", -F.col("doc_id"))).alias("p"))
+    lists = stored(lists.join(pivots, "token").select("token", "p", F.col("doc_id").alias("x")))
+    star = lists.where("x <> p").select(F.col("x").alias("a"), F.col("p").alias("b")).distinct()
+    star = stored(_sketched(star, reps))
+    links = _confirmed(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb", "differ"), texts, shingle_words, percent)
     labels = components(links)
 
-    labelled = lists.join(labels, lists.doc_id == labels.id, "left").select("token", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    several = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    labelled = stored(labelled.join(several, "token"))
-    hopeless = _hopeless(labelled.select("doc_id").distinct(), reps, texts, shingle_words, percent)
-    labelled = stored(labelled.join(hopeless, "doc_id", "left_anti"))
-    main = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    open_lists = stored(labelled.join(main, "token"))
-    minor = open_lists.where("label <> main").select("token", F.col("doc_id").alias("x"), F.col("label").alias("lx"))
-    others = open_lists.select("token", F.col("doc_id").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"))
-    rest = minor.join(others, "token").where("lx <> ly AND (in_main OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = _confirmed(rest, reps, texts, shingle_words, percent)
+    def labelled(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.join(labels.select(F.col("id").alias(key), F.col("label").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+
+    near = F.col("differ") <= BYTES - NEAR_BYTES
+    around = labelled(labelled(star.where(near).select(F.col("a").alias("x"), F.col("b").alias("p"), F.col("na").alias("n"), F.col("nb").alias("np")), "x", "lx"), "p", "lp")
+    open_pivots = around.where("lx <> lp").select("p").distinct()
+    around = stored(around.join(open_pivots, "p", "left_semi"))
+    with_texts = around.select("p", "x").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("doc_id").alias("p"), F.col("text").alias("tp")), "p")
+    rest = with_texts.select("p", "x", "tx", "tp").mapInArrow(_residuals(shingle_words), "p long, x long, met long, rest array<long>")
+    around = stored(around.join(rest, ["p", "x"]))
+    x = around.where("lx <> lp").select("p", "x", "n", "np", F.col("lx"), "met", "rest")
+    y = around.select("p", F.col("x").alias("y"), F.col("n").alias("m"), F.col("lx").alias("ly"), F.col("met").alias("met_y"), F.col("rest").alias("rest_y"))
+    differing = F.col("lx") != F.col("ly")
+    kept = x.drop("rest"), y.drop("rest_y")
+    common = x.select("p", "x", "lx", F.explode("rest").alias("h")).join(y.select("p", "y", "ly", F.explode("rest_y").alias("h")), ["p", "h"]).where(differing)
+    common = common.groupBy("p", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    enough = lambda c: 100 * (c + F.least("met", "met_y")) * (100 + percent) >= 100 * percent * (F.col("n") + F.col("m"))
+    sharing = common.join(kept[0].drop("lx"), ["p", "x"]).join(kept[1].drop("ly"), ["p", "y"]).where(enough(F.col("c"))).select("x", "y")
+    inside = 100 * F.col("met") >= percent * F.col("n")
+    small = kept[0].where(inside).join(kept[1].where((100 * F.col("met_y") >= percent * F.col("m"))), "p").where(differing & (F.col("m") < F.col("np")) & enough(F.lit(0))).select("x", "y")
+
+    far = star.where(~near).select(F.col("a").alias("x"), F.col("b").alias("p"))
+    apart = lists.join(far, ["x", "p"], "left_semi").select("token").distinct()
+    apart = stored(labelled(lists.join(apart, "token"), "x", "lx"))
+    hopeless = _hopeless(apart.select(F.col("x").alias("doc_id")).distinct(), reps, texts, shingle_words, percent)
+    apart = stored(apart.join(hopeless.withColumnRenamed("doc_id", "x"), "x", "left_anti"))
+    lone = apart.join(far, ["x", "p"], "left_semi").select("token", "x", "lx", "p")
+    direct = lone.join(apart.select("token", F.col("x").alias("y"), F.col("lx").alias("ly")), "token").where(differing & (F.col("y") != F.col("p"))).select("x", "y")
+
+    pairs = sharing.unionByName(small).unionByName(direct).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = _confirmed(_sketched(pairs, reps), texts, shingle_words, percent)
     reached = components(links.unionByName(more))
 
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import documents, mixed, partitions, raw, shared_dir, small_batches, word_hashes
+from tessella.llm.common import documents, gather, mixed, partitions, raw, shared_dir, small_batches, word_hashes
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 50
@@ -85,12 +85,6 @@ def _bucket(least: np.ndarray, buckets: int) -> np.ndarray:
     return (_mixed32(least ^ np.uint32(0x5BD1E995)) % np.uint32(buckets)).astype(np.int64)
 
 
-def gather(d: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The bytes of the pieces of d, one after another."""
-    ends = np.cumsum(lengths)
-    return d[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
-
-
 def same_pieces(d: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least_first: np.ndarray) -> np.ndarray:
     """For each piece the number of the first equal one in the order of `least_first`; bytes are compared, hashes only lead to them."""
     h = word_hashes(d, starts, starts + lengths)

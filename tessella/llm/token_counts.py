@@ -25,7 +25,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, version: str = "
             counts = [("words/1", np.concatenate([np.zeros(0, np.int64), *(words(d, o, NOT_SPACE)[2] for _, _, d, o in slices(data, offsets))]))]
             if tokenizer:
                 bpe = loaded(tokenizer)
-                counts.append((version, np.array([len(x) // bpe.kind.itemsize for at in range(0, len(batch), 50) for x in bpe.encode(batch.column(1).slice(at, 50).to_pylist())], np.int64)))
+                counts.append((version, np.concatenate([np.zeros(0, np.int64), *(n for _, n in bpe.encode(data, offsets))])))
             for name, n in counts:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([name] * len(n), pa.string()), pa.array(n)], names=["doc_id", "source", "lang", "tokenizer", "n_tokens"])
 

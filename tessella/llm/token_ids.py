@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,108 +13,167 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import documents, partitions, shared_dir, small_batches, stored
+from tessella.llm.common import SPACES, byte_class, documents, gather, partitions, raw, shared_dir, slices, small_batches, stored, word_hashes
 
 #: Ids in a sequence, sequences in a record batch.
 SEQUENCE, BATCH = 2048, 512
-#: White space and what follows it up to the next. A byte-level BPE never joins across the end of such a piece: none of its
-#: pre-tokens has white space after something else, and its only look-ahead stands at the end of white space.
-_PIECE = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+#: A byte-level BPE never joins across white space that follows something else: none of its pre-tokens has white space
+#: within, and its only look-ahead stands at the end of white space. So texts may be cut before each white space that
+#: stands alone.
 
 
-_TWO_SPACES = re.compile(r"[^\S\x1c-\x1f]{2}")
-
-
-class _Cache(dict):
-    """Ids of pieces. The older half of what is kept goes when the newer is full."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], kept: int):
-        super().__init__()
-        self.encode, self.kept, self.older = encode, kept, {}
-
-    def learn(self, new: set[str]) -> None:
-        """Adds pieces that it doesn't hold; it may pass `kept` by the pieces of one batch."""
-        if not new:
-            return
-        if len(self) > self.kept:
-            self.older = dict(self)
-            self.clear()
-        known = [p for p in new if p in self.older]
-        self.update((p, self.older[p]) for p in known)
-        rest = list(new.difference(known))
-        self.update(zip(rest, self.encode(rest), strict=True))
+_SPACE = byte_class(inside=SPACES)
 
 
 class CachedBpe:
     """The tokenizers library over pieces of text, each different piece once while the cache lasts.
 
-    kept: the pieces in a cache, some 150 bytes each; there are two caches, and each may hold as many older ones.
+    Texts are cut before each white space into pieces, which are looked up by a hash and compared byte by byte. What is kept
+    of a piece is its bytes and its ids, some 40 bytes; beyond `kept` pieces only those of the present batch stay.
     """
 
-    def __init__(self, path: str, kept: int = 500_000):
+    def __init__(self, path: str, kept: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.any, self.spaced = _Cache(self._ids, kept), _Cache(self._spaced_ids, kept)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         plain = json.loads(self.tokenizer.to_str())
         before = plain.get("pre_tokenizer") or {}
         #: Only then may texts be cut into pieces.
         self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not plain.get("normalizer")
-
         #: Bytes of text that each id stands for: a byte-level vocabulary has one character a byte.
         self.widths = np.zeros(self.size, np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.widths[i] = len(token)
+        self.kept = kept
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.text_at, self.text_n, self.ids_at, self.ids_n = (np.zeros(0, t) for t in (np.uint64, *[np.int64] * 4))
+        self.text, self.ids = np.zeros(0, np.uint8), np.zeros(0, self.kind)
 
-    def _spaced_ids(self, words: list[str]) -> list[bytes]:
-        """The ids of each word after a space. Long runs of words are encoded as one text, where no token crosses from one to the next, and cut where the tokens' widths add up to the words'."""
-        plain = [w for w in words if w and not w[-1].isspace()] if self.cuts else []
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _encode_pieces(self, d: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number by piece). Pieces that begin with white space and end with none are encoded as one text, where no token crosses from one to the next, and cut where the tokens' widths add up to the pieces'."""
+        joins = _SPACE[d[starts]] & ~_SPACE[d[ends - 1]]
+        parts: list[np.ndarray] = [np.zeros(0, self.kind)] * len(starts)
+        plain = np.flatnonzero(joins)
         runs = [plain[at : at + 2000] for at in range(0, len(plain), 2000)]
-        out: dict[str, bytes] = {}
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False), strict=True):
+        sizes = [ends[r] - starts[r] for r in runs]
+        texts = [gather(d, starts[r], n).tobytes().decode() for r, n in zip(runs, sizes, strict=True)]
+        for r, n, e in zip(runs, sizes, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.kind)
-            ends = np.cumsum(np.fromiter(map(len, map(str.encode, run)), np.int64, len(run)) + 1)
-            cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
-            packed, width = ids.tobytes(), self.kind.itemsize
+            cuts = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum(n)) + 1
             at = 0
-            for word, cut in zip(run, (cuts * width).tolist(), strict=True):
-                out[word] = packed[at:cut]
+            for i, cut in zip(r.tolist(), cuts.tolist(), strict=True):
+                parts[i] = ids[at:cut]
                 at = cut
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self._ids([" " + w for w in rest]), strict=True))
-        return [out[w] for w in words]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _cut(self, text: str) -> list[tuple[_Cache, list[str]]]:
-        if _TWO_SPACES.search(text):
-            return [(self.any, _PIECE.findall(text))]
-        out, lead = [], ""
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            if lead + first:
-                out.append((self.any, [lead + first]))
-            if rest:
-                out.append((self.spaced, rest))
-            lead = "\n"
+        rest = np.flatnonzero(~joins).tolist()
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([d[starts[i] : ends[i]].tobytes().decode() for i in rest], add_special_tokens=False), strict=True):
+            parts[i] = np.array(e.ids, self.kind)
+        return np.concatenate([*parts, np.zeros(0, self.kind)]), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def _learn(self, h: np.ndarray, d: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        ids, n = self._encode_pieces(d, starts, ends)
+        text = gather(d, starts, ends - starts)
+        keys = np.concatenate([self.keys, h])
+        order = np.argsort(keys, kind="stable")
+        sizes = ends - starts
+        self.text_at = np.concatenate([self.text_at, len(self.text) + np.cumsum(sizes) - sizes])[order]
+        self.text_n = np.concatenate([self.text_n, sizes])[order]
+        self.ids_at = np.concatenate([self.ids_at, len(self.ids) + np.cumsum(n) - n])[order]
+        self.ids_n = np.concatenate([self.ids_n, n])[order]
+        self.keys, self.text, self.ids = keys[order], np.concatenate([self.text, text]), np.concatenate([self.ids, ids])
+
+    def _simple(self, d: np.ndarray, o: np.ndarray) -> np.ndarray:
+        """For each row whether it may be cut before each white space: no two of these together, none beyond ASCII, and no added token."""
+        if not self.cuts:
+            return np.zeros(len(o) - 1, bool)
+        bad = np.zeros(len(d) + 1, bool)
+        if len(d) > 1:
+            space, x, y = _SPACE[d], d[:-1], d[1:]
+            bad[: len(d) - 1] = space[:-1] & space[1:]
+            bad[: len(d) - 1] |= ((x == 0xC2) & ((y == 0x85) | (y == 0xA0))) | ((x == 0xE1) & (y == 0x9A)) | ((x == 0xE2) & (y == 0x81)) | ((x == 0xE3) & (y == 0x80))
+            if len(d) > 2:
+                z = d[2:]
+                bad[: len(d) - 2] |= (d[:-2] == 0xE2) & (d[1:-1] == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))
+            bad[o[1:][o[1:] > 0] - 1] = False  # a pair across two rows is none
+        total = np.concatenate([[0], np.cumsum(bad[:-1])])
+        out = total[o[1:]] == total[o[:-1]]
+        if self.added:
+            whole = d.tobytes()
+            for token in self.added:
+                at = whole.find(token)
+                while at >= 0:
+                    out[max(np.searchsorted(o, at, "right") - 1, 0)] = False
+                    at = whole.find(token, at + 1)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each whole text, packed; null is empty."""
-        cut = [None if not t or not self.cuts or any(x in t for x in self.added) else [(c, pieces, list(map(c.get, pieces))) for c, pieces in self._cut(t)] for t in texts]
-        for cache in (self.any, self.spaced):
-            cache.learn({p for runs in cut if runs for c, pieces, got in runs if c is cache and None in got for p, x in zip(pieces, got, strict=True) if x is None})
-        out = []
-        for text, runs in zip(texts, cut, strict=True):
-            if runs is None:
-                out.append(self._ids([text])[0] if text else b"")
-            else:
-                out.append(b"".join([x for c, pieces, got in runs for x in ([c[p] if x is None else x for p, x in zip(pieces, got, strict=True)] if None in got else got)]))
-        return out
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of texts as bytes and offsets, some at a time: (ids one after another, their number by row)."""
+        for _, _, d, o in slices(data, offsets):
+            simple = self._simple(d, o)
+            n = np.zeros(len(o) - 1, np.int64)
+            row = np.repeat(np.arange(len(o) - 1), np.diff(o))
+            begin = _SPACE[d].copy()
+            begin[o[:-1][o[1:] > o[:-1]]] = True
+            starts = np.flatnonzero(begin & simple[row])
+            nothing = np.zeros(0, self.kind)
+            pieces = nothing
+            of = row[starts]
+            if len(starts):
+                cut = np.append(np.flatnonzero(begin), len(d))
+                ends = cut[np.searchsorted(cut, starts) + 1]
+                h = word_hashes(d, starts, ends)
+                order = np.argsort(h)
+                new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+                first = order[new]
+                if len(self.keys) + len(first) > self.kept:
+                    self._forget()
+                at = np.searchsorted(self.keys, h[first])
+                known = at < len(self.keys)
+                known[known] = self.keys[at[known]] == h[first][known]
+                if not known.all():
+                    fresh = first[~known]
+                    self._learn(h[fresh], d, starts[fresh], ends[fresh])
+                    at = np.searchsorted(self.keys, h[first])
+                slot = np.empty(len(h), np.int64)
+                slot[order] = at[np.cumsum(new) - 1]
+                sizes = ends - starts
+                wrong = self.text_n[slot] != sizes
+                right = np.flatnonzero(~wrong)
+                unlike = gather(d, starts[right], sizes[right]) != gather(self.text, self.text_at[slot[right]], sizes[right])
+                wrong[right[np.add.reduceat(unlike, np.cumsum(sizes[right]) - sizes[right]) > 0]] = True
+                for i in np.unique(of[wrong]):  # two pieces of one hash: the row is encoded whole
+                    simple[i] = False
+                keep = simple[of]
+                slot, of = slot[keep], of[keep]
+                pieces = gather(self.ids, self.ids_at[slot], self.ids_n[slot])
+                n += np.bincount(of, self.ids_n[slot], len(n)).astype(np.int64)
+            if simple.all():
+                yield pieces, n
+                continue
+            edge = np.concatenate([[0], np.cumsum(n)])
+            out = []
+            for i in range(len(n)):
+                if simple[i]:
+                    out.append(pieces[edge[i] : edge[i + 1]])
+                else:
+                    out.append(self.whole(d[o[i] : o[i + 1]].tobytes().decode()))
+                    n[i] = len(out[-1])
+            yield np.concatenate([*out, nothing]), n
+
+
+def encoded_texts(bpe: CachedBpe, texts: list[str | None]) -> list[np.ndarray]:
+    """The ids of each text; null is empty."""
+    out = []
+    for flat, n in bpe.encode(*raw(pa.array(texts, pa.string()))):
+        out += np.split(flat, np.cumsum(n)[:-1])
+    return out
 
 
 _LOADED: dict[str, CachedBpe] = {}
@@ -228,11 +286,13 @@ def write_token_ids(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2,
         def rows() -> Iterator[tuple[int | None, bytes]]:
             batch = first
             while batch is not None:
-                ids = batch.column(0).to_pylist()
-                for at in range(0, len(ids), 200):
-                    part = batch.column(1).slice(at, 200)
-                    for doc, packed in zip(ids[at : at + 200], bpe.encode(part.to_pylist()), strict=True):
-                        yield doc, packed + end
+                ids = iter(batch.column(0).to_pylist())
+                for flat, n in bpe.encode(*raw(batch.column(1))):
+                    packed, edges = flat.tobytes(), (np.cumsum(n) * bpe.kind.itemsize).tolist()
+                    at = 0
+                    for edge in edges:
+                        yield next(ids), packed[at:edge] + end
+                        at = edge
                 batch = next(batches, None)
 
         made: list[tuple] = []

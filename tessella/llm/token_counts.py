@@ -92,13 +92,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_word_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts, revisions and deletes by words: every fourth document is first counted without its last line and then revised; those with a toxic label go again."""
+    """Inserts, revisions and deletes by words: documents in English are first counted without their last line and then revised; those with a toxic label go again."""
     docs = documents(spark, sf_dir)
     ledger = TokenLedger(spark, shared_dir(spark))
-    fourth = docs.where("doc_id % 4 = 0")
-    early = fourth.withColumn("text", F.regexp_replace("text", r"\n[^\n]*$", ""))
-    ledger.commit("1", token_counts(docs.where("doc_id % 4 <> 0")).unionByName(token_counts(early)))
-    ledger.commit("2", revised=(token_counts(early), token_counts(fourth)))
+    english = docs.where("lang = 'en'")
+    early = english.withColumn("text", F.regexp_replace("text", r"\n[^\n]*$", ""))
+    ledger.commit("1", token_counts(docs.where("NOT (lang <=> 'en')")).unionByName(token_counts(early)))
+    ledger.commit("2", revised=(token_counts(early), token_counts(english)))
     toxic = documents(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     ledger.commit("3", deletes=token_counts(docs.join(toxic, "doc_id", "left_semi")))
     ledger.commit("3", deletes=token_counts(docs))

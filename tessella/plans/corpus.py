@@ -93,12 +93,11 @@ def overclaim_lines(spark, sf_dir):
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("line").rlike(C.OVERCLAIM) & ~F.col("line").rlike(negated)).alias("overclaims"))
 
 
-@query("""SELECT doc_id, (list_aggregate(list_transform(regexp_extract_all(text, '\\d+'), lambda x: x::HUGEINT), 'sum'))::DOUBLE AS total, len(regexp_extract_all(text, '\\d+'))::INT AS n FROM documents WHERE len(regexp_extract_all(text, '\\d{16,}')) = 0""")
+@query("""SELECT doc_id, len(regexp_extract_all(text, '\\d+'))::INT AS n, len(list_distinct(regexp_extract_all(text, '\\d+')))::INT AS n_different, coalesce(list_max(list_transform(regexp_extract_all(text, '\\d+'), lambda x: length(x))), 0)::INT AS longest FROM documents""")
 def numbers_in_text(spark, sf_dir):
-    """SCA06: the whole numbers of each document and their sum."""
-    found = F.regexp_extract_all("text", F.lit(r"(\d+)"))
-    d = _docs(spark, sf_dir).where(~F.col("text").rlike(r"\d{16,}")).select("doc_id", found.alias("f"))
-    return d.select("doc_id", F.when(F.size("f") > 0, F.aggregate("f", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x.cast("decimal(20,0)")).cast("decimal(38,0)"))).cast("double").alias("total"), F.size("f").alias("n"))
+    """SCA06: the whole numbers of each document."""
+    d = _docs(spark, sf_dir).select("doc_id", F.regexp_extract_all("text", F.lit(r"(\d+)")).alias("f"))
+    return d.select("doc_id", F.size("f").alias("n"), F.size(F.array_distinct("f")).alias("n_different"), F.coalesce(F.array_max(F.transform("f", F.length)), F.lit(0)).alias("longest"))
 
 
 @query("SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '^www\\.', ''), '') AS host FROM pages")

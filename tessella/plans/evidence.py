@@ -169,11 +169,11 @@ def retraction_signals(spark, sf_dir):
     return rows.select("id", hit.alias("is_retracted"), status.alias("status"))
 
 
-@query("SELECT conv_id AS doc_id, turn AS pos, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations")
+@query("SELECT conv_id AS doc_id, turn AS pos, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations")
 def conversation_section(spark, sf_dir):
     """JOIN11: the user's turns are headings, each turn belongs to the last of them."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "role", "text")
-    return R.section_of(c, c.where("role = 'user'").select("doc_id", "pos", F.substring("text", 1, 20).alias("heading")))
+    return R.section_of(c, c.where("role = 'user'").select("doc_id", "pos", F.col("text").alias("heading")))
 
 
 @query("SELECT * FROM (VALUES ('S001_smith.pdf', 'S001'), ('lee2018-final.PDF', 'S002'), ('effects of tea on sleep in adults a trial.pdf', 'S003')) AS t(file, source_id)")

@@ -29,10 +29,10 @@ def paper_filter(spark, sf_dir):
     return papers(spark, sf_dir).where(keep).select("paper_id", "year", F.isnull("year").alias("year_unknown"))
 
 
-@query(f"WITH {_PAPERS} SELECT paper_id, matched_title, matched_type FROM (SELECT paper_id, regexp_matches(title, '(?i)1[0-3]') AS matched_title, regexp_matches(type, '(?i)1[0-3]') AS matched_type FROM p) WHERE matched_title OR matched_type")
+@query(f"WITH {_PAPERS} SELECT paper_id, matched_title, matched_type FROM (SELECT paper_id, regexp_matches(title, '(?i)red|ring') AS matched_title, regexp_matches(type, '(?i)red|ring') AS matched_type FROM p) WHERE matched_title OR matched_type")
 def paper_regex_filter(spark, sf_dir):
     """FLT02."""
-    return L.regex_filter(papers(spark, sf_dir), "1[0-3]", ["title", "type"]).select("paper_id", "matched_title", "matched_type")
+    return L.regex_filter(papers(spark, sf_dir), "red|ring", ["title", "type"]).select("paper_id", "matched_title", "matched_type")
 
 
 @query(f"WITH {_PAPERS} SELECT count(*) AS n, sum((coalesce(year, 0) <> 0)::INT + 1 + (abstract <> '')::INT + (doi IS NOT NULL)::INT + 1) / (5 * count(*)) AS mean_completeness FROM p")
@@ -41,23 +41,23 @@ def paper_completeness(spark, sf_dir):
     return papers(spark, sf_dir).where(L.usable()).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(L.completeness()), 12).alias("mean_completeness"))
 
 
-@query(rf"""WITH {_PAPERS}, t AS (SELECT paper_id, title, abstract, regexp_matches(title, '(?i)(?:^|[^\w])part\w*')::INT + regexp_matches(title, '(?i)(?:^|[^\w])12\w*')::INT AS ti,
-  regexp_matches(abstract, '(?i)(?:^|[^\w])part\w*')::INT + regexp_matches(abstract, '(?i)(?:^|[^\w])12\w*')::INT AS ab, regexp_matches(journal, '(?i)(?:^|[^\w])part\w*')::INT + regexp_matches(journal, '(?i)(?:^|[^\w])12\w*')::INT AS jo,
-  regexp_matches(concat_ws(' ', title, abstract), '(?i)(?:^|[^\w])part\w*')::INT + regexp_matches(concat_ws(' ', title, abstract), '(?i)(?:^|[^\w])12\w*')::INT AS bo, regexp_matches(title, '(?i)(?:^|[^\w])part 12(?:[^\w]|$)') AS ph FROM p)
+@query(rf"""WITH {_PAPERS}, t AS (SELECT paper_id, title, abstract, regexp_matches(title, '(?i)(?:^|[^\w])blue\w*')::INT + regexp_matches(title, '(?i)(?:^|[^\w])bolt\w*')::INT AS ti,
+  regexp_matches(abstract, '(?i)(?:^|[^\w])blue\w*')::INT + regexp_matches(abstract, '(?i)(?:^|[^\w])bolt\w*')::INT AS ab, regexp_matches(journal, '(?i)(?:^|[^\w])blue\w*')::INT + regexp_matches(journal, '(?i)(?:^|[^\w])bolt\w*')::INT AS jo,
+  regexp_matches(concat_ws(' ', title, abstract), '(?i)(?:^|[^\w])blue\w*')::INT + regexp_matches(concat_ws(' ', title, abstract), '(?i)(?:^|[^\w])bolt\w*')::INT AS bo, regexp_matches(title, '(?i)(?:^|[^\w])blue bolt(?:[^\w]|$)') AS ph FROM p)
 SELECT paper_id, round(2 * ti / 2 + ab / 2 + 0.5 * jo / 2 + CASE WHEN ph THEN 3 ELSE 0 END + CASE WHEN ti = 2 THEN 2 WHEN bo = 2 THEN 0.5 ELSE 0 END, 3)::DOUBLE AS relevance,
   CASE WHEN ph OR ti = 2 THEN 'high' WHEN ti / 2 >= 0.6 OR bo = 2 THEN 'medium' ELSE 'low' END AS band FROM t""")
 def paper_rank_bands(spark, sf_dir):
     """FLT06."""
-    score, band = L.relevance("part 12")
+    score, band = L.relevance("blue bolt")
     return papers(spark, sf_dir).select("paper_id", score.alias("relevance"), band.alias("band"))
 
 
-@query(rf"""WITH {_PAPERS}, s AS (SELECT paper_id, citations, pos, regexp_matches(title, '(?i)(?:^|[^\w])brass\w*')::INT * 4.0 + regexp_matches(abstract, '(?i)(?:^|[^\w])brass\w*')::INT + regexp_matches(title, '(?i)(?:^|[^\w])brass(?:[^\w]|$)')::INT * 3 AS r,
-  (coalesce(year, 0) <> 0)::INT + 1 + (abstract <> '')::INT + (doi IS NOT NULL)::INT + 1 AS c, regexp_matches(concat_ws(' ', title, abstract), '(?i)(?:^|[^\w])brass\w*') AS b, regexp_matches(title, '(?i)(?:^|[^\w])brass\w*') AS t FROM p)
+@query(rf"""WITH {_PAPERS}, s AS (SELECT paper_id, citations, pos, regexp_matches(title, '(?i)(?:^|[^\w])widget\w*')::INT * 4.0 + regexp_matches(abstract, '(?i)(?:^|[^\w])widget\w*')::INT + regexp_matches(title, '(?i)(?:^|[^\w])widget(?:[^\w]|$)')::INT * 3 AS r,
+  (coalesce(year, 0) <> 0)::INT + 1 + (abstract <> '')::INT + (doi IS NOT NULL)::INT + 1 AS c, regexp_matches(concat_ws(' ', title, abstract), '(?i)(?:^|[^\w])widget\w*') AS b, regexp_matches(title, '(?i)(?:^|[^\w])widget\w*') AS t FROM p)
 SELECT paper_id FROM s ORDER BY r + CASE WHEN b AND NOT t THEN 0.5 ELSE 0 END DESC, c DESC, citations DESC NULLS LAST, pos LIMIT 25""")
 def paper_top(spark, sf_dir):
     """TOP03, TOP04, FLT07: rank, then cut."""
-    return L.ranked(papers(spark, sf_dir), "brass", 25).select("paper_id")
+    return L.ranked(papers(spark, sf_dir), "widget", 25).select("paper_id")
 
 
 @query(f"""WITH {_PAPERS}, k AS (SELECT paper_id, pos, CASE WHEN doi IS NOT NULL THEN 'doi:' || replace(doi, 'https://doi.org/', '') ELSE 'title:' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || lower(authors[1]) || lower(authors[2]) END AS k FROM p)
@@ -67,12 +67,12 @@ def paper_dedup_first(spark, sf_dir):
     return L.dedup_first(papers(spark, sf_dir)).select("paper_id")
 
 
-@query(f"""WITH {_PAPERS}, a AS (SELECT paper_id, 1 AS part FROM p WHERE paper_id <= 300 UNION ALL SELECT paper_id, 2 FROM p WHERE paper_id BETWEEN 200 AND 450)
+@query(f"""WITH {_PAPERS}, a AS (SELECT paper_id, 1 AS part FROM p WHERE is_open UNION ALL SELECT paper_id, 2 FROM p WHERE citations >= 25)
 SELECT paper_id, min(part) AS first_source, count(*) AS n_sources FROM a GROUP BY paper_id""")
 def federated_union(spark, sf_dir):
     """SET01, SRC13: results of two sources, each tagged, and where each was first seen."""
     p = papers(spark, sf_dir)
-    both = p.where("paper_id <= 300").select("paper_id", F.lit(1).alias("part")).unionByName(p.where("paper_id BETWEEN 200 AND 450").select("paper_id", F.lit(2).alias("part")))
+    both = p.where("is_open").select("paper_id", F.lit(1).alias("part")).unionByName(p.where("citations >= 25").select("paper_id", F.lit(2).alias("part")))
     return both.groupBy("paper_id").agg(F.min("part").alias("first_source"), F.count(F.lit(1)).alias("n_sources"))
 
 

@@ -92,11 +92,10 @@ def unfinished_lines(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.unfinished(F.col("text")).alias("open"))
 
 
-@query("SELECT doc_id, round(1 - levenshtein(substr(lower(text), 1, 60), substr(lower(text), 31, 60)) / greatest(length(substr(text, 1, 60)), length(substr(text, 31, 60)), 1), 9) AS ratio FROM documents WHERE lang = 'en' AND NOT regexp_matches(substr(text, 1, 90), '[^\\x00-\\x7F]')")
+@query("SELECT p_partkey AS id, round(1 - levenshtein(lower(p_name), lower(p_type)) / greatest(length(p_name), length(p_type), 1), 9) AS ratio FROM part")
 def edit_similarity(spark, sf_dir):
     """SIM07."""
-    d = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & ~F.substring("text", 1, 90).rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", F.round(Q.similarity_ratio(F.substring(F.lower("text"), 1, 60), F.substring(F.lower("text"), 31, 60)), 9).alias("ratio"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(Q.similarity_ratio(F.lower("p_name"), F.lower("p_type")), 9).alias("ratio"))
 
 
 @query("SELECT * FROM (VALUES (1, 2), (2, 0), (3, 3), (4, 0)) AS t(id, n)")

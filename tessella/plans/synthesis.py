@@ -159,11 +159,11 @@ def pooling_defensibility(spark, sf_dir):
     return S.pooling_status(S.review_overlap(_marks(spark, sf_dir)), 0.25)
 
 
-_GRAPH = "e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_linenumber = 1), g AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
+_GRAPH = "e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem), g AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
 
 
 def _graph(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    e = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 

@@ -12,7 +12,7 @@ def _rows(spark, values, names):
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
 
 
-@query("SELECT * FROM (VALUES (2, 'screened', 90, 95), (2, 'included', 30, 31), (3, 'reasons', 10, 9)) AS t(id, rule, expected, found)")
+@query("SELECT id, rule, expected::BIGINT AS expected, found::BIGINT AS found FROM (VALUES (2, 'screened', 90, 95), (2, 'included', 30, 31), (3, 'reasons', 10, 9)) AS t(id, rule, expected, found)")
 def count_reconciliation(spark, sf_dir):
     """AGG09."""
     flow = _rows(spark, "(1, 100, 10, 90, 40, 50, 5, 45, 15, 15, 30), (2, 100, 10, 95, 45, 50, 5, 45, 15, 15, 31), (3, 60, 0, 60, 20, 40, 0, 40, 10, 9, 30), (4, NULL, 3, 5, 1, 4, 0, 4, 1, 1, 3)", "id, identified, removed, screened, excluded, sought, not_retrieved, assessed, reports_excluded, reasons_total, included")
@@ -77,7 +77,7 @@ def claim_drift(spark, sf_dir):
     return L.drift(li)
 
 
-@query("SELECT l_suppkey AS author, year(l_shipdate) AS year, CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'INCONSISTENT' ELSE 'REPEATED' END AS status FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT l_suppkey AS author, year(l_shipdate)::INT AS year, CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'INCONSISTENT' ELSE 'REPEATED' END AS status FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def repeated_citations(spark, sf_dir):
     """AGG12."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("author"), F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("form"))
@@ -106,7 +106,7 @@ def compressed_numbers(spark, sf_dir):
     return li.select("doc", L.compressed(F.col("n")).alias("ranges"))
 
 
-@query("SELECT * FROM (VALUES (1, 4, 6)) AS t(doc, first_pos, n)")
+@query("SELECT 1 AS doc, 4 AS first_pos, 6::BIGINT AS n")
 def reference_list_runs(spark, sf_dir):
     """WIN01."""
     lines = _rows(spark, "(1, 1, '1. A heading'), (1, 2, 'prose'), (1, 3, 'References'), (1, 4, '1. Smith'), (1, 5, '2. Lee'), (1, 6, '[3] Kim'), (1, 7, '4. Diaz'), (1, 8, '5. Chen'), (1, 9, '6. Roy'), (2, 1, '1. One'), (2, 2, '2. Two')", "doc, pos, line")
@@ -132,7 +132,7 @@ def display_references(spark, sf_dir):
     return L.display_references(spark.createDataFrame([(1, "See Table 1 and Table 2.\nTable 1. Results\nFigure 1: Flow")], "id int, text string"))
 
 
-@query("SELECT * FROM (VALUES (2, 0.25)) AS t(clause_id, best)")
+@query("SELECT 2 AS clause_id, 0.25::DOUBLE AS best")
 def clause_losses(spark, sf_dir):
     """JOIN10."""
     before = _rows(spark, "(1, 'never invent a source'), (2, 'always report open gaps')", "clause_id, text")

@@ -526,4 +526,19 @@ def brute_force(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
     return out
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op6_suffix_dedup": f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - {LENGTH - 1}, 0))) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
+g AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE first_id < doc_id),
+r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS fresh FROM g),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM r),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + {LENGTH} AS b FROM k GROUP BY doc_id, k),
+cut AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS before FROM spans),
+kept AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last_b, string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY k) AS head FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, (2 * coalesce(last_b, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+}

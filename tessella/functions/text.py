@@ -164,3 +164,48 @@ def host(url: Column) -> Column:
     """The host without user, www. and port (SRC19)."""
     x = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     return F.nullif(F.regexp_replace(x, r"^www\.", ""), F.lit(""))
+
+
+# Words whose point ends no sentence.
+ABBREVIATIONS = "dr mr mrs ms prof st vs etc fig figs eq ref refs no vol al approx e.g i.e cf".split()
+
+
+def sentence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, end, sentence) with sentence = text[start:end] (SCA03).
+
+    A sentence ends after . ! ? or their full-width forms, with closing quotes and brackets, before white space and anything
+    but a lower-case letter; not after an abbreviation, a single initial or within a number. A blank line is a hard end.
+    The parts that are found tile the whole text, so offsets are sums of lengths.
+    """
+    spared = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    end = rf"(?:(?<!\b(?i:{spared}))(?<!(?:^|[\s(])[A-Z])\.|[!?])[!?.]*[\"'”’)\]]*(?=\s+[^\sa-z])|[。！？]+[”’」』]*|\n[ \t]*\n\s*"
+    parts = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(rf"(?s)(.+?(?:{end}|$))"))
+    rows = docs.select(F.col(id_col).alias("id"), F.filter(parts, lambda p: p != "").alias("p"))
+    rows = rows.select("id", "p", F.posexplode("p").alias("i", "part"))
+    before = F.aggregate(F.slice("p", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.length(x))
+    lead = F.length("part") - F.length(F.regexp_replace("part", r"^\s+", ""))
+    rows = rows.select("id", (before + lead).alias("start"), strip(F.col("part")).alias("sentence")).where("sentence <> ''")
+    return rows.select("id", "start", (F.col("start") + F.length("sentence")).alias("end"), "sentence")
+
+
+#: Wordy phrases and what they say, in order (FLT13).
+REWRITES = [
+    (r"(?i)\bin order to\b", "to"), (r"(?i)\bdue to the fact that\b", "because"), (r"(?i)\ba large number of\b", "many"), (r"(?i)\bat this point in time\b", "now"), (r"(?i)\bin the event that\b", "if"),
+    (r"(?i)\bwith regard to\b", "about"), (r"(?i)\bprior to\b", "before"), (r"(?i)\bsubsequent to\b", "after"), (r"(?i)\butili[sz]e\b", "use"),
+]
+
+
+def plainer(text: Column, spare: Column | None = None) -> Column:
+    """The text with wordy phrases replaced, unless `spare` holds: what an overlap report has flagged stays as it is (FLT13)."""
+    out = text
+    for pattern, by in REWRITES:
+        out = F.regexp_replace(out, pattern, by)
+    return out if spare is None else F.when(spare, text).otherwise(out)
+
+
+def front_matter(text: Column) -> Column:
+    """The key: value lines between the first two lines of --- as a map; null where there are none (FLT15)."""
+    block = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---", 1)
+    lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^[A-Za-z_-]+:"))
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))), F.trim(F.regexp_replace(x, r"^[^:]*:", ""))))
+    return F.when(block != "", F.map_from_entries(pairs))

@@ -173,3 +173,19 @@ def formatted(style: str) -> Column:
         "ris": join("TY  - JOUR\nAU  - ", c["author"], "\nPY  - ", c["year"], "\nTI  - ", c["title"], "\nJO  - ", c["journal"], "\nDO  - ", c["doi"], "\nER  -"),
         "bibtex": join("@article{key,\n  author = {", c["author"], "},\n  year = {", c["year"], "},\n  title = {", c["title"], "}\n}"),
     }[style]
+
+
+def eligibility(records: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """(record_id, flag) for each rule whose pattern the title or abstract meets (RUL03)."""
+    text = F.concat_ws(" ", "title", "abstract")
+    flags = F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in rules.items())))
+    return records.select("record_id", F.explode(flags).alias("flag"))
+
+
+def draft_audit(lines: DataFrame, sources: DataFrame) -> DataFrame:
+    """(pos, token, issue) of a draft's lines (pos, text) with markers [src:ID]: unknown, unverified, excluded or retracted sources, and numbers without any marker (RUL04)."""
+    markers = lines.select("pos", F.explode(F.regexp_extract_all("text", F.lit(r"\[src:([A-Za-z0-9]+)\]"))).alias("token"))
+    j = markers.join(sources, markers.token == sources.source_id, "left")
+    issue = F.when(F.col("source_id").isNull(), "unknown").when(F.col("retraction") == "retracted", "retracted").when(F.col("inclusion") == "excluded", "excluded").when(F.col("status") != "verified", "unverified")
+    bare = lines.where(F.col("text").rlike(r"\d+(\.\d+)?\s?%|\bp\s?[<=]") & ~F.contains("text", F.lit("[src:"))).select("pos", F.lit("").alias("token"), F.lit("number without a marker").alias("issue"))
+    return j.select("pos", "token", issue.alias("issue")).where("issue IS NOT NULL").unionByName(bare)

@@ -164,3 +164,28 @@ def kappa_gate(spark, sf_dir):
     """AGG17."""
     t = _rows(spark, "(1, 20, 0.9D, 0.5D), (2, 80, 0.4D, 0.5D), (3, 80, 0.7D, 0.5D), (4, 80, 0.7D, 0.9D), (5, 80, CAST(NULL AS DOUBLE), 1.0D)", "id, n, kappa, pe")
     return t.select("id", L.kappa_gate(F.col("n"), F.col("kappa"), F.col("pe")).alias("gate"))
+
+
+@query("SELECT p_partkey AS record_id, 'red' AS flag FROM part WHERE regexp_matches(p_name || ' ' || p_type, 'red') UNION ALL SELECT p_partkey, 'economy' FROM part WHERE regexp_matches(p_name || ' ' || p_type, 'ECONOMY')")
+def eligibility_flags(spark, sf_dir):
+    """RUL03."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("record_id"), F.col("p_name").alias("title"), F.col("p_type").alias("abstract"))
+    return L.eligibility(p, {"red": "red", "economy": "ECONOMY"})
+
+
+@query("SELECT * FROM (VALUES (1, 'S9', 'unknown'), (1, 'S2', 'retracted'), (2, 'S3', 'excluded'), (2, 'S4', 'unverified'), (3, '', 'number without a marker')) AS t(pos, token, issue)")
+def draft_audit(spark, sf_dir):
+    """RUL04."""
+    lines = _rows(spark, "(1, 'Tea helps [src:S1][src:S9] and [src:S2].'), (2, 'So it is [src:S3], [src:S4].'), (3, 'It fell by 12%.'), (4, 'No more.')", "pos, text")
+    sources = _rows(spark, "('S1', 'verified', 'included', 'clear'), ('S2', 'verified', 'included', 'retracted'), ('S3', 'verified', 'excluded', 'clear'), ('S4', 'unverified', 'included', 'clear')", "source_id, status, inclusion, retraction")
+    return L.draft_audit(lines, sources)
+
+
+@query("""WITH r AS (SELECT doc_id, quality = 1 AS good, 1.0 / (1 + n_chars) AS short, n_chars / 100000.0 AS long FROM labels JOIN documents USING (doc_id)), m AS (SELECT 'short' AS measure, good, short AS v FROM r UNION ALL SELECT 'long', good, long FROM r)
+SELECT measure, count(*) AS n, round(avg(v) FILTER (good), 9)::DOUBLE AS mean_good, round(avg(v) FILTER (NOT good), 9)::DOUBLE AS mean_bad FROM m GROUP BY measure""")
+def measure_evaluation(spark, sf_dir):
+    """UDF02: measures are named columns, evaluated over labelled items in one pass."""
+    measures = {"short": 1.0 / (1 + F.col("n_chars")), "long": F.col("n_chars") / 100000.0}
+    r = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").withColumn("good", F.col("quality") == 1)
+    rows = r.select("good", F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), v.alias("v")) for k, v in measures.items()))).alias("m")).select("good", "m.*")
+    return rows.groupBy("measure").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("good"), F.col("v"))), 9).alias("mean_good"), F.round(F.avg(F.when(~F.col("good"), F.col("v"))), 9).alias("mean_bad"))

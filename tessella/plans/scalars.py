@@ -103,3 +103,42 @@ def frame_lcs(spark, sf_dir):
     """SIM06."""
     t = _rows(spark, [(1, ["a", "b", "c"], ["b", "x", "c"]), (2, ["a"], ["b"]), (3, ["the", "of", "in"], ["the", "of", "a", "in"]), (4, [], ["a"])], "id int, a array<string>, b array<string>")
     return t.select("id", lcs_length(F.col("a"), F.col("b")).alias("n"))
+
+
+@query("""SELECT * FROM (VALUES (1, 0, 27, 'Dr. Lee saw 2.5% (p < 0.05)'), (2, 0, 9, 'One line.'), (2, 10, 20, 'Two lines?'), (2, 22, 27, 'Three')) AS t(id, start, "end", sentence)""")
+def sentence_spans(spark, sf_dir):
+    """SCA03."""
+    t = _rows(spark, [(1, "Dr. Lee saw 2.5% (p < 0.05)"), (2, "One line. Two lines?\n\nThree")], "doc_id int, text string")
+    return T.sentence_spans(t)
+
+
+@query("SELECT doc_id AS id, 0 AS wrong FROM documents")
+def sentence_spans_fit(spark, sf_dir):
+    """SCA03: in no document is a sentence other than the text at its offsets."""
+    d = table(spark, sf_dir, "documents")
+    spans = T.sentence_spans(d).groupBy("id").agg(F.collect_list(F.struct("start", "sentence")).alias("s"))
+    bad = F.size(F.filter("s", lambda x: F.substring(F.col("text"), x["start"] + 1, F.length(x["sentence"])) != x["sentence"]))
+    return d.join(spans, d.doc_id == spans.id, "left").select(F.col("doc_id").alias("id"), F.coalesce(bad, F.lit(0)).alias("wrong"))
+
+
+@query("SELECT * FROM (VALUES (1, 'We did it to learn, because it rained.'), (2, 'in order to')) AS t(id, text)")
+def plainer_wording(spark, sf_dir):
+    """FLT13."""
+    t = _rows(spark, [(1, "We did it in order to learn, due to the fact that it rained.", False), (2, "in order to", True)], "id int, text string, flagged boolean")
+    return t.select("id", T.plainer(F.col("text"), F.col("flagged")).alias("text"))
+
+
+@query("SELECT 'a tool' AS name, 'x: y' AS what")
+def front_matter(spark, sf_dir):
+    """FLT15."""
+    t = _rows(spark, [("---\nname: a tool\nwhat: x: y\n---\nbody",)], "text string").select(T.front_matter(F.col("text")).alias("m"))
+    return t.select(F.col("m")["name"].alias("name"), F.col("m")["what"].alias("what"))
+
+
+@query("SELECT * FROM (VALUES ('sleep study of teas', 'sleep;teas', '\"sleep study of teas\" | sleep AND teas | (sleep OR sleeps) AND (teas OR tea) | sleep study of teas')) AS t(query, terms, ladder)")
+def query_ladder(spark, sf_dir):
+    """SCA12, SCA13."""
+    from tessella.operators.literature import ladder
+
+    q = "sleep study of teas"
+    return _rows(spark, [(q, ";".join(T.query_terms(q)), " | ".join(ladder(q)))], "query string, terms string, ladder string")

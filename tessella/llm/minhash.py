@@ -191,7 +191,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     4. Documents x, y of one list that are still in different components are paired where they can be similar enough. What
        they have in common is in the pivot or not. If x and y resemble the pivot, at most the smaller of what either shares
        with it is in it, so the rest must be made up by shingles that the pivot hasn't: x and y are joined on these, the
-       few words in which a copy differs, and the collisions counted. Only where both are all but inside a larger
+       few words in which a copy differs, again by prefixes, rarest first. Only where both are all but inside a larger
        pivot they may need none, and are compared by these numbers alone. Documents unlike the pivot are paired with
        all others of their list, but first those drop out of whose shingles more than 100 - percent in 100 are in no
        other such document.
@@ -235,16 +235,17 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with_texts = around.select("p", "x").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("doc_id").alias("p"), F.col("text").alias("tp")), "p")
     rest = with_texts.select("p", "x", "tx", "tp").mapInArrow(_residuals(shingle_words), "p long, x long, met long, rest array<long>")
     around = stored(around.join(rest, ["p", "x"]))
-    x = around.where("lx <> lp").select("p", "x", "n", "np", F.col("lx"), "met", "rest")
-    y = around.select("p", F.col("x").alias("y"), F.col("n").alias("m"), F.col("lx").alias("ly"), F.col("met").alias("met_y"), F.col("rest").alias("rest_y"))
     differing = F.col("lx") != F.col("ly")
-    kept = x.drop("rest"), y.drop("rest_y")
-    common = x.select("p", "x", "lx", F.explode("rest").alias("h")).join(y.select("p", "y", "ly", F.explode("rest_y").alias("h")), ["p", "h"]).where(differing)
-    common = common.groupBy("p", "x", "y").agg(F.count(F.lit(1)).alias("c"))
-    enough = lambda c: 100 * (c + F.least("met", "met_y")) * (100 + percent) >= 100 * percent * (F.col("n") + F.col("m"))
-    sharing = common.join(kept[0].drop("lx"), ["p", "x"]).join(kept[1].drop("ly"), ["p", "y"]).where(enough(F.col("c"))).select("x", "y")
-    inside = 100 * F.col("met") >= percent * F.col("n")
-    small = kept[0].where(inside).join(kept[1].where((100 * F.col("met_y") >= percent * F.col("m"))), "p").where(differing & (F.col("m") < F.col("np")) & enough(F.lit(0))).select("x", "y")
+    # shingles outside the pivot, rarest around it first, up to where fewer are left than x must have in common with any other
+    outside = around.select("p", "x", "lx", F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("met")).alias("k"), (F.col("lx") != F.col("lp")).alias("apart"), F.explode("rest").alias("h"))
+    often = outside.groupBy("p", "h").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("any")).where("n > 1 AND any").drop("any")
+    ranked = outside.join(often, ["p", "h"]).groupBy("p", "x", "lx", "k", "apart").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("order"))
+    prefix = stored(ranked.where(F.size("order") >= F.col("k")).select("p", "x", "lx", "apart", F.explode(F.slice("order", F.lit(1), (F.size("order") - F.col("k") + 1).cast("int"))).alias("t")).select("p", F.col("t.h").alias("h"), "x", "lx", "apart"))
+    sharing = prefix.where("apart").select("p", "h", "x", "lx").join(prefix.select("p", "h", F.col("x").alias("y"), F.col("lx").alias("ly")), ["p", "h"]).where(differing).select("x", "y")
+    # without any in common outside the pivot
+    x, y = around.where("lx <> lp").select("p", "x", "n", "np", "lx", "met"), around.select("p", F.col("x").alias("y"), F.col("n").alias("m"), F.col("lx").alias("ly"), F.col("met").alias("met_y"))
+    enough = F.least("met", "met_y") * (100 + percent) >= percent * (F.col("n") + F.col("m"))
+    small = x.where(100 * F.col("met") >= percent * F.col("n")).join(y.where(100 * F.col("met_y") >= percent * F.col("m")), "p").where(differing & (F.col("m") < F.col("np")) & enough).select("x", "y")
 
     far = star.where(~near).select(F.col("a").alias("x"), F.col("b").alias("p"))
     apart = lists.join(far, ["x", "p"], "left_semi").select("token").distinct()

@@ -124,6 +124,22 @@ def test_minhash_chain_and_many_copies(spark):
     assert got == {i: c for i, (_, c) in _similar(rows, 2).items()}
 
 
+def test_minhash_of_parts_and_shared_passages(spark):
+    """Truncated copies, which have nothing outside their pivot; copies with the same edits; texts that share most of a passage."""
+    rng = random.Random(14)
+    base, edits = _text(rng, 150).split(), [f"e{i}" for i in range(6)]
+    texts = [" ".join(base[a:b]) for a in (0, 20, 40) for b in range(90, 151, 7)]
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(5, 25)):
+            w[rng.randrange(len(w))] = rng.choice(edits)
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:110] + _text(rng, rng.randrange(20, 60)).split()) for _ in range(30)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in minhash.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2).collect()}
+    assert got == {i: c for i, (_, c) in _similar(rows, 2).items()}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(7, 7)]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import LOWER_BYTES, documents, raw, slices, small_batches, stored
+from tessella.llm.common import LOWER_BYTES, NOT_SPACE, documents, raw, slices, small_batches, stored
 
 #: Labelled rows that the model is fitted on: those with the smallest hashes of their id.
 SAMPLE_ROWS = 4000
@@ -37,12 +37,13 @@ class LanguageModel:
 
 
 def _buckets(d: np.ndarray) -> np.ndarray:
-    """The trigram bucket at each byte but the last two."""
+    """The trigram bucket at each byte but the last two; BUCKETS where it isn't of letters and white space alone, so that numbers and signs say nothing of a language."""
     if len(d) < 3:
         return np.zeros(0, np.int64)
     x = LOWER_BYTES[d].astype(np.uint32)
     h = (x[:-2] * np.uint32(65599) + x[1:-1]) * np.uint32(65599) + x[2:]
-    return ((h * np.uint32(2654435761)) >> np.uint32(32 - 15)).astype(np.int64)
+    spoken = _letters(d) | ~NOT_SPACE[d]
+    return np.where(spoken[:-2] & spoken[1:-1] & spoken[2:], (h * np.uint32(2654435761)) >> np.uint32(32 - 15), BUCKETS).astype(np.int64)
 
 
 def _letters(d: np.ndarray) -> np.ndarray:
@@ -66,7 +67,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                 totals.setdefault(label, np.zeros(BUCKETS, np.int64))
                 seen[label] = seen.get(label, 0) + 1
                 for at in range(offsets[i], offsets[i + 1], 1 << 22):
-                    totals[label] += np.bincount(_buckets(data[at : min(at + (1 << 22) + 2, offsets[i + 1])]), minlength=BUCKETS)
+                    totals[label] += np.bincount(_buckets(data[at : min(at + (1 << 22) + 2, offsets[i + 1])]), minlength=BUCKETS + 1)[:BUCKETS]
         for label, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([label] * (len(at) + 1)), pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[seen[label]], total[at]]))], names=["label", "bucket", "n"])
@@ -82,24 +83,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
 def score(model: LanguageModel):
     """For mapInArrow over (id, text, ...): adds each language's tempered log likelihood, its probability by the text alone, the mean log likelihood of a trigram in the best, and the number of letters."""
-    k, table = len(model.languages), model.table
+    k, table = len(model.languages), np.pad(model.table, ((0, 0), (0, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = raw(batch.column(1))
             n = len(offsets) - 1
-            sums, letters = np.zeros((k, n)), np.zeros(n, np.int64)
+            sums, letters, grams = np.zeros((k, n)), np.zeros(n, np.int64), np.zeros(n, np.int64)
             for a, b, d, o in slices(data, offsets):
                 x = np.zeros(len(d) + 1, np.int64)
                 np.cumsum(_letters(d), out=x[1:])
                 letters[a:b] = np.diff(x[o])
                 buckets = _buckets(d)
                 ends = np.maximum(o[1:] - 2, o[:-1])
+                np.cumsum(buckets < BUCKETS, out=x[1 : len(buckets) + 1])
+                grams[a:b] = x[ends] - x[o[:-1]]
                 total = np.zeros(len(d) + 1)
                 for j in range(k):
                     np.cumsum(table[j][buckets], out=total[1 : len(buckets) + 1])
                     sums[j, a:b] = total[ends] - total[o[:-1]]
-            grams = np.maximum(np.diff(offsets) - 2, 0)
             fits = sums * TEMPER
             p = np.exp(fits - fits.max(axis=0)) if k else np.zeros((0, n))
             p /= p.sum(axis=0) if k else 1

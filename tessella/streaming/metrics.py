@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """Parquet files of a folder as a stream, `files` at a time (STR01)."""
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").parquet(path)
+def read_events(spark: SparkSession, path: str, files: int = 1, pattern: str = "*.parquet") -> DataFrame:
+    """Parquet files of a folder as a stream, `files` at a time (STR01). Watermarks need instants: wall-clock times are taken in the session's time zone."""
+    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).option("pathGlobFilter", pattern).parquet(path)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def hourly(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -50,7 +51,7 @@ def running_counters(events: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what there is and returns its memory table; for tests and small results."""
+    """Runs a stream over what there is and returns its memory table; for tests and small results, such as one row an hour."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)

@@ -241,7 +241,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     often = outside.groupBy("p", "h").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("any")).where("n > 1 AND any").drop("any")
     ranked = outside.join(often, ["p", "h"]).groupBy("p", "x", "lx", "k", "apart").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("order"))
     prefix = stored(ranked.where(F.size("order") >= F.col("k")).select("p", "x", "lx", "apart", F.explode(F.slice("order", F.lit(1), (F.size("order") - F.col("k") + 1).cast("int"))).alias("t")).select("p", F.col("t.h").alias("h"), "x", "lx", "apart"))
-    sharing = prefix.where("apart").select("p", "h", "x", "lx").join(prefix.select("p", "h", F.col("x").alias("y"), F.col("lx").alias("ly")), ["p", "h"]).where(differing).select("x", "y")
+    sharing = prefix.where("apart").select("p", "h", "x", "lx").join(prefix.select("p", "h", F.col("x").alias("y"), F.col("lx").alias("ly"), F.col("apart").alias("both")), ["p", "h"]).where(differing & (~F.col("both") | (F.col("x") < F.col("y")))).select("x", "y")
     # without any in common outside the pivot
     x, y = around.where("lx <> lp").select("p", "x", "n", "np", "lx", "met"), around.select("p", F.col("x").alias("y"), F.col("n").alias("m"), F.col("lx").alias("ly"), F.col("met").alias("met_y"))
     enough = F.least("met", "met_y") * (100 + percent) >= percent * (F.col("n") + F.col("m"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from conftest import SMALL
 from tessella.llm import mixing
 
 
@@ -17,3 +19,10 @@ def test_a_named_source_beyond_the_lanes_is_mixed(spark):
     small = spark.createDataFrame([(-1, "small"), (-2, "small")], "doc_id long, source string")
     got = mixing.mix(large.unionByName(small), targets={"7": 1, "small": 1}).groupBy("source").count().collect()
     assert {r["source"]: r["count"] for r in got} == {"7": 3, "small": 2}
+
+
+def test_the_mix_keeps_a_hot_source(spark, tmp_path):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
+    assert dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SMALL).select("doc_id").distinct().count() == 4000
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert mixing.op9_mixing(spark, str(tmp_path)).select("doc_id").distinct().count() == 4000

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import LOWER_BYTES, NOT_SPACE, documents, raw, slices, small_batches, stored
 
-#: Labelled rows that the model is fitted on: those with the smallest hashes of their id.
+#: Labelled rows of each language that the model is fitted on, about: those whose hash of the id is small enough.
 SAMPLE_ROWS = 4000
-#: A language needs so many rows of the sample.
+#: A language needs so many labelled rows in all.
 LEAST_ROWS = 5
 #: Hashed byte trigrams of a model.
 BUCKETS = 1 << 15
@@ -52,11 +52,16 @@ def _letters(d: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fits on at most about `rows` labelled rows, chosen by hash of the id; only trigram counts come to the driver."""
-    labelled = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
-    top = labelled.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if top is None:
+    """Fits on about `rows` labelled rows of each language, chosen by hash of the id, and on all rows of a language with fewer.
+
+    Labels are counted over all rows first. The driver holds these counts and, of each language with LEAST_ROWS rows, its
+    trigram counts and its row of the model, some 256 KB.
+    """
+    labelled = docs.select(F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 1).alias("h"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
+    numbers = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS).collect()
+    if not numbers:
         return LanguageModel([], np.zeros((0, BUCKETS)))
+    tops = docs.sparkSession.createDataFrame([(r["label"], min(2**63 - 1, 2**63 * rows // r["n"])) for r in numbers], "label string, top long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -72,8 +77,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([label] * (len(at) + 1)), pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[seen[label]], total[at]]))], names=["label", "bucket", "n"])
 
-    counted = labelled.where(F.col("h") <= top).select("text", "label").mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counted[(counted.bucket == -1) & (counted.n >= LEAST_ROWS)].label)
+    counted = labelled.join(F.broadcast(tops), "label").where("h <= top").select("text", "label").mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(counted[counted.bucket == -1].label)
     table = np.full((len(languages), BUCKETS), 0.5)
     at = {x: i for i, x in enumerate(languages)}
     used = counted[(counted.bucket >= 0) & counted.label.isin(languages)]
@@ -123,7 +128,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     a hot host's rows. Unknown declarations, hosts and suffixes (null) are no evidence or a host of their own.
 
     kept is false for a document without letters, one whose trigrams are less likely in every language than by chance, and
-    one whose best language has less than `least`. Null text is empty. Without any language in the model lang is null, and
+    one whose best language has less than `least`; but a document with letters whose declared language the model lacks is
+    kept, since the model can't tell. If its trigrams are less likely than by chance, too, lang is the declared one, with
+    no probability. Null text is empty. Without any language in the model lang is null, and
     only a document without letters is rejected. Rows that repeat an id are judged one by one. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
@@ -154,12 +161,14 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     out = both.withColumn("w", F.array(*weights)).withColumn("top", F.array_max("w"))
     out = out.withColumn("probability", 1 / F.aggregate("w", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     spoken = letters & (F.col("best") >= float(-np.log(BUCKETS)))
+    lacking = letters & F.coalesce(~F.col("declared").isin(model.languages), F.lit(False))
+    foreign = lacking & ~spoken
     return out.select(
         "doc_id",
-        F.when(letters, F.element_at(names, F.array_position("w", F.col("top")).cast("int"))).alias("lang"),
-        F.when(letters, F.round("probability", 6)).alias("probability"),
+        F.when(foreign, F.col("declared")).when(letters, F.element_at(names, F.array_position("w", F.col("top")).cast("int"))).alias("lang"),
+        F.when(letters & ~foreign, F.round("probability", 6)).alias("probability"),
         F.when(letters, F.element_at(names, F.array_position("p", F.array_max("p")).cast("int"))).alias("text_lang"),
-        (spoken & (F.col("probability") >= least)).alias("kept"),
+        (lacking | (spoken & (F.col("probability") >= least))).alias("kept"),
     )
 
 

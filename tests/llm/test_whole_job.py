@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL
-from tessella.llm import mixing
+from tessella.llm import language_id, mixing
 
 
 def test_small_sources_beyond_the_lanes_stay_in_the_mix(spark):
@@ -26,3 +26,14 @@ def test_the_mix_keeps_a_hot_source(spark, tmp_path):
     assert dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SMALL).select("doc_id").distinct().count() == 4000
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert mixing.op9_mixing(spark, str(tmp_path)).select("doc_id").distinct().count() == 4000
+
+
+def test_rare_languages_are_known_and_kept(spark):
+    text, lang = F.concat(F.lit("the small green river is under the house "), F.col("id")), F.lit("en")
+    for at, label, own in ((20000, "el", "το μικρό πράσινο ποτάμι είναι κάτω από το σπίτι"), (20006, "ka", "პატარა მწვანე მდინარე სახლის ქვეშ არის")):
+        text, lang = F.when(F.col("id") >= at, F.lit(own)).otherwise(text), F.when(F.col("id") >= at, F.lit(label)).otherwise(lang)
+    docs = spark.range(20008).select(F.col("id").alias("doc_id"), text.alias("text"), lang.alias("lang"))
+    model = language_id.fit(docs)
+    assert model.languages == ["el", "en"]
+    got = language_id.identify(docs, model, declared=F.col("lang")).where("doc_id >= 19990").collect()
+    assert all(r.kept and r.lang == ("ka" if r.doc_id >= 20006 else "el" if r.doc_id >= 20000 else "en") for r in got)

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE_PATTERN, documents, stored, whole_text
+from tessella.llm.common import SPACE_PATTERN, documents, raw, small_batches, stored, whole_text
+from tessella.llm.token_ids import loaded
 
 #: Tokens of a bin.
 CAPACITY = 2048
@@ -74,11 +78,29 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     return packed.unionByName(own)
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokens: Column | None = None) -> DataFrame:
-    """(doc_id, n_tokens, source, cluster) of documents: words and an end token each, unless `tokens` says otherwise; a cluster is all documents whose texts are equal but for white space. Null text is empty."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokens: Column | None = None, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, source, cluster) of documents: ids of a tokenizer file and an end token each; without one words and an end token, unless `tokens` says otherwise; a cluster is all documents whose texts are equal but for white space. Null text is empty."""
+    cluster = F.unhex(F.md5(F.regexp_replace(whole_text(text_col), SPACE_PATTERN, " "))).alias("cluster")
+    if tokenizer is not None:
+        small_batches(docs.sparkSession, 500)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bpe = loaded(tokenizer)
+            for batch in batches:
+                n = np.concatenate([np.zeros(0, np.int64), *(n for _, n in bpe.encode(*raw(batch.column(1))))]) + 1
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *batch.columns[2:]], names=["doc_id", "n_tokens", "source", "cluster"])
+
+        return docs.select(F.col(id_col).cast("long"), F.col(text_col), F.col(source_col).cast("string"), cluster).mapInArrow(count, "doc_id long, n_tokens long, source string, cluster binary")
     words = F.regexp_count(whole_text(text_col), F.lit(r"[^\x20\x09-\x0D]+")) + 1
-    return docs.select(F.col(id_col).alias("doc_id"), (words if tokens is None else tokens).alias("n_tokens"), F.col(source_col).alias("source"), F.unhex(F.md5(F.regexp_replace(whole_text(text_col), SPACE_PATTERN, " "))).alias("cluster"))
+    return docs.select(F.col(id_col).alias("doc_id"), (words if tokens is None else tokens).alias("n_tokens"), F.col(source_col).alias("source"), cluster)
+
+
+def tokenized(docs: DataFrame) -> DataFrame:
+    """measured() by the byte-level BPE of the token ids."""
+    import public_tokenizers
+
+    return measured(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(measured(documents(spark, sf_dir)))
+    return pack(tokenized(documents(spark, sf_dir)))

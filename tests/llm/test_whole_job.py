@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL
-from tessella.llm import language_id, mixing
+from tessella.llm import language_id, mixing, packing
 
 
 def test_small_sources_beyond_the_lanes_stay_in_the_mix(spark):
@@ -37,3 +38,17 @@ def test_rare_languages_are_known_and_kept(spark):
     assert model.languages == ["el", "en"]
     got = language_id.identify(docs, model, declared=F.col("lang")).where("doc_id >= 19990").collect()
     assert all(r.kept and r.lang == ("ka" if r.doc_id >= 20006 else "el" if r.doc_id >= 20000 else "en") for r in got)
+
+
+def test_bins_are_filled_by_token_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    texts = ["".join(chr(0x4E00 + i * 7 % 5000) for i in range(3000)), "tea", "a b  c", "", None]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    assert want[0] > packing.CAPACITY
+    for out in (packing.op3_packing(spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["packing"](spark, docs, SMALL)):
+        got = out.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("most")).collect()
+        assert {r.doc_id: r.n for r in got} == want and max(r.most for r in got) <= packing.CAPACITY

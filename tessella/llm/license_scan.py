@@ -14,10 +14,12 @@ from tessella.llm.common import LOWER_BYTES, byte_class, documents, raw, slices,
 
 #: The phrases that are searched word by word, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices as (label, wording). A block meets a template that has PERCENT of its different words.
+#: Notices as (label, wording). A block meets a template that has PERCENT of its different words: of four words all, so that
+#: the short MIT form isn't met by other licenses' lines, as "released under the mit license" would be without "mit".
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "under the mit license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "redistribute it and or modify it under the terms of the gnu general public license"),

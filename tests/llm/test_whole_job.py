@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL
-from tessella.llm import language_id, mixing, packing
+from tessella.llm import language_id, license_scan, mixing, packing
 
 
 def test_small_sources_beyond_the_lanes_stay_in_the_mix(spark):
@@ -52,3 +52,19 @@ def test_bins_are_filled_by_token_ids(spark, tmp_path):
     for out in (packing.op3_packing(spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["packing"](spark, docs, SMALL)):
         got = out.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("most")).collect()
         assert {r.doc_id: r.n for r in got} == want and max(r.most for r in got) <= packing.CAPACITY
+
+
+def test_each_license_line_of_documents(spark):
+    want = {
+        "Released under the MIT License.": {"mit"},
+        "Licensed under the MIT license": {"mit"},
+        "Licensed under the Apache License, Version 2.0.": {"apache-2.0"},
+        "Released under the Apache License": set(),
+        "This work is licensed under the GNU General Public License, version 3.": {"gpl", "gpl-3.0"},
+        "Licensed under CC BY-NC 4.0.": {"cc-by", "cc-by-nc-4.0"},
+        "All rights reserved.": {"reserved"},
+    }
+    docs = spark.createDataFrame([(i, f"tea and water\n{line}\nmit dem Haus") for i, line in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in license_scan.license_scan(docs).collect()}
+    for i, (line, labels) in enumerate(want.items()):
+        assert labels <= got[i] and ("mit" in got[i]) == ("mit" in labels), line

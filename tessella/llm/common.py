@@ -20,6 +20,10 @@ LOWER_BYTES = np.arange(256, dtype=np.uint8)
 LOWER_BYTES[65:91] += 32
 #: Bytes of text that the kernels take in at once; a longer document stands alone.
 SLICE = 2 << 20
+#: Bytes that gather() takes at once, each by an index of 8 bytes.
+GATHERED = 1 << 18
+#: Bytes of an Arrow batch of whole documents.
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -52,11 +56,18 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole documents must fit a Python worker; a lower setting of the user's stays."""
+    """Arrow batches of whole documents must fit a Python worker, so a batch ends at BATCH_BYTES or `rows`, whichever comes first; a longer document stands alone.
+
+    These are settings of the session, which Spark reads when a query starts, and they stay; lower ones of the user's stay, too.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
+    now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -93,7 +104,13 @@ def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE) -> Iterato
 def gather(d: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The bytes of the pieces of d, one after another."""
     ends = np.cumsum(lengths)
-    return d[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
+    out = np.empty(ends[-1] if len(ends) else 0, d.dtype)
+    a = at = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, at + GATHERED, "right")))
+        out[at : ends[b - 1]] = d[np.arange(at, ends[b - 1]) + np.repeat((starts - ends + lengths)[a:b], lengths[a:b])]
+        a, at = b, int(ends[b - 1])
+    return out
 
 
 def byte_class(inside: bytes | None = None, outside: bytes | None = None) -> np.ndarray:

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,24 +165,52 @@ def test_suffix_dedup_of_periodic_text(spark):
     assert got == sorted(suffix_blocks.brute_force(rows))
 
 
-def test_suffix_order_is_a_suffix_order():
+@pytest.mark.parametrize("bucket", [50, suffix_blocks.BUCKET])
+def test_suffixes_are_sorted_bucket_by_bucket(monkeypatch, bucket):
+    monkeypatch.setattr(suffix_blocks, "BUCKET", bucket)
     rng = np.random.default_rng(3)
-    block = rng.integers(97, 99, 400).astype(np.uint8)
-    t = np.concatenate([block, block[:300], block[100:], rng.integers(97, 99, 500).astype(np.uint8)])
-    starts = np.arange(len(t) - suffix_blocks.LENGTH)
-    order, equal = suffix_blocks.suffix_order(t, starts)
-    window = lambda i: t[i : i + suffix_blocks.LENGTH].tobytes()
-    groups = {}
-    for i in starts:
-        groups.setdefault(window(i), set()).add(int(i))
-    runs, now = [], []
-    for i, e in zip(order.tolist(), equal.tolist(), strict=True):
-        if not e and now:
-            runs.append(now)
-            now = []
-        now.append(i)
-    runs.append(now)
-    assert sorted(sorted(r) for r in runs if len(r) > 1) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+    for letters in (2, 8):
+        block = rng.integers(97, 97 + letters, 400).astype(np.uint8)
+        t = np.concatenate([block, block[:300], block[100:], rng.integers(97, 97 + letters, 500).astype(np.uint8), np.full(300, 97, np.uint8)])
+        strings = []
+        for order, equal in suffix_blocks.suffix_order(t, np.arange(len(t) - suffix_blocks.LENGTH)):
+            assert len(order) <= max(bucket, 260) or bucket == suffix_blocks.BUCKET
+            own = [t[i : i + suffix_blocks.LENGTH].tobytes() for i in order]
+            assert equal.tolist() == [k > 0 and own[k] == own[k - 1] for k in range(len(own))]
+            strings += own
+        assert strings == sorted(strings) and len(strings) == len(t) - suffix_blocks.LENGTH
+
+
+def test_suffix_dedup_in_small_blocks_and_parts(monkeypatch):
+    """Every limit is reached: documents over the size of a block, seeds in often more blocks, parts over what is held."""
+    rng = random.Random(21)
+    passage = _text(rng, 40)
+    rows = [(i, f"{_text(rng, rng.randrange(30))} {passage} {_text(rng, rng.randrange(30))}") for i in rng.sample(range(200), 120)]
+    rows += [(300, _text(rng, 900)), (301, None), (None, passage)]
+    rows += [(302, rows[-3][1][700:4000]), (302, rows[-3][1])]
+    for name, value in {"BLOCK": 3000, "PIECE": 500, "HELD": 4000, "SORTED": 2000, "BUCKET": 100, "OFTEN": 3}.items():
+        monkeypatch.setattr(suffix_blocks, name, value)
+    rng.shuffle(rows)
+    table = pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t or "" for _, t in rows])})
+    blocks = list(suffix_blocks._blocks(iter([table])))
+    assert len(blocks) > 20
+    pick = lambda b, *names: pa.RecordBatch.from_arrays([b.column(n) for n in names], names=list(names))
+    announced = pa.Table.from_batches(suffix_blocks._announce(3)(pick(b, "block", "text") for b in blocks)).to_pandas()
+    marks = {}
+    for _, part in announced.groupby("part"):
+        for r in suffix_blocks._shared(part).itertuples():
+            marks.setdefault(r.block, []).append({"part": r.part, "marks": r.marks})
+    assert any((suffix_blocks._unpacked(m["marks"], np.uint8)[0] == 2).any() for x in marks.values() for m in x)
+    kind = pa.list_(pa.struct([("part", pa.int64()), ("marks", pa.binary())]))
+    sent = suffix_blocks._send(3)(pa.RecordBatch.from_arrays([*b.columns, pa.array([marks.get(b.column(0)[0].as_py())], kind)], names=["block", "ids", "text", "marks"]) for b in blocks)
+    sent = pa.Table.from_batches(sent).sort_by("part").to_batches()
+    runs = {}
+    for batch in suffix_blocks._sort_parts(iter(sent)):
+        for r in batch.to_pylist():
+            runs.setdefault(r["block"], []).append(r["blob"])
+    out = suffix_blocks._remove(pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([runs.get(b.column(0)[0].as_py())], pa.list_(pa.binary()))], names=["ids", "text", "runs"]) for b in blocks)
+    got = [tuple(r[k] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for b in out for r in b.to_pylist()]
+    assert sorted(map(str, got)) == sorted(map(str, suffix_blocks.brute_force(rows)))
 
 
 def test_token_ids(spark, odd, tmp_path):

@@ -21,9 +21,9 @@ SEED = 20
 #: A perfect difference cover: every residue modulo PERIOD is the difference of two of COVER.
 PERIOD, COVER = 31, np.array([1, 5, 11, 24, 25, 27])
 #: Bytes of a text block (a longer document is a block of its own), and of what is cut into segments at a time.
-BLOCK, PIECE = 2 << 20, 1 << 20
+BLOCK, PIECE = 4 << 20, 1 << 20
 #: Parts for each shuffle partition; bytes of segments of a part that are held, and of those that are sorted together.
-PARTS, HELD, SORTED = 8, 8 << 20, 1 << 20
+PARTS, HELD, SORTED = 4, 16 << 20, 1 << 20
 #: Suffixes of a bucket; a larger one is split again by its next bytes.
 BUCKET = 1 << 16
 #: A seed that more blocks have is sent string by string, so that no part gets all that surrounds it.
@@ -59,7 +59,7 @@ def _least(h: np.ndarray) -> np.ndarray:
 
 
 def segments(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, number of starts, document, key) of runs of starts in one document whose strings have the same least hash; the key is 48 bits of it. Equal strings have the same, so they meet in one part."""
+    """(first start, number of starts, document, key) of runs of starts in one document whose strings have the same least hash; the key is 48 bits made of it. Equal strings have the same, so they meet in one part."""
     edge = np.zeros(len(d) + 1, np.int8)
     inside = o[1:] - o[:-1] >= LENGTH
     edge[o[:-1][inside]] += 1
@@ -72,13 +72,14 @@ def segments(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
         same = np.zeros(len(least) + 1, bool)
         same[1:-1] = ok[1:] & ok[:-1] & (least[1:] == least[:-1])
         first = np.flatnonzero(ok & ~same[:-1])
-        out.append((first + a, np.flatnonzero(ok & ~same[1:]) - first + 1, least[first] >> np.uint64(16)))
+        out.append((first + a, np.flatnonzero(ok & ~same[1:]) - first + 1, mixed(least[first]) >> np.uint64(16)))
     first, count, key = (np.concatenate(x) for x in zip(*out, strict=True))
     return first, count, np.searchsorted(o, first, "right") - 1, key
 
 
 def _part(key: np.ndarray, parts: int) -> np.ndarray:
-    return (mixed(key) % np.uint64(parts)).astype(np.int64)
+    """A range of keys, so that the differences between a part's sorted keys are small."""
+    return (((key >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
 def same_pieces(d: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least_first: np.ndarray) -> np.ndarray:
@@ -232,7 +233,7 @@ def _send(parts: int):
                     starts = np.arange(n.sum()) + np.repeat(first[often] - np.cumsum(n) + n, n)
                     h = mixed(word_hashes(d, starts, starts + LENGTH))
                     first, count, doc = np.concatenate([first[once], starts]), np.concatenate([count[once], np.ones(len(starts), np.int64)]), np.concatenate([doc[once], np.repeat(doc[often], n)])
-                    part, sub = np.concatenate([part[once], _part(h, parts)]), np.concatenate([sub[once], (h >> np.uint64(56)).astype(np.uint8)])
+                    part, sub = np.concatenate([part[once], _part(h >> np.uint64(16), parts)]), np.concatenate([sub[once], (mixed(h) >> np.uint64(56)).astype(np.uint8)])
                 else:
                     first, count, doc, part, sub = first[once], count[once], doc[once], part[once], sub[once]
                 if not len(first):
@@ -477,7 +478,7 @@ def _sort_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for ids, blob, runs in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+        for ids, blob, runs in zip(*batch.columns[1:], strict=True):
             data, o = _text(blob.as_buffer())
             found = [_unpacked(x.as_buffer(), np.uint32, np.uint32, np.uint32) for x in runs.values] if runs.is_valid else []
             row, at, n = (np.concatenate([np.zeros(0, np.uint32), *x]).astype(np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
@@ -530,10 +531,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     announced = blocks.select("block", "text").mapInArrow(_announce(parts), "part long, block long, blob binary")
     marks = announced.groupBy("part").applyInPandas(_shared, "block long, part long, marks binary")
     by_block = marks.groupBy("block").agg(F.collect_list(F.struct("part", "marks")).alias("marks"))
-    sent = blocks.join(by_block, "block").select("block", "ids", "text", "marks").mapInArrow(_send(parts), "part long, block long, blob binary")
+    sent = blocks.join(by_block, "block", "left").select("block", "ids", "text", "marks").mapInArrow(_send(parts), "part long, block long, blob binary")
     runs = sent.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_sort_parts, "block long, blob binary")
     by_block = runs.groupBy("block").agg(F.collect_list("blob").alias("runs"))
-    return blocks.join(by_block, "block", "left").select("ids", "text", "runs").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    # the same shuffle of the blocks serves both joins
+    return blocks.join(by_block, "block", "left").select("block", "ids", "text", "runs").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,7 +208,7 @@ def test_suffix_dedup_in_small_blocks_and_parts(monkeypatch):
     for batch in suffix_blocks._sort_parts(iter(sent)):
         for r in batch.to_pylist():
             runs.setdefault(r["block"], []).append(r["blob"])
-    out = suffix_blocks._remove(pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([runs.get(b.column(0)[0].as_py())], pa.list_(pa.binary()))], names=["ids", "text", "runs"]) for b in blocks)
+    out = suffix_blocks._remove(pa.RecordBatch.from_arrays([*b.columns, pa.array([runs.get(b.column(0)[0].as_py())], pa.list_(pa.binary()))], names=["block", "ids", "text", "runs"]) for b in blocks)
     got = [tuple(r[k] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for b in out for r in b.to_pylist()]
     assert sorted(map(str, got)) == sorted(map(str, suffix_blocks.brute_force(rows)))
 

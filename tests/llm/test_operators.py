@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import struct
 import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from conftest import SMALL
@@ -300,33 +305,85 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert packing.best_fit([x[0] for x in items], [x[1] for x in items], [x[2] for x in items], 100) == want
 
 
+def _deviates_by_less_than_a_block(weights, end):
+    plan, seen = mixing.Pfair(weights), dict.fromkeys(weights, 0)
+    total = sum(Fraction(repr(w)) for w in weights.values())
+    for t, (s, k) in enumerate(plan.slots(end), 1):
+        source = plan.sources[s]
+        assert k == seen[source]
+        seen[source] += 1
+        assert all(abs(n - Fraction(repr(weights[x])) / total * t) < 1 for x, n in seen.items())
+    return seen
+
+
 def test_schedule_deviates_by_less_than_a_block():
-    quota = mixing.quotas({"a": 0.36, "b": 0.2, "c": 0.001, **{f"s{i}": 0.03 for i in range(14)}}, 1000)
-    seen = dict.fromkeys(quota, 0)
-    for t, (s, i) in enumerate(mixing.schedule(quota), 1):
-        assert i == seen[s]
-        seen[s] += 1
-        assert all(abs(n - quota[x] * t / 1000) < 1 for x, n in seen.items())
-    assert seen == quota
+    _deviates_by_less_than_a_block({"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, 50_000)
+    _deviates_by_less_than_a_block({"a": 0.36, "b": 0.2, "c": 0.001, **{f"s{i}": 0.03 for i in range(14)}}, 3000)
+    _deviates_by_less_than_a_block({"a": 0.4, "b": 0.4, **{f"t{i}": 0.005 for i in range(40)}}, 2000)
+    rng = random.Random(5)
+    for _ in range(20):
+        _deviates_by_less_than_a_block({f"s{i}": rng.choice([1, 2, 0.001, 100, rng.random()]) for i in range(rng.randrange(1, 25))}, 400)
+    seen = _deviates_by_less_than_a_block({"big": 1, **{f"s{i}": 1e-6 for i in range(20)}}, 3000)
+    assert seen["big"] >= 2999
+
+
+def _mixed_by_hand(rows, weights, end, block):
+    """{(id, position)}: each slot goes to the source whose next block is released and due first, found by looking at all of them."""
+    queues, at = {}, {}
+    for i, s in rows:
+        queues.setdefault(s, []).append((xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest() >> 1, i))
+    total, out = sum(weights.values()), set()
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    for t in range(end):
+        released = [s for s in share if math.floor(at.get(s, 0) / share[s]) <= t]
+        s = min(released, key=lambda s: (math.ceil((at.get(s, 0) + 1) / share[s]), s))
+        k = at.get(s, 0)
+        at[s] = k + 1
+        out |= {(i, t * block + x) for x, (_, i) in enumerate(sorted(queues[s])[k * block : (k + 1) * block])}
+    return out
+
+
+def test_mixing_by_hand(spark, tmp_path):
+    docs = [(r.doc_id, r.source) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    counts = Counter(s for _, s in docs)
+    blocks = {s: -(-n // mixing.BLOCK) for s, n in counts.items()}
+    got = {(r.doc_id, r.mix_position) for r in mixing.op9_mixing(spark, SMALL).collect()}
+    assert got == _mixed_by_hand(docs, blocks, sum(blocks.values()), mixing.BLOCK)
+    named = dict(zip(sorted(counts), (5, 3, 1), strict=False))
+    end = min(math.ceil(Fraction(-(-counts[s] // 2) * 9, w)) for s, w in named.items())
+    got = {(r.doc_id, r.mix_position) for r in mixing.mix(spark.createDataFrame(docs, "doc_id long, source string"), targets=named, stop="first", block=2).collect()}
+    assert got == _mixed_by_hand(docs, named, end, 2)
 
 
 def test_mixing(spark, odd, empty):
     rows = [(i, "hot" if i % 3 else f"s{i % 7}") for i in range(4000)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=4).collect()
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=4, most=0.25).collect()
     counts = {}
     for r in got:
         counts[r.source] = counts.get(r.source, 0) + 1
     assert len({r.doc_id for r in got}) == len(got) and len({r.mix_position for r in got}) == len(got)
-    assert abs(counts["hot"] / len(got) - mixing.MAX_SHARE) < 0.01
+    assert abs(counts["hot"] / len(got) - 0.25) < 0.01
     assert all(counts[s] == sum(1 for _, x in rows if x == s) for s in counts if s != "hot")
     for at in (400, 900, 1500):
         upto = [r for r in got if r.mix_position < at]
-        assert abs(sum(r.source == "hot" for r in upto) - at * mixing.MAX_SHARE) <= 2 * 4
+        assert abs(sum(r.source == "hot" for r in upto) - at * 0.25) <= 2 * 4
     exact = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), targets={"hot": 1, "s0": 1}, stop="first", block=4).collect()
     assert {r.source for r in exact} == {"hot", "s0"} and abs(sum(r.source == "hot" for r in exact) * 2 - len(exact)) <= 8
     assert mixing.mix(empty).count() == 0 and set(mixing.mix(odd).columns) >= set(odd.columns)
 
 
+def test_mixing_of_odd_rows(spark, odd):
+    """Null ids and sources, repeated rows, and columns named like the operator's own: all rows stay."""
+    clash = odd.select("*", *(F.lit(i).alias(c) for i, c in enumerate(("lane", "hash", "row", "part", "nth", "rank", "slots", "before", "block", "slot", "a.b", "mix_slot"))))
+    got = mixing.mix(clash, block=3)
+    assert sorted(got.columns) == sorted([*clash.columns, "mix_block", "mix_position"])
+    rows = got.collect()
+    key = lambda r: (str(r.doc_id), str(r.text), str(r.source), r.part, r["a.b"])
+    assert sorted(map(key, rows)) == sorted(map(key, clash.collect()))
+    assert len({r.mix_position for r in rows}) == len(rows)
+    assert {r.source for r in mixing.mix(odd, targets={None: 1, "b": 2}).collect()} == {None, "b"}
+
+
 def test_token_ledger(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c", "s", "en"), (2, None, "s", "en"), (3, "d", "t", None)], "doc_id long, text string, source string, lang string")
     ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))

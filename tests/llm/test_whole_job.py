@@ -11,8 +11,9 @@ from tessella.llm import language_id, license_scan, mixing, packing
 
 
 def test_small_sources_beyond_the_lanes_stay_in_the_mix(spark):
-    docs = spark.range(12000).select(F.col("id").alias("doc_id"), (F.col("id") % 6000).cast("string").alias("source"))
-    assert mixing.mix(docs, block=1).select("doc_id").distinct().count() == 12000
+    n = 2 * mixing.LANES
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), (F.col("id") % n).cast("string").alias("source"))
+    assert mixing.mix(docs, block=1).select("doc_id").distinct().count() == 2 * n
 
 
 def test_a_named_source_beyond_the_lanes_is_mixed(spark):

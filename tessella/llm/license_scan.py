@@ -31,6 +31,9 @@ TEMPLATES = [
     ("no-copying", "no part of this publication may be reproduced or transmitted in any form without written permission"),
 ]
 PERCENT = 80
+#: A template of so many different words may be wrapped, and is looked for in WINDOW lines that follow each other; a shorter
+#: one in each line by itself, since few words are soon met by chance.
+LONG, WINDOW = 10, 3
 #: Of a text whose A-Z are lower-case: [^\x00-\x2F\x3A-\x60\x7B-\x7F].
 WORD = byte_class(inside=bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 
@@ -73,24 +76,25 @@ class _Scanner:
     def order(self, counts: dict[int, int]) -> None:
         """Global order: rarest words first. Each template then has its prefix: a block with enough of its words has one of these."""
         rank = {w: i for i, w in enumerate(sorted(range(len(self.vocabulary)), key=lambda w: (counts.get(w, 0), w)))}
-        self.lists: dict[int, list[tuple[int, int]]] = {}
+        self.lists: tuple[dict[int, list[tuple[int, int]]], ...] = ({}, {})
         self.sorted = []
         for t, (_, words_) in enumerate(self.sets):
             row = sorted(words_, key=rank.get)
             least = math.ceil(len(row) * self.percent / 100)
             self.sorted.append((row, least))
             for place, w in enumerate(row[: len(row) - least + 1]):
-                self.lists.setdefault(w, []).append((t, place))
+                self.lists[len(row) >= LONG].setdefault(w, []).append((t, place))
         self.rank = rank
-        self.prefixes = np.zeros(len(self.vocabulary), bool)
-        self.prefixes[list(self.lists)] = True
+        self.prefixes = np.zeros((2, len(self.vocabulary)), bool)
+        for i in (0, 1):
+            self.prefixes[i, list(self.lists[i])] = True
 
-    def join(self, block: set[int]) -> Iterator[tuple[int, float]]:
-        """(template, containment) of the templates that a block meets; the block is given by its words of the vocabulary, rarest first."""
+    def join(self, block: set[int], long: bool) -> Iterator[tuple[int, float]]:
+        """(template, containment) of the short or long templates that a block meets; the block is given by its words of the vocabulary, rarest first."""
         row = sorted(block, key=self.rank.get)
         tried = set()
         for i, w in enumerate(row):
-            for t, place in self.lists.get(w, ()):
+            for t, place in self.lists[long].get(w, ()):
                 if t in tried:
                     continue
                 tried.add(t)  # the first word in common: what comes before it in either is lost
@@ -125,16 +129,20 @@ class _Scanner:
                         n_base[x] += 1
                         first[x], last[x] = min(first[x], place), max(last[x], place)
                         base[x].add(label)
-                hits = np.flatnonzero((n >= 0) & self.prefixes[n])
-                if len(hits):
-                    breaks = np.flatnonzero(d == 10)
-                    lines = np.searchsorted(breaks, starts) + doc  # a new document is a new block, too
-                    for line in np.unique(lines[hits]):
-                        i, j = np.searchsorted(lines, [line, line + 1])
-                        for t, share in self.join(set(n[i:j][n[i:j] >= 0].tolist())):
-                            x = a + doc[i]
-                            found[x].add(self.sets[t][0])
-                            score[x] = max(score[x], share)
+                known = n >= 0
+                breaks = np.flatnonzero(d == 10)
+                lines = np.searchsorted(breaks, starts) + doc  # a new document begins a new line, too
+                for long in (False, True):
+                    hits = np.flatnonzero(known & self.prefixes[int(long), n])
+                    begin = np.unique(lines[hits]) if not long else np.unique(np.concatenate([np.zeros(0, np.int64), *(lines[hits] - x for x in range(WINDOW))]))
+                    size = WINDOW if long else 1
+                    for i, j in zip(*np.searchsorted(lines, [begin, begin + size]), strict=True):
+                        edges = np.searchsorted(doc[i:j], np.unique(doc[i:j])) + i  # lines of two documents are no block
+                        for u, v in zip(edges, [*edges[1:], j], strict=True):
+                            for t, share in self.join(set(n[u:v][known[u:v]].tolist()), long):
+                                x = a + doc[u]
+                                found[x].add(self.sets[t][0])
+                                score[x] = max(score[x], share)
             none = n_base == 0
             score[~none] = 1.0
             yield pa.RecordBatch.from_arrays(
@@ -147,7 +155,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base: every place where the words of a phrase of PHRASES stand one after another. The method adds the labels of all
-    templates of which some block (a line) has `percent` of the different words. Words are ordered by how often they stand
+    templates of which some block has `percent` of the different words: a line or, for templates of LONG words and more, WINDOW
+    lines that follow each other, so that a notice is found however it is wrapped over them. Words are ordered by how often they stand
     in the whole corpus (a first pass, of which one number per word of the templates comes to the driver). A block is only
     looked at if it has a word of a template's prefix; then length and position bound what it can have, and what passes is
     counted out. score is the best share of a template's words, 1 with a base place, 0 without any label.
@@ -180,8 +189,11 @@ b AS (
 ),
 g AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
 t AS (SELECT label, list_distinct(s) AS s FROM (VALUES {_VALUES}) AS v(label, s)),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(text, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS s FROM d),
-m AS (SELECT doc_id, label, len(list_intersect(l.s, t.s)) / len(t.s) AS share FROM l, t WHERE 100 * len(list_intersect(l.s, t.s)) >= {PERCENT} * len(t.s)),
+k AS (SELECT doc_id, string_split(text, chr(10)) AS k FROM d),
+q AS (SELECT doc_id, generate_subscripts(k, 1) AS i, unnest(k) AS line FROM k),
+l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS one,
+    list_distinct(regexp_extract_all(string_agg(line, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS several FROM q),
+m AS (SELECT doc_id, label, share FROM (SELECT doc_id, label, len(t.s) AS n, len(list_intersect(CASE WHEN len(t.s) >= {LONG} THEN several ELSE one END, t.s)) AS n_met FROM l, t), LATERAL (SELECT n_met / n AS share) WHERE 100 * n_met >= {PERCENT} * n),
 a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION ALL SELECT doc_id, label FROM b) GROUP BY doc_id),
 s AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
 SELECT doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,

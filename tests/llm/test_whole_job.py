@@ -69,3 +69,19 @@ def test_each_license_line_of_documents(spark):
     got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in license_scan.license_scan(docs).collect()}
     for i, (line, labels) in enumerate(want.items()):
         assert labels <= got[i] and ("mit" in got[i]) == ("mit" in labels), line
+
+
+def test_wrapped_notices(spark):
+    """The usual line breaks of notices; but short notices aren't put together from lines, nor any from two documents."""
+    want = {
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy": {"mpl-2.0"},
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided": {"bsd"},
+        "x\n * Permission is hereby granted, free\n * of charge, to any person obtaining\n * a copy of this software": {"mit"},
+        "Permission is hereby granted, free\nof charge, to any\n\n\n person obtaining a\ncopy of this software": set(),
+        "under the\nmit license": set(),
+        "this source code form is subject to the terms": set(),
+        "of the mozilla public license v 2 0": set(),
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in license_scan.license_scan(docs).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())

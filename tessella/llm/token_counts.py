@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,11 @@ _ENTRY = "doc_id long, source string, lang string, tokenizer string, n_tokens lo
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, version: str = "", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, source, lang, tokenizer, n_tokens): words of every document, and ids where a tokenizer file is given. Null text has 0."""
+    """(doc_id, source, lang, tokenizer, n_tokens): words of every document, and ids where a tokenizer file is given.
+
+    Null text has 0. Each row is counted by itself, whether its id is null or repeated; no rows give no rows. Null sources and
+    languages stay null. Other columns are ignored.
+    """
     small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,8 +42,13 @@ class TokenLedger:
     """Rollups in a shared folder. A batch is one folder of deltas, `batch=<id>`, and counts from when that name exists.
 
     A delta has the key (source, lang, tokenizer) and the signed numbers of documents and tokens. They are additive: the
-    totals are the sum over all committed batches, in any order. A batch is written under another name and then renamed,
-    which is one step; whatever its first attempt left is removed. A batch whose name exists is not applied again.
+    totals are the sum over all committed batches, in any order. An attempt writes its deltas under a name of its own and then
+    renames them, unless the batch's name exists: the store decides which of several attempts at once is the one that
+    counts, and the others are removed. A batch whose name exists is not applied again. Where a store can't refuse such a
+    rename in one step (a local disk checks first), two attempts at the very same instant are not told apart.
+
+    Null sources and languages are keys of their own. Entries that repeat are counted as often as they stand. Without entries
+    a batch is committed all the same. Names of batches must be fit for files.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -63,11 +74,22 @@ class TokenLedger:
         if signed is None:
             signed = self.spark.createDataFrame([], "source string, lang string, tokenizer string, docs long, tokens long")
         deltas = signed.groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        staged = f"_staged-{batch}"
-        deltas.write.mode("overwrite").parquet(f"{self.folder}/{staged}")
-        if not self._fs.rename(self._path(staged), self._path(f"batch={batch}")):
+        staged = f"_staged-{batch}-{uuid.uuid4().hex}"
+        deltas.write.parquet(f"{self.folder}/{staged}")
+        return self._publish(staged, batch)
+
+    def _publish(self, staged: str, batch: str) -> bool:
+        """Renames what an attempt has written to the batch's name; false, and nothing left of it, if there is one."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration())
+        never = self.spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            context.rename(self._path(staged), self._path(f"batch={batch}"), never)
+        except Py4JJavaError as error:
             self._fs.delete(self._path(staged), True)
-            return False
+            if "FileAlreadyExistsException" in str(error.java_exception.toString()):
+                return False
+            raise
         return True
 
     def totals(self) -> DataFrame:

@@ -399,6 +399,41 @@ def test_token_ledger(spark, tmp_path):
     assert ledger.commit("3") and get()["s", "en", "words/1"] == (2, 4)
 
 
+def test_token_ledger_takes_one_of_several_attempts(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c", "s", "en")], "doc_id long, text string, source string, lang string")
+    ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
+    entries = token_counts.token_counts(docs)
+    real, late = ledger._publish, []
+
+    def slow(staged, batch):
+        """The other attempt begins and ends between this one's writing and its rename."""
+        if not late:
+            late.append(staged)
+            late.append(ledger.commit(batch, entries))
+        return real(staged, batch)
+
+    ledger._publish = slow
+    assert not ledger.commit("1", entries) and late[1]
+    assert [tuple(r) for r in ledger.totals().collect()] == [("s", "en", "words/1", 1, 3)]
+    assert sorted(x.name for x in (tmp_path / "ledger").iterdir()) == ["batch=1"]
+    assert not [x for x in (tmp_path / "ledger" / "batch=1").iterdir() if x.is_dir()]
+
+
+def test_op5_counts_what_the_tokenizers_library_counts(spark):
+    from tokenizers import Tokenizer
+
+    plain, want = Tokenizer.from_file(BPE), Counter()
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        for name, n in (("words/1", len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))), ("byte_bpe_50k/1", len(plain.encode(r.text or "", add_special_tokens=False).ids))):
+            want[r.source, r.lang, name, "docs"] += 1
+            want[r.source, r.lang, name, "tokens"] += n
+    got = Counter()
+    for r in token_counts.op5_token_counts(spark, SMALL).collect():
+        got[r.source, r.lang, r.tokenizer, "docs"] += r.n_docs
+        got[r.source, r.lang, r.tokenizer, "tokens"] += r.n_tokens
+    assert got == want
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs.where("doc_id % 2 = 0"))

@@ -26,8 +26,8 @@ BLOCK, PIECE = 4 << 20, 1 << 20
 PARTS, HELD, SORTED = 4, 16 << 20, 1 << 20
 #: Suffixes of a bucket; a larger one is split again by its next bytes.
 BUCKET = 1 << 16
-#: A seed that more blocks have is sent string by string, so that no part gets all that surrounds it.
-OFTEN = 64
+#: A key that more blocks have is sent string by string, so that no part gets all that surrounds it: beyond about HELD bytes.
+OFTEN = 20_000
 _NO_ID = 2**63 - 1
 _BYTE = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
 #: By the residues of two positions: the least shift after which both are in the cover.

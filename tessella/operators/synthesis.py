@@ -66,7 +66,7 @@ def drop_reason(estimate: Column, se: Column) -> Column:
 def pool(effects: DataFrame, group: list[str]) -> DataFrame:
     """Fixed effect and DerSimonian-Laird pools of (yi, sei) by group (STA05, STA06, STA07).
 
-    k, fe, fe_se, q, tau2, i2, h2, dl, dl_se, hk_se (Hartung-Knapp) and prediction bounds need. i2 and h2 are null where
+    k, fe, fe_se, q, tau2, i2, h2, dl, dl_se and hk_se (Hartung-Knapp); moderators.inference adds p values and intervals. i2 and h2 are null where
     q <= k - 1. Two aggregates with map-side combination; the second joins the first's tau2 back by group. A group of one row has
     no tau2 above 0.
     """
@@ -112,8 +112,9 @@ def begg(effects: DataFrame, group: list[str], least: int = 10) -> DataFrame:
         return pd.DataFrame([{**{k: g[k].iloc[0] for k in group}, "k": len(g), "tau": 2 * s / (len(g) * (len(g) - 1)) if len(g) > 1 else None}])
 
     kinds = dict(effects.dtypes)
-    out = effects.where(drop_reason(F.col("yi"), F.col("sei")).isNull()).groupBy(*group).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in group) + ", k long, tau double")
-    return out.where(F.col("k") >= least)
+    rows = effects.where(drop_reason(F.col("yi"), F.col("sei")).isNull())
+    enough = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(*group)
+    return rows.join(enough, group).groupBy(*group).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in group) + ", k long, tau double")
 
 
 def reml(effects: DataFrame, group: list[str], rounds: int = 100) -> DataFrame:

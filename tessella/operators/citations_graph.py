@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.storage import stored
+
 
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """(id, depth): what is reached from seeds (id) within k steps along edges (src, dst), with the least depth (GRA01).
 
-    Breadth first: each step joins the last frontier with the edges and drops what is known by an anti-join.
+    Breadth first: each step joins the last frontier with the edges and drops what is known by an anti-join. Each frontier
+    is a table in the shared folder, so a step computes nothing twice.
     """
-    seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    seen = frontier = stored(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, k + 1):
         frontier = frontier.select(F.col("id").alias("src")).join(edges.select("src", "dst"), "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = stored(frontier)
         seen = seen.unionByName(frontier)
     return seen
 
@@ -27,35 +32,42 @@ def related(edges: DataFrame, most: int = 10) -> DataFrame:
     return one.withColumn("total", F.count(F.lit(1)).over(by)).withColumn("k", F.row_number().over(by.orderBy(F.desc("score"), "dst"))).where(F.col("k") <= most).select("src", "dst", "total")
 
 
-def walk(edges: dict[int, list[int]], citations: dict[int, int], seed: int, steps: int = 30, depth_limit: int | None = None) -> tuple[list[int], list[tuple[int, int]], dict[str, int]]:
-    """A bounded walk over neighbours that are already fetched (GRA01): at each step to the most cited that is new; without one, or at the depth limit, back a step.
+def walk(edges: DataFrame, citations: DataFrame, seeds: DataFrame, steps: int = 30, depth_limit: int | None = None) -> DataFrame:
+    """(walk, step, id, move): bounded walks from many seeds (walk, id) at once (GRA01).
 
-    Path (with steps back), edges (also to what was visited before) and counters.
+    At each step a walk goes to the most cited neighbour (edges src, dst; citations id, n) that it hasn't visited; without one, or
+    at the depth limit, back a step; at the seed it ends. move is seed, forward or back. A step of all walks is one join of their
+    places with the edges and one aggregate by walk; places, stacks and what was visited are a table in the shared folder. A
+    walk's own state has as many ids as it takes steps.
     """
-    path, stack, seen, crossed = [seed], [seed], {seed}, []
-    stats = {"steps": 0, "forward": 0, "backtracks": 0, "cross_edges": 0}
-    while stats["steps"] < steps and stack:
-        stats["steps"] += 1
-        here = stack[-1]
-        near = edges.get(here, [])
-        for n in near:
-            if n in seen and (here, n) not in crossed:
-                crossed.append((here, n))
-                stats["cross_edges"] += 1
-        fresh = [n for n in near if n not in seen]
-        if not fresh or (depth_limit is not None and len(stack) > depth_limit):
-            stack.pop()
-            if stack:
-                stats["backtracks"] += 1
-                path.append(stack[-1])
-            continue
-        to = max(fresh, key=lambda n: (citations.get(n, 0), -n))
-        crossed.append((here, to))
-        seen.add(to)
-        stack.append(to)
-        path.append(to)
-        stats["forward"] += 1
-    return path, crossed, stats
+    first = seeds.select("walk", F.col("id").alias("here"), F.array("id").alias("stack"), F.array("id").alias("seen"), F.lit("seed").alias("move"), F.lit(0).alias("step"))
+    state = stored(first)
+    out = [state.select("walk", "step", F.col("here").alias("id"), "move")]
+    ranked = edges.select("src", "dst").distinct().join(citations.select(F.col("id").alias("dst"), "n"), "dst", "left").select(F.col("src").alias("here"), F.col("dst").alias("to"), F.coalesce("n", F.lit(0)).alias("n"))
+    for step in range(1, steps + 1):
+        free = F.lit(True) if depth_limit is None else F.size("stack") <= depth_limit
+        fresh = state.where(free).join(ranked, "here").where(~F.array_contains("seen", F.col("to")))
+        best = fresh.groupBy("walk").agg(F.max_by("to", F.struct("n", -F.col("to"))).alias("to"))
+        both = state.join(best, "walk", "left")
+        forward, back = F.col("to").isNotNull(), F.slice("stack", F.lit(1), F.greatest(F.size("stack") - 1, F.lit(0)))
+        stack = F.when(forward, F.concat("stack", F.array("to"))).otherwise(back)
+        new = both.select("walk", stack.alias("stack"), F.when(forward, F.concat("seen", F.array("to"))).otherwise(F.col("seen")).alias("seen"), F.when(forward, "forward").otherwise("back").alias("move"), F.lit(step).alias("step"))
+        state = stored(new.where("size(stack) > 0").select("walk", F.element_at("stack", -1).alias("here"), "stack", "seen", "move", "step"))
+        out.append(state.select("walk", "step", F.col("here").alias("id"), "move"))
+        if state.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, out)
+
+
+def walk_stats(path: DataFrame, edges: DataFrame) -> DataFrame:
+    """(walk, steps, forward, backtracks, visited, cross_edges) of walk()'s rows: cross edges join two visited ids without being walked forward (GRA01)."""
+    place = W.partitionBy("walk").orderBy("step")
+    moves = path.withColumn("src", F.lag("id").over(place))
+    counts = moves.groupBy("walk").agg((F.count(F.lit(1)) - 1).alias("steps"), F.count_if(F.col("move") == "forward").alias("forward"), F.count_if(F.col("move") == "back").alias("backtracks"), F.count_distinct("id").alias("visited"))
+    seen = path.select("walk", "id").distinct()
+    inner = seen.select("walk", F.col("id").alias("src")).join(edges.select("src", "dst").distinct(), "src").join(seen.select("walk", F.col("id").alias("dst")), ["walk", "dst"])
+    crossed = inner.join(moves.where("move = 'forward'").select("walk", "src", F.col("id").alias("dst")), ["walk", "src", "dst"], "left_anti").where("src <> dst").groupBy("walk").agg(F.count(F.lit(1)).alias("cross_edges"))
+    return counts.join(crossed, "walk", "left").withColumn("cross_edges", F.coalesce("cross_edges", F.lit(0).cast("long")))
 
 
 def expand_terms(terms: DataFrame, synonyms: DataFrame) -> DataFrame:

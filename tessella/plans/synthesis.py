@@ -173,6 +173,19 @@ def k_hop_neighbours(spark, sf_dir):
     return G.k_hop(_graph(spark, sf_dir), spark.sql("SELECT 's1' AS id"), 2)
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), c AS (SELECT dst AS id, count(*) AS n FROM e GROUP BY dst),
+w AS (SELECT c_custkey AS walk, 0 AS step, c_custkey AS id, [c_custkey] AS stack, [c_custkey] AS seen, 'seed' AS move FROM customer UNION ALL
+  SELECT walk, step + 1, s[-1], s, CASE WHEN dst IS NULL THEN seen ELSE seen || [dst] END, CASE WHEN dst IS NULL THEN 'back' ELSE 'forward' END FROM (SELECT *, CASE WHEN dst IS NULL THEN stack[:-2] ELSE stack || [dst] END AS s FROM (
+    SELECT w.*, (SELECT e.dst FROM e JOIN c ON c.id = e.dst WHERE e.src = w.id AND NOT list_contains(w.seen, e.dst) AND len(w.stack) <= 3 ORDER BY c.n DESC, e.dst LIMIT 1) AS dst FROM w WHERE step < 8)) WHERE len(s) > 0)
+SELECT walk, step, id, move FROM w""")
+def citation_walks(spark, sf_dir):
+    """GRA01: a bounded walk from every customer's key along the graph of parts and suppliers, at most three deep."""
+    one = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    e = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    seeds = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("walk"), F.col("c_custkey").alias("id"))
+    return G.walk(e, e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")), seeds, 8, 3)
+
+
 @query("""WITH e AS (SELECT l_partkey AS src, l_suppkey AS dst, max(l_quantity) AS score FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY ALL), r AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS total, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS k FROM e) SELECT src, dst, total FROM r WHERE k <= 3""")
 def related_records(spark, sf_dir):
     """GRA02."""

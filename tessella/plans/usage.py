@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tessella.operators import usage as U
 from tessella.plans.registry import query, table
+from tessella.storage import shared_dir
 from tessella.streaming import metrics
 
 
@@ -78,7 +78,6 @@ def request_batches(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts) AS hour, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 6) AS value FROM events GROUP BY 1")
 def events_hourly_stream(spark, sf_dir):
     """STR01, STR02: the hourly metrics as a stream over the same file, run until nothing is left."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-")
     run = uuid.uuid4().hex
     stream = metrics.hourly(metrics.read_events(spark, sf_dir, pattern="events.parquet"), "60 days")
-    return metrics.drain(stream, f"hourly_{run}", "complete", f"{root.rstrip('/')}/stream-{run}").withColumns({"hour": F.col("hour").cast("timestamp_ntz"), "value": F.round("value", 6)})
+    return metrics.drain(stream, f"hourly_{run}", "complete", shared_dir(spark)).withColumns({"hour": F.col("hour").cast("timestamp_ntz"), "value": F.round("value", 6)})

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.operators import agreement as A
 from tessella.operators import moderators as M
 
 
@@ -66,3 +67,18 @@ def test_trim_and_fill(spark):
     assert got["even"].k0 == 0 and got["even"].estimate == pytest.approx(0.5)
     plain = {r.g: r.estimate for r in M.inference(_frame(spark, cut), ["g"]).collect()}
     assert got["cut"].side == "left" and 3 <= got["cut"].k0 <= 5 and abs(got["cut"].estimate - 0.5) < abs(plain["cut"] - 0.5)
+
+
+def test_bootstrap_is_the_same_however_rows_are_dealt(spark):
+    rng = random.Random(8)
+    rows = [(rng.gauss(1.0 if k % 3 else 0.0, 1), k % 3 > 0) for k in range(600)] + [(0.5, True)] * 300
+    df = spark.createDataFrame(rows, "s double, p boolean")
+    a, b = (A.bootstrap_auc(df.repartition(n), "s", "p").first() for n in (1, 7))
+    assert a == b and a.reps == 2000
+    pos, neg = (np.array([s for s, x in rows if x is y]) for y in (True, False))
+    draw = np.random.default_rng(1)
+    own = []
+    for _ in range(400):
+        x, y = draw.choice(pos, len(pos)), np.sort(draw.choice(neg, len(neg)))
+        own.append((np.searchsorted(y, x) + np.searchsorted(y, x, "right")).sum() / 2 / len(x) / len(y))
+    assert a.low == pytest.approx(np.percentile(own, 2.5), abs=0.01) and a.high == pytest.approx(np.percentile(own, 97.5), abs=0.01)

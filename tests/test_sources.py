@@ -109,10 +109,14 @@ def test_cache(spark, tmp_path):
     assert cache.get(key) is None and cache.clear_expired() == 1 and cache.stats() == {"entries": 0, "hits": 1, "misses": 2}
 
 
-def test_walk():
-    path, edges, stats = G.walk({1: [2, 3], 2: [1, 4], 4: []}, {2: 5, 3: 1, 4: 2}, 1, steps=4)
-    assert path == [1, 2, 4, 2, 1] and (2, 1) in edges and stats["backtracks"] == 2
-    assert G.walk({}, {}, 7)[0] == [7]
+def test_walk(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 1), (2, 4)], "src long, dst long")
+    citations = spark.createDataFrame([(2, 5), (3, 1), (4, 2)], "id long, n long")
+    seeds = spark.createDataFrame([("a", 1), ("b", 7)], "walk string, id long")
+    path = G.walk(edges, citations, seeds, steps=4)
+    assert {tuple(r) for r in G.walk_stats(path, edges).collect()} == {("a", 4, 2, 2, 3, 1), ("b", 0, 0, 0, 1, 0)}  # 2 to 1 is met, not walked
+    got = {(r.walk, r.step): (r.id, r.move) for r in path.collect()}
+    assert got == {("a", 0): (1, "seed"), ("a", 1): (2, "forward"), ("a", 2): (4, "forward"), ("a", 3): (2, "back"), ("a", 4): (1, "back"), ("b", 0): (7, "seed")}
 
 
 def test_reml_is_the_root_of_its_score(spark):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.storage import discard, shared_dir, stored  # noqa: F401
+
 #: The bytes of white space [\x20\x09-\x0D].
 SPACES = b" \t\n\x0b\x0c\r"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
@@ -30,29 +30,19 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors reach; one of its own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tessella-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives the loss of any executor."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
+def row_keys(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with a key (long, not null) that tells apart rows of the same id, and orders like the id.
 
-def discard(df: DataFrame) -> None:
-    """Deletes the table of stored() once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    It is the id itself where that is of one row only. Rows whose id is null or repeated get 2^62 or more, by a hash of id and
+    text, so that they come after all others; only rows that repeat both share a key. Ids are taken to be below 2^62. Where
+    no id is null or repeated, which one aggregation by id tells, nothing is joined.
+    """
+    odd = docs.groupBy(F.col(id_col).cast("long").alias("_odd_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR _odd_id IS NULL")
+    if odd.limit(1).count() == 0:
+        return docs.withColumn(name, F.col(id_col).cast("long"))
+    out = docs.join(odd.where("_odd_id IS NOT NULL").select("_odd_id"), F.col(id_col).cast("long") == F.col("_odd_id"), "left")
+    hashed = F.shiftrightunsigned(F.xxhash64(id_col, whole_text(text_col)), 2) + F.lit(1 << 62)
+    return out.withColumn(name, F.when(F.col("_odd_id").isNull() & F.col(id_col).isNotNull(), F.col(id_col).cast("long")).otherwise(hashed)).drop("_odd_id")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

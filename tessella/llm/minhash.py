@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -10,21 +11,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import LOWER, LOWER_BYTES, NOT_SPACE, discard, documents, mixed, raw, shingles, slices, small_batches, stored, word_hashes, words
+from tessella.llm.common import LOWER, LOWER_BYTES, NOT_SPACE, discard, documents, gather, mixed, raw, shingles, slices, small_batches, stored, word_hashes, words
 from tessella.llm.graph import components
 
 #: Coordinates of a signature, hash functions whose least values make up one coordinate, and how many coordinates must be
 #: equal for a pair to be looked at. At similarity 0.8 a coordinate is equal with probability 0.512; fewer than 8 of 48
 #: are for one pair in 7 million. Unrelated texts share single least values, but hardly three at once.
 COORDINATES, JOINED, MATCHES = 48, 3, 8
-#: The last byte of every least value is kept, too: so many of 144 must be equal, or a pair isn't confirmed. At similarity
-#: 0.8 fewer are for one pair in 18 million.
-BYTES, EQUAL_BYTES = COORDINATES * JOINED, 88
-#: From so many equal bytes on a document is taken to resemble a pivot; this only decides on the way it is handled.
-NEAR_BYTES = 50
+#: From so many equal coordinates on a document is taken to resemble a pivot; this only decides on the way it is handled.
+NEAR = 3
+HASHES = COORDINATES * JOINED
 _rng = np.random.default_rng(8128)
-_ODD = _rng.integers(0, 2**63, BYTES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _rng.integers(0, 2**63, BYTES, dtype=np.uint64)
+_ODD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -32,42 +31,45 @@ def _signatures(k: int):
     odd, flip = _ODD[:, None], _FLIP[:, None]
     place = np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        least = np.full(BYTES, 2**64 - 1, np.uint64)
+    def signature(s: np.ndarray) -> np.ndarray:
+        least = np.full(HASHES, 2**64 - 1, np.uint64)
         for at in range(0, len(s), 1024):
             np.minimum(least, ((s[None, at : at + 1024] ^ flip) * odd).min(axis=1), out=least)
         least = mixed(least)
         token = place
         for j in range(JOINED):
             token = mixed(token + least[j::JOINED])
-        return token.view(np.int64), (least & np.uint64(255)).astype(np.uint8).view(np.int64)
+        return token.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = raw(batch.column(1))
-            keys, sizes, tokens, sketches, has = [], [], [], [], []
+            keys, sizes, tokens, has = [], [], [], []
             for _, _, d, o in slices(data, offsets):
                 d = LOWER_BYTES[d]
                 starts, ends, counts = words(d, o, NOT_SPACE)
+                keys += _sequences(d, starts, ends, counts)
                 for s in shingles(word_hashes(d, starts, ends), counts, k):
                     sizes.append(len(s))
                     has.append(len(s) > 0)
                     if len(s):
-                        keys.append(np.array([np.bitwise_xor.reduce(mixed(s)), np.add.reduce(mixed(s * np.uint64(3)))], np.uint64).tobytes() + len(s).to_bytes(4, "little"))
-                        token, sketch = signature(s)
-                        tokens.append(token)
-                        sketches.append(sketch)
-                    else:
-                        keys.append(None)
-            lists = []
-            for parts, size in ((tokens, COORDINATES), (sketches, BYTES // 8)):
-                ends = np.concatenate([[0], np.cumsum(np.array(has, np.int32)) * size]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *lists], names=["doc_id", "n_shingles", "set_key", "tokens", "sketch"])
+                        tokens.append(signature(s))
+            ends = np.concatenate([[0], np.cumsum(np.array(has, np.int32)) * COORDINATES]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n_shingles", "words_key", "tokens"])
 
     return run
 
 
+def _sequences(d: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
+    """SHA-256 of each row's words, one space after each; none for a row without words."""
+    lengths = ends - starts + 1
+    plain = gather(np.append(d, np.uint8(32)), starts, lengths)
+    edges = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+    plain[edges[0] + np.cumsum(lengths) - 1] = 32
+    return [hashlib.sha256(plain[a:b]).digest() if b > a else None for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def _full_set(text: str, k: int) -> set:
     w = _WORD.findall(text.translate(LOWER))
     return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
@@ -91,28 +93,16 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _different_bytes(a: str, b: str) -> Column:
-    """How many bytes differ between two sketches: each byte's bits are folded into its last, and those are counted."""
-    total = None
-    for i in range(BYTES // 8):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        n = F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-        total = n if total is None else total + n
-    return total
-
-
-def _sketched(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """pairs (a, b) with the numbers of shingles na, nb and how many bytes of the sketches differ."""
-    left = signed.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("xa"))
-    right = signed.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("xb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("differ", _different_bytes("xa", "xb")).drop("xa", "xb")
+def _counted(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """pairs (a, b) with the numbers of shingles na, nb and of equal coordinates: those that brought the pair together and those of the lists that were skipped, which are probed here."""
+    left = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("tokens").alias("xa"))
+    right = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("tokens").alias("xb"))
+    return pairs.join(left, "a").join(right, "b").withColumn("equal", F.size(F.array_intersect("xa", "xb"))).drop("xa", "xb")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of sketched pairs of class representatives those with enough equal bytes and then a high enough similarity."""
-    near = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("differ") <= BYTES - EQUAL_BYTES))
+    """Of counted pairs of class representatives those with MATCHES equal coordinates and then a high enough similarity."""
+    near = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("equal") >= MATCHES))
     near = stored(near.select("a", "b").distinct())
     both = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     out = stored(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent), "a long, b long"))
@@ -181,13 +171,16 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of distinct word shingles (a document of
     fewer words is one shingle, one without words has no links). component_id is the smallest id reachable.
 
-    1. Equal sets are one class, represented by its smallest id; only representatives go on.
+    1. Documents of the same words in the same order are one class (SHA-256 of the words), represented by its smallest id;
+       only representatives go on. Equal sets of other sequences meet like all others.
     2. Each representative is posted under each (coordinate, value) of its signature. In the order of global frequency,
        rarest first, two documents with MATCHES equal coordinates must meet under one of the first
-       COORDINATES - MATCHES + 1; values that nobody else has use these places up, so a document with too many of them
-       drops out. The remaining, longer lists are skipped: they are only probed, pair by pair, to count all collisions.
+       COORDINATES - MATCHES + 1, the prefix; values that nobody else has use these places up, so a document with too many
+       of them drops out. Only these lists are merged into pairs. The remaining, longer lists are skipped: for a pair that
+       the prefixes bring together they are probed, so that all its collisions are counted, and only pairs of MATCHES
+       collisions are retained.
     3. In each list all are first paired with the pivot, the one whose coordinates most others share: the centre of a group
-       of copies. Pairs whose signatures agree enough are confirmed on full sets and joined into components.
+       of copies. Pairs of enough collisions are confirmed on full sets and joined into components.
     4. Documents x, y of one list that are still in different components are paired where they can be similar enough. What
        they have in common is in the pivot or not. If x and y resemble the pivot, at most the smaller of what either shares
        with it is in it, so the rest must be made up by shingles that the pivot hasn't: x and y are joined on these, the
@@ -207,40 +200,46 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("the signatures are made for 80 percent or more")
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = stored(docs.mapInArrow(_signatures(shingle_words), "doc_id long, n_shingles long, set_key binary, tokens array<long>, sketch array<long>"))
-    usable = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = stored(usable.join(classes, (usable.set_key == classes.set_key) & (usable.doc_id == classes.rep)).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "tokens", "sketch"))
+    signed = stored(docs.mapInArrow(_signatures(shingle_words), "doc_id long, n_shingles long, words_key binary, tokens array<long>"))
+    tables: list[DataFrame] = []
+
+    def table(df: DataFrame) -> DataFrame:
+        tables.append(stored(df))
+        return tables[-1]
+
+    usable = signed.where("words_key IS NOT NULL AND doc_id IS NOT NULL")
+    classes = usable.groupBy("words_key").agg(F.min("doc_id").alias("rep"))
+    reps = table(usable.join(classes, (usable.words_key == classes.words_key) & (usable.doc_id == classes.rep)).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "tokens"))
 
     posts = reps.select("doc_id", F.explode("tokens").alias("token"))
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ordered = stored(posts.join(shared, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order"), F.sum("n").alias("centre")).where(F.size("order") >= MATCHES))
-    lists = stored(ordered.select("doc_id", "centre", F.explode(F.slice("order", F.lit(1), F.size("order") - (MATCHES - 1))).alias("t")).select(F.col("t.token").alias("token"), "doc_id", "centre"))
-    texts = stored(docs.join(ordered.select("doc_id"), "doc_id", "left_semi"))
+    ordered = table(posts.join(shared, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order"), F.sum("n").alias("centre")).where(F.size("order") >= MATCHES))
+    lists = table(ordered.select("doc_id", "centre", F.explode(F.slice("order", F.lit(1), F.size("order") - (MATCHES - 1))).alias("t")).select(F.col("t.token").alias("token"), "doc_id", "centre"))
+    texts = table(docs.join(ordered.select("doc_id"), "doc_id", "left_semi"))
 
     pivots = lists.groupBy("token").agg(F.max_by("doc_id", F.struct("centre", -F.col("doc_id"))).alias("p"))
-    lists = stored(lists.join(pivots, "token").select("token", "p", F.col("doc_id").alias("x")))
+    lists = table(lists.join(pivots, "token").select("token", "p", F.col("doc_id").alias("x")))
     star = lists.where("x <> p").select(F.col("x").alias("a"), F.col("p").alias("b")).distinct()
-    star = stored(_sketched(star, reps))
-    links = _confirmed(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb", "differ"), texts, shingle_words, percent)
+    star = table(_counted(star, reps))
+    links = _confirmed(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb", "equal"), texts, shingle_words, percent)
     labels = components(links)
 
     def labelled(df: DataFrame, key: str, name: str) -> DataFrame:
         return df.join(labels.select(F.col("id").alias(key), F.col("label").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
-    near = F.col("differ") <= BYTES - NEAR_BYTES
+    near = F.col("equal") >= NEAR
     around = labelled(labelled(star.where(near).select(F.col("a").alias("x"), F.col("b").alias("p"), F.col("na").alias("n"), F.col("nb").alias("np")), "x", "lx"), "p", "lp")
     open_pivots = around.where("lx <> lp").select("p").distinct()
-    around = stored(around.join(open_pivots, "p", "left_semi"))
+    around = table(around.join(open_pivots, "p", "left_semi"))
     with_texts = around.select("p", "x").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("doc_id").alias("p"), F.col("text").alias("tp")), "p")
     rest = with_texts.select("p", "x", "tx", "tp").mapInArrow(_residuals(shingle_words), "p long, x long, met long, rest array<long>")
-    around = stored(around.join(rest, ["p", "x"]))
+    around = table(around.join(rest, ["p", "x"]))
     differing = F.col("lx") != F.col("ly")
     # shingles outside the pivot, rarest around it first, up to where fewer are left than x must have in common with any other
     outside = around.select("p", "x", "lx", F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("met")).alias("k"), (F.col("lx") != F.col("lp")).alias("apart"), F.explode("rest").alias("h"))
     often = outside.groupBy("p", "h").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("any")).where("n > 1 AND any").drop("any")
     ranked = outside.join(often, ["p", "h"]).groupBy("p", "x", "lx", "k", "apart").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("order"))
-    prefix = stored(ranked.where(F.size("order") >= F.col("k")).select("p", "x", "lx", "apart", F.explode(F.slice("order", F.lit(1), (F.size("order") - F.col("k") + 1).cast("int"))).alias("t")).select("p", F.col("t.h").alias("h"), "x", "lx", "apart"))
+    prefix = table(ranked.where(F.size("order") >= F.col("k")).select("p", "x", "lx", "apart", F.explode(F.slice("order", F.lit(1), (F.size("order") - F.col("k") + 1).cast("int"))).alias("t")).select("p", F.col("t.h").alias("h"), "x", "lx", "apart"))
     sharing = prefix.where("apart").select("p", "h", "x", "lx").join(prefix.select("p", "h", F.col("x").alias("y"), F.col("lx").alias("ly"), F.col("apart").alias("both")), ["p", "h"]).where(differing & (~F.col("both") | (F.col("x") < F.col("y")))).select("x", "y")
     # without any in common outside the pivot
     x, y = around.where("lx <> lp").select("p", "x", "n", "np", "lx", "met"), around.select("p", F.col("x").alias("y"), F.col("n").alias("m"), F.col("lx").alias("ly"), F.col("met").alias("met_y"))
@@ -249,17 +248,19 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     far = star.where(~near).select(F.col("a").alias("x"), F.col("b").alias("p"))
     apart = lists.join(far, ["x", "p"], "left_semi").select("token").distinct()
-    apart = stored(labelled(lists.join(apart, "token"), "x", "lx"))
+    apart = table(labelled(lists.join(apart, "token"), "x", "lx"))
     hopeless = _hopeless(apart.select(F.col("x").alias("doc_id")).distinct(), reps, texts, shingle_words, percent)
-    apart = stored(apart.join(hopeless.withColumnRenamed("doc_id", "x"), "x", "left_anti"))
+    apart = table(apart.join(hopeless.withColumnRenamed("doc_id", "x"), "x", "left_anti"))
     lone = apart.join(far, ["x", "p"], "left_semi").select("token", "x", "lx", "p")
     direct = lone.join(apart.select("token", F.col("x").alias("y"), F.col("lx").alias("ly")), "token").where(differing & (F.col("y") != F.col("p"))).select("x", "y")
 
     pairs = sharing.unionByName(small).unionByName(direct).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _confirmed(_sketched(pairs, reps), texts, shingle_words, percent)
+    more = _confirmed(_counted(pairs, reps), texts, shingle_words, percent)
     reached = components(links.unionByName(more))
+    for df in (*tables, links, more):
+        discard(df)
 
-    out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
+    out = signed.select("doc_id", "n_shingles", "words_key").join(classes, "words_key", "left")
     out = out.join(reached, out.rep == reached.id, "left")
     component = F.coalesce("label", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

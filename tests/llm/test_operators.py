@@ -494,6 +494,101 @@ def test_every_number_has_its_query():
     assert names == {f"op{i}" for i in range(1, 11)}
 
 
+def _packed_by_hand(rows, capacity=2048):
+    """{(id, piece): (bin, offset, tokens)} of (id, tokens, source, cluster) in one shard, trying every open bin; whole pieces aren't in a bin of the shard."""
+    rest = sorted(((n - (n - 1) // capacity * capacity, i, c, s, (n - 1) // capacity) for i, n, s, c in rows), key=lambda r: (-r[0], r[1], r[2]))
+    bins, out = [], {}
+    for n, i, c, s, piece in rest:
+        fits = [(left, b) for b, (left, ss, cc) in enumerate(bins) if left >= n and s not in ss and c not in cc]
+        b = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append([capacity, set(), set()])
+        out[i, piece] = (b, capacity - bins[b][0], n)
+        bins[b][0] -= n
+        bins[b][1] |= {s} - {None}
+        bins[b][2].add(c)
+    return out
+
+
+def _measured_by_hand(rows):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(BPE)
+    squeezed = lambda t: hashlib.md5(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).digest()
+    return [(r.doc_id, len(plain.encode(r.text or "", add_special_tokens=False).ids) + 1, r.source, squeezed(r.text)) for r in rows]
+
+
+def _is_packed_as(got, want, lengths):
+    assert {(r.doc_id, r.piece): (r.bin_id, r.bin_offset, r.n_tokens) for r in got if r.bin_id >= 0} == want
+    whole = [r for r in got if r.bin_id < 0]
+    assert Counter(r.doc_id for r in whole) == Counter({i: (n - 1) // packing.CAPACITY for i, n in lengths.items() if n > packing.CAPACITY})
+    assert len({r.bin_id for r in whole}) == len(whole) and all((r.bin_offset, r.n_tokens) == (0, packing.CAPACITY) for r in whole)
+
+
+def test_op3_by_hand(spark):
+    rows = _measured_by_hand(spark.read.parquet(f"{SMALL}/documents.parquet").collect())
+    assert len(rows) <= packing.SHARD
+    _is_packed_as(packing.op3_packing(spark, SMALL).collect(), _packed_by_hand(rows), {i: n for i, n, *_ in rows})
+
+
+def _identified_by_hand(docs):
+    """{id: (language, probability, kept)}: the posterior of every language, in plain Python from the bytes on."""
+    size, temper, declared, smoothing, k = language_id.BUCKETS, language_id.TEMPER, language_id.DECLARED, language_id.SMOOTHING, 0
+    fold = lambda b: b + 32 if 65 <= b <= 90 else b
+    letter = lambda b: 97 <= fold(b) <= 122 or b >= 128
+    said = lambda b: letter(b) or b == 32 or 9 <= b <= 13
+
+    def grams(text):
+        b = (text or "").encode()
+        return Counter((((fold(x) * 65599 + fold(y)) * 65599 + fold(z)) * 2654435761 % 2**32) >> 17 for x, y, z in zip(b, b[1:], b[2:], strict=False) if said(x) and said(y) and said(z))
+
+    of = {r.doc_id: grams(r.text) for r in docs}
+    n = Counter(r.lang for r in docs if r.text is not None and r.lang is not None)
+    languages = sorted(x for x in n if n[x] >= language_id.LEAST_ROWS)
+    assert max(n.values()) <= language_id.SAMPLE_ROWS
+    sums = {x: Counter() for x in languages}
+    for r in docs:
+        if r.lang in sums:
+            sums[r.lang].update(of[r.doc_id])
+    logs = {x: (lambda c, total: lambda g: math.log((c[g] + 0.5) / total))(sums[x], sums[x].total() + size / 2) for x in languages}
+    fits = {i: {x: sum(m * logs[x](g) for g, m in c.items()) for x in languages} for i, c in of.items()}
+    p = {}
+    for i, f in fits.items():
+        top = max(f.values()) * temper
+        e = {x: math.exp(v * temper - top) for x, v in f.items()}
+        p[i] = {x: v / sum(e.values()) for x, v in e.items()}
+    by_host = {}
+    for r in docs:
+        by_host.setdefault(r.source, []).append(r.doc_id)
+    total = {x: sum(q[x] for q in p.values()) for x in languages}
+    hosts = {h: {x: sum(p[i][x] for i in ids) for x in languages} for h, ids in by_host.items()}
+    k, out = len(languages), {}
+    for r in docs:
+        own, w = p[r.doc_id], {}
+        for x in languages:
+            parent = (total[x] - own[x] + smoothing * total[x] / len(docs)) / (len(docs) - 1 + smoothing)
+            prior = (hosts[r.source][x] - own[x] + smoothing * parent) / (len(by_host[r.source]) - 1 + smoothing)
+            evidence = 1 if r.lang not in languages else declared if r.lang == x else (1 - declared) / max(k - 1, 1)
+            w[x] = fits[r.doc_id][x] * temper + math.log(max(prior, 1e-12)) + math.log(evidence)
+        best = max(w, key=w.get)
+        probability = 1 / sum(math.exp(v - w[best]) for v in w.values())
+        letters = any(letter(b) for b in (r.text or "").encode())
+        likely = max(fits[r.doc_id].values()) / max(of[r.doc_id].total(), 1) >= -math.log(size)
+        lacking = letters and r.lang is not None and r.lang not in languages
+        out[r.doc_id] = (None if not letters else r.lang if lacking and not likely else best, probability, lacking or (letters and likely and probability >= language_id.LEAST_PROBABILITY))
+    return out
+
+
+def test_op7_by_hand(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    want = _identified_by_hand(docs)
+    got = {r.doc_id: r for r in language_id.op7_language_id(spark, SMALL).collect()}
+    assert set(got) == set(want)
+    for i, (lang, probability, kept) in want.items():
+        assert (got[i].lang, got[i].kept) == (lang, kept)
+        assert got[i].probability is None or got[i].probability == pytest.approx(probability, abs=2e-6)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
@@ -502,15 +597,43 @@ def test_pipeline(spark):
     for _, stage in p.STAGES[:3]:
         kept = stage(spark, kept, SMALL).cache()
         assert kept.columns == docs.columns
-    texts = _pairs(docs)
-    told = {r.doc_id for r in language_id.identify(docs, language_id.fit(docs), declared=F.col("lang"), host=F.col("source")).where("kept").collect()}
+    rows = {r.doc_id: r for r in docs.collect()}
+    told = {i for i, (_, _, ok) in _identified_by_hand(list(rows.values())).items() if ok}
     first, left = {}, []
-    for i, t in sorted(texts):
+    for i, t in sorted(_pairs(docs)):
         if i in told and first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i) == i:
             left.append((i, t))
     near = _similar(left, 5)
-    assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in near.items() if i == c}
-    mixed = p.STAGES[3][1](spark, kept, SMALL)
-    ids = {r.doc_id for r in mixed.collect()}
-    got = p.run(spark, SMALL)
-    assert {r.doc_id for r in got.collect()} == ids and ids <= {r.doc_id for r in kept.collect()}
+    want = {i for i, (_, c) in near.items() if i == c}
+    assert {r.doc_id for r in kept.collect()} == want
+    mixed = [r.doc_id for r in p.STAGES[3][1](spark, kept, SMALL).collect()]
+    counts = Counter(rows[i].source for i in want)
+    blocks = {s: -(-n // mixing.BLOCK) for s, n in counts.items()}
+    assert mixed == [i for i, _ in sorted(_mixed_by_hand([(i, rows[i].source) for i in want], blocks, sum(blocks.values()), mixing.BLOCK), key=lambda x: x[1])]
+    pieces = _measured_by_hand([rows[i] for i in want])
+    _is_packed_as(p.run(spark, SMALL).collect(), _packed_by_hand(pieces), {i: n for i, n, *_ in pieces})
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Null and repeated ids, null sources, clashing columns and an empty table."""
+    import corpus_pipeline as p
+
+    stage, rng = dict(p.STAGES), random.Random(17)
+    a, b = _text(rng, 60), _text(rng, 60)
+    rows = [(None, "a b c"), (1, "d e f"), (2, "d e  f"), (2, "g h"), (5, "x y"), (5, "x y"), (None, "g  h"), (None, None), (7, ""), (10, a), (None, a + " more"), (11, b), (11, a.replace("tea", "tea", 1) + " end"), (12, b + " z")]
+    docs = spark.createDataFrame([(i, t, "en", None if n % 2 else "s", 1, 2, "k") for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, lane long, _n long, label string")
+    got = [(r.doc_id, r.text) for r in stage["exact dedup"](spark, docs, SMALL).collect()]
+    norm = lambda t: re.sub(r"\s+", " ", t or "")
+    assert len(got) == len({norm(t) for _, t in got}) == len({norm(t) for _, t in rows})
+    assert {(None, "a b c"), (1, "d e f"), (2, "g h"), (5, "x y"), (7, "")} <= set(got) or (None, "g  h") in got
+    assert (1, "d e f") in got and (7, "") in got and got.count((5, "x y")) == 1
+    left = [(r.doc_id, r.text) for r in stage["near dedup"](spark, docs.where("length(text) > 100"), SMALL).collect()]
+    assert sorted(left, key=str) == sorted([(10, a), (12, b + " z")], key=str)
+    said = stage["language ID"](spark, docs, SMALL)
+    assert said.columns == docs.columns and {(r.doc_id, r.text) for r in said.collect()} >= {(None, "a b c"), (2, "g h")}
+    mixed = stage["mixing"](spark, docs, SMALL)
+    assert mixed.columns == docs.columns and Counter(map(str, mixed.collect())) == Counter(map(str, docs.collect()))
+    assert stage["packing"](spark, docs, SMALL).groupBy().sum("n_tokens").first()[0] > len(rows)
+    none = docs.where("false")
+    for name, f in p.STAGES:
+        assert f(spark, none, SMALL).count() == 0, name

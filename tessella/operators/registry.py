@@ -206,8 +206,8 @@ def worst(statuses: DataFrame, group: str, status: str = "status") -> DataFrame:
     return statuses.groupBy(group).agg(F.min_by(status, order).alias("status"))
 
 
-def attribution_gate(facts: DataFrame) -> DataFrame:
-    """(pass, blockers) over one row of facts that must all be 0; a null blocks like a finding (AGG15)."""
+def attribution_gate(facts: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(keep, passed, blockers) of each row of facts, which must all be 0; a null blocks like a finding (AGG15)."""
     names = ["passage_findings", "open_reviews", "citations_unresolved", "retracted_cited", "quotes_unmarked", "data_unverified", "self_overlap"]
     blockers = F.array_compact(F.array(*(F.when(F.coalesce(F.col(n) != 0, F.lit(True)), F.lit(n)) for n in names)))
-    return facts.select((F.size(blockers) == 0).alias("passed"), blockers.alias("blockers"))
+    return facts.select(*(keep or []), (F.size(blockers) == 0).alias("passed"), blockers.alias("blockers"))

@@ -31,7 +31,7 @@ def _signatures(k: int):
     odd, flip = _ODD[:, None], _FLIP[:, None]
     place = np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    def signature(s: np.ndarray) -> np.ndarray:
+    def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         least = np.full(HASHES, 2**64 - 1, np.uint64)
         for at in range(0, len(s), 1024):
             np.minimum(least, ((s[None, at : at + 1024] ^ flip) * odd).min(axis=1), out=least)
@@ -39,12 +39,12 @@ def _signatures(k: int):
         token = place
         for j in range(JOINED):
             token = mixed(token + least[j::JOINED])
-        return token.view(np.int64)
+        return token.view(np.int64), token.astype(np.uint16).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = raw(batch.column(1))
-            keys, sizes, tokens, has = [], [], [], []
+            keys, sizes, tokens, coordinates, has = [], [], [], [], []
             for _, _, d, o in slices(data, offsets):
                 d = LOWER_BYTES[d]
                 starts, ends, counts = words(d, o, NOT_SPACE)
@@ -53,10 +53,14 @@ def _signatures(k: int):
                     sizes.append(len(s))
                     has.append(len(s) > 0)
                     if len(s):
-                        tokens.append(signature(s))
-            ends = np.concatenate([[0], np.cumsum(np.array(has, np.int32)) * COORDINATES]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n_shingles", "words_key", "tokens"])
+                        token, short = signature(s)
+                        tokens.append(token)
+                        coordinates.append(short)
+            lists = []
+            for parts, size in ((tokens, COORDINATES), (coordinates, COORDINATES // 4)):
+                ends = np.concatenate([[0], np.cumsum(np.array(has, np.int32)) * size]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *lists], names=["doc_id", "n_shingles", "words_key", "tokens", "coordinates"])
 
     return run
 
@@ -93,11 +97,23 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _equal_coordinates(a: str, b: str) -> Column:
+    """How many coordinates are equal: four to a number, 16 bits each; the bits that differ are folded into the lowest of each, and those are counted."""
+    different = None
+    for i in range(COORDINATES // 4):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        for shift in (8, 4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        n = F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+        different = n if different is None else different + n
+    return COORDINATES - different
+
+
 def _counted(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """pairs (a, b) with the numbers of shingles na, nb and of equal coordinates: those that brought the pair together and those of the lists that were skipped, which are probed here."""
-    left = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("tokens").alias("xa"))
-    right = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("tokens").alias("xb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("equal", F.size(F.array_intersect("xa", "xb"))).drop("xa", "xb")
+    """pairs (a, b) with the numbers of shingles na, nb and of equal coordinates: those that brought the pair together and those of the lists that were skipped, which are probed here. A coordinate's value is compared by 16 bits, so a pair may have one too many, never one too few."""
+    left = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("coordinates").alias("xa"))
+    right = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("coordinates").alias("xb"))
+    return pairs.join(left, "a").join(right, "b").withColumn("equal", _equal_coordinates("xa", "xb")).drop("xa", "xb")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -200,7 +216,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("the signatures are made for 80 percent or more")
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = stored(docs.mapInArrow(_signatures(shingle_words), "doc_id long, n_shingles long, words_key binary, tokens array<long>"))
+    signed = stored(docs.mapInArrow(_signatures(shingle_words), "doc_id long, n_shingles long, words_key binary, tokens array<long>, coordinates array<long>"))
     tables: list[DataFrame] = []
 
     def table(df: DataFrame) -> DataFrame:
@@ -209,7 +225,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     usable = signed.where("words_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = usable.groupBy("words_key").agg(F.min("doc_id").alias("rep"))
-    reps = table(usable.join(classes, (usable.words_key == classes.words_key) & (usable.doc_id == classes.rep)).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "tokens"))
+    reps = table(usable.join(classes, (usable.words_key == classes.words_key) & (usable.doc_id == classes.rep)).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "tokens", "coordinates"))
 
     posts = reps.select("doc_id", F.explode("tokens").alias("token"))
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

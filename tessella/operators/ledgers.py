@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from tessella.functions.text import doi_key, is_placeholder, title_key
 
 
+_UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
+#: Zero to thirty in words.
+NUMBER_WORDS = [*_UNITS, *(f"twenty-{x}" for x in _UNITS[1:10]), "thirty"]
+
+
 def reconcile(flow: DataFrame) -> DataFrame:
     """(id, rule, expected, found): counts of a selection flow that don't add up; unknown (null) counts are no finding (AGG09)."""
     c = F.col
@@ -66,10 +71,9 @@ def evidence_table(rows: DataFrame, group: str) -> DataFrame:
 
 
 def claimed_counts(text: DataFrame, ledger: DataFrame, phrase: str) -> DataFrame:
-    """(id, said, held): numbers before a phrase in a text against the ledger's count; digits or words up to twelve (AGG11)."""
-    words = "zero one two three four five six seven eight nine ten eleven twelve".split()
-    raw = F.lower(F.regexp_extract("text", rf"(?i)\b(\d+|{'|'.join(words)})\s+{phrase}", 1))
-    said = F.coalesce(F.try_to_number(raw, F.lit("999999")).cast("int"), F.nullif(F.array_position(F.array(*map(F.lit, words)), raw).cast("int"), F.lit(0)) - 1)
+    """(id, said, held): numbers before a phrase in a text against the ledger's count; digits or words up to thirty (AGG11)."""
+    raw = F.lower(F.regexp_extract("text", rf"(?i)\b(\d+|{'|'.join(reversed(NUMBER_WORDS))})\s+{phrase}", 1))
+    said = F.coalesce(F.try_to_number(raw, F.lit("999999")).cast("int"), F.nullif(F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), raw).cast("int"), F.lit(0)) - 1)
     return text.select("id", said.alias("said")).join(ledger, "id").where("said IS NOT NULL AND said <> held")
 
 
@@ -156,20 +160,25 @@ def clause_key(text: Column) -> Column:
 
 
 def cite_keys(works: DataFrame) -> DataFrame:
-    """(work_id, cite_key): surname and year; further works with the same get a, b, ... (SCA14)."""
+    """(work_id, cite_key): surname and year; further works with the same get a, b, ... z, then aa, ab, ... (SCA14)."""
     base = F.concat(F.regexp_replace(F.lower(F.split_part("author", F.lit(","), F.lit(1))), "[^a-z]", ""), F.coalesce(F.col("year").cast("string"), F.lit("nd")))
-    k = F.row_number().over(W.partitionBy("base").orderBy("work_id"))
-    return works.select("work_id", base.alias("base")).withColumn("k", k).select("work_id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.chr((F.col("k") + 95).cast("long")))).alias("cite_key"))
+    k = F.row_number().over(W.partitionBy("base").orderBy("work_id")) - 2  # the first of all has no letters
+    letter = lambda n: F.chr((97 + n).cast("long"))
+    suffix = F.when(F.col("k") < 0, "").when(F.col("k") < 26, letter(F.col("k"))).when(F.col("k") < 702, F.concat(letter(F.floor((F.col("k") - 26) / 26)), letter((F.col("k") - 26) % 26))).otherwise(F.concat(F.lit("-"), F.col("k").cast("string")))
+    return works.select("work_id", base.alias("base")).withColumn("k", k).select("work_id", F.concat("base", suffix).alias("cite_key"))
 
 
 def formatted(style: str) -> Column:
-    """A reference (author, year, title, journal, volume, pages, doi) in a style: apa, vancouver, mla, ris, bibtex (SNK05)."""
+    """A reference (author, year, title, journal, volume, pages, doi) in a style: apa, vancouver, mla, chicago, ieee, harvard, ris, bibtex (SNK05)."""
     c = {x: F.coalesce(F.col(x).cast("string"), F.lit("")) for x in ("author", "year", "title", "journal", "volume", "pages", "doi")}
     join = lambda *x: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in x))
     return {
         "apa": join(c["author"], " (", c["year"], "). ", c["title"], ". ", c["journal"], ", ", c["volume"], ", ", c["pages"], "."),
         "vancouver": join(c["author"], ". ", c["title"], ". ", c["journal"], ". ", c["year"], ";", c["volume"], ":", c["pages"], "."),
         "mla": join(c["author"], '. "', c["title"], '." ', c["journal"], ", vol. ", c["volume"], ", ", c["year"], ", pp. ", c["pages"], "."),
+        "chicago": join(c["author"], '. "', c["title"], '." ', c["journal"], " ", c["volume"], " (", c["year"], "): ", c["pages"], "."),
+        "ieee": join(c["author"], ', "', c["title"], ',"', " ", c["journal"], ", vol. ", c["volume"], ", pp. ", c["pages"], ", ", c["year"], "."),
+        "harvard": join(c["author"], " (", c["year"], ") '", c["title"], "', ", c["journal"], ", ", c["volume"], ", pp. ", c["pages"], "."),
         "ris": join("TY  - JOUR\nAU  - ", c["author"], "\nPY  - ", c["year"], "\nTI  - ", c["title"], "\nJO  - ", c["journal"], "\nDO  - ", c["doi"], "\nER  -"),
         "bibtex": join("@article{key,\n  author = {", c["author"], "},\n  year = {", c["year"], "},\n  title = {", c["title"], "}\n}"),
     }[style]

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessella.functions.text import doi_key, query_terms, title_key
 
@@ -110,18 +113,23 @@ def dedup_first(papers: DataFrame) -> DataFrame:
     return papers.withColumn("_key", paper_key()).groupBy("_key").agg(F.min_by(F.struct(*names), "pos").alias("r")).select("r.*")
 
 
+@F.pandas_udf(StringType())
+def _without_accents(names: pd.Series) -> pd.Series:
+    """Letters are taken apart from their marks (NFKD), and the marks dropped."""
+    return names.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
+
+
 def fold(name: Column) -> Column:
-    """A name in lower case without the usual accents and punctuation (FLT04)."""
-    plain = F.translate(F.lower(name), "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
-    return F.trim(F.regexp_replace(plain, r"[^a-z0-9,]+", " "))
+    """A name in lower case without accents, of any script that has them, and without punctuation (FLT04)."""
+    return F.trim(F.regexp_replace(F.lower(_without_accents(name)), r"[^\p{L}\p{N},]+", " "))
 
 
 def parsed_name(name: Column) -> Column:
     """struct(family, given): "Family, Given" or the last word, with particles before it (FLT04)."""
     n = F.regexp_replace(fold(name), r"\s+(jr|sr|ii|iii|iv)$", "")
     particles = "|".join(_PARTICLES)
-    family = F.when(F.contains(n, F.lit(",")), F.trim(F.split_part(n, F.lit(","), F.lit(1)))).otherwise(F.regexp_extract(n, rf"((?:(?:{particles}) )*[a-z0-9]+)$", 1))
-    given = F.when(F.contains(n, F.lit(",")), F.trim(F.split_part(n, F.lit(","), F.lit(2)))).otherwise(F.trim(F.regexp_replace(n, rf"((?:(?:{particles}) )*[a-z0-9]+)$", "")))
+    family = F.when(F.contains(n, F.lit(",")), F.trim(F.split_part(n, F.lit(","), F.lit(1)))).otherwise(F.regexp_extract(n, rf"((?:(?:{particles}) )*[\p{{L}}\p{{N}}]+)$", 1))
+    given = F.when(F.contains(n, F.lit(",")), F.trim(F.split_part(n, F.lit(","), F.lit(2)))).otherwise(F.trim(F.regexp_replace(n, rf"((?:(?:{particles}) )*[\p{{L}}\p{{N}}]+)$", "")))
     return F.struct(family.alias("family"), given.alias("given"))
 
 

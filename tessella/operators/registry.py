@@ -187,17 +187,71 @@ def section_of(sentences: DataFrame, headings: DataFrame) -> DataFrame:
     return both.withColumn("section", last).where("kind = 1").select("doc_id", "pos", "section")
 
 
-def match_files(files: DataFrame, sources: DataFrame) -> DataFrame:
-    """(file, source_id): by DOI in the name, then id or citekey as a word of it, then by the first words of the title (JOIN12)."""
+def match_files(files: DataFrame, sources: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+    """(file, source_id, method): files (file) of sources (source_id, citekey, title[, doi]), by the first that holds (JOIN12).
+
+    filename-doi: the name is a DOI with `_` for `/`. filename-id: an id or citekey is a word of it. filename-title, for names and
+    titles of 20 characters and more: the first eight words of the title stand in the name, or four fifths of its words do; the
+    best score wins. Names and titles meet by a word that both have. Sources of `claimed` are left out.
+    """
+    from tessella.functions.text import title_key
+
+    sources = sources if claimed is None else sources.join(claimed.select("source_id"), "source_id", "left_anti")
+    stem = F.regexp_replace("file", r"\.[A-Za-z0-9]{1,5}$", "")
+    names = files.select("file", stem.alias("stem"), title_key(stem).alias("name"))
+    words = names.select("file", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
+    by_id = words.join(sources.select("source_id", F.explode(F.array(F.lower("source_id"), F.lower("citekey"))).alias("word")), "word").select("file", "source_id", F.lit(1).alias("order"), F.lit(1.0).alias("score"))
+    out = by_id
+    if "doi" in sources.columns:
+        known = sources.select("source_id", doi_key(F.col("doi")).alias("key")).where("key IS NOT NULL")
+        spelt = names.select("file", doi_key(F.regexp_replace("stem", r"^(10\.\d{4,9})[_ ]", "$1/")).alias("key"))
+        out = out.unionByName(spelt.join(known, "key").select("file", "source_id", F.lit(0).alias("order"), F.lit(1.0).alias("score")))
+    key = title_key(F.col("title"))
+    titles = sources.select("source_id", key.alias("title"), F.split(key, " ").alias("w")).where(F.length("title") >= 20)
+    terms = titles.select("source_id", "title", F.array_join(F.slice("w", 1, 8), " ").alias("head"), F.size(F.array_distinct("w")).alias("n"), F.explode(F.array_distinct("w")).alias("word"))
+    met = words.where(F.length("name") >= 20).join(terms, "word").groupBy("file", "name", "source_id", "head", "n").agg(F.count(F.lit(1)).alias("k"))
+    score = F.when(F.contains("name", F.col("head")), F.length("head") / F.length("name")).when(F.col("k") / F.col("n") >= 0.8, F.col("k") / F.col("n"))
+    out = out.unionByName(met.select("file", "source_id", F.lit(2).alias("order"), score.alias("score")).where("score IS NOT NULL"))
+    best = out.groupBy("file").agg(F.min_by(F.struct("source_id", "order"), F.struct("order", -F.col("score"), "source_id")).alias("r"))
+    method = F.element_at(F.array(*map(F.lit, ("filename-doi", "filename-id", "filename-title"))), F.col("r.order") + 1)
+    return best.select("file", F.col("r.source_id").alias("source_id"), method.alias("method"))
+
+
+def find_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, file): for each name wanted (name) a file (file): the same base name, else the same stem, else one stem within the other (JOIN12).
+
+    For the last a stem is posted under the rarest run of three characters that it has, and met by the others' runs; stems of fewer
+    than three characters are a run of their own.
+    """
+    base = lambda x: F.lower(F.regexp_extract(x, r"([^/\\]*)$", 1))
+    stem = lambda x: F.regexp_replace(base(x), r"\.[a-z0-9]+$", "")
+    runs = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substring(x, i, F.lit(3))))
+    a, b = wanted.select("name", base(F.col("name")).alias("base"), stem(F.col("name")).alias("stem")), files.select("file", base(F.col("file")).alias("b"), stem(F.col("file")).alias("s"))
+    same = a.join(b, a.base == b.b).select("name", "file", F.lit(0).alias("order"))
+    stems = a.join(b, a.stem == b.s).select("name", "file", F.lit(1).alias("order"))
+    left, right = a.where("stem <> ''").select("name", "stem", F.explode(runs(F.col("stem"))).alias("t")), b.where("s <> ''").select("file", "s", F.explode(runs(F.col("s"))).alias("t"))
+    often = left.select("t").unionByName(right.select("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    rarest = lambda df, *by: df.join(often, "t").groupBy(*by).agg(F.min_by("t", F.struct("n", "t")).alias("t"))
+    within = left.join(rarest(right, "file", "s"), "t").where(F.contains("stem", F.col("s"))).unionByName(rarest(left, "name", "stem").join(right, "t").where(F.contains("s", F.col("stem"))).select("t", "name", "stem", "file", "s"))
+    inside = within.select("name", "file", F.lit(2).alias("order")).distinct()
+    return same.unionByName(stems).unionByName(inside).groupBy("name").agg(F.min_by("file", F.struct("order", "file")).alias("file"))
+
+
+def bibliography_status(entries: DataFrame, records: DataFrame) -> DataFrame:
+    """(key, status, detail) of a bibliography's entries (key, ident, title, year) by registry records (ident, reached, found, title, year, retracted) (JOIN08).
+
+    UNCHECKED: the registry wasn't reached, or there is nothing to ask by; that is no finding about the entry. FAIL: it was reached
+    and has no such record. RETRACTED. WARN: year or the first 40 characters of the title differ. Else OK.
+    """
     from tessella.functions.text import title_key
 
-    name = title_key(F.regexp_replace("file", r"\.[A-Za-z0-9]+$", ""))
-    words = files.select("file", name.alias("name"), F.explode(F.split(name, " ")).alias("word"))
-    by_id = words.join(sources.select("source_id", F.explode(F.array(F.lower("source_id"), F.lower("citekey"))).alias("word")), "word").select("file", "source_id", F.lit(1).alias("order"))
-    head = F.array_join(F.slice(F.split(title_key(F.col("title")), " "), 1, 8), " ")
-    first = sources.select("source_id", head.alias("head"), F.split_part(head, F.lit(" "), F.lit(1)).alias("word")).where(F.length("head") >= 20)
-    by_title = words.join(first, "word").where(F.contains("name", F.col("head"))).select("file", "source_id", F.lit(2).alias("order"))
-    return by_id.unionByName(by_title).groupBy("file").agg(F.min_by("source_id", F.struct("order", "source_id")).alias("source_id"))
+    r = records.select("ident", F.coalesce("reached", F.lit(False)).alias("reached"), F.coalesce("found", F.lit(False)).alias("found"), F.col("title").alias("r_title"), F.col("year").alias("r_year"), "retracted")
+    j = entries.join(r, "ident", "left")
+    head = lambda x: F.substring(title_key(x), 1, 40)
+    year, title = F.col("year") != F.col("r_year"), head(F.col("title")) != head(F.col("r_title"))
+    detail = F.array_join(F.array_compact(F.array(F.when(year, F.lit("year")), F.when(title, F.lit("title")))), ",")
+    status = F.when(F.col("ident").isNull() | F.col("reached").isNull() | ~F.col("reached"), "UNCHECKED").when(~F.col("found"), "FAIL").when(F.col("retracted"), "RETRACTED").when(detail != "", "WARN").otherwise("OK")
+    return j.select("key", status.alias("status"), F.when(status == "WARN", detail).alias("detail"))
 
 
 def worst(statuses: DataFrame, group: str, status: str = "status") -> DataFrame:

@@ -289,7 +289,7 @@ def part_files(spark, sf_dir):
     """JOIN12: files named by id or by key."""
     p = table(spark, sf_dir, "part")
     files = p.select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("S"), "p_partkey", F.lit("_final.pdf"))).otherwise(F.concat(F.lit("key"), "p_partkey", F.lit("-v2.PDF"))).alias("file"))
-    return R.match_files(files, p.select(F.concat(F.lit("S"), "p_partkey").alias("source_id"), F.concat(F.lit("key"), "p_partkey").alias("citekey"), F.lit("short").alias("title")))
+    return R.match_files(files, p.select(F.concat(F.lit("S"), "p_partkey").alias("source_id"), F.concat(F.lit("key"), "p_partkey").alias("citekey"), F.lit("short").alias("title"))).drop("method")
 
 
 @query("""SELECT l_orderkey AS k, l_linenumber AS n, round((l_discount + l_quantity - l_discount)::DOUBLE / (2 * 1.959963984540054), 9) AS se, round(CASE WHEN l_tax > 0 THEN ln(l_tax::DOUBLE * 20) END, 9) AS lr, round(CASE WHEN l_discount < 0.1 THEN atanh(l_discount::DOUBLE * 10) END, 9) AS z, round(CASE WHEN l_quantity > 3 THEN 1 / sqrt(l_quantity - 3) END, 9) AS z_se FROM lineitem""")

@@ -11,11 +11,13 @@ FORBIDDEN = r"(?i)(plagiari[sz]m[\x20\x09-\x0D-]?free|\berror[\x20\x09-\x0D-]?fr
 CLEAN = r"(?i)\bno (?:overlap|match(?:es)?|passage|finding)s? (?:was|were|is|are)? ?(?:found|detected|above)\b|\bclean report\b|\b0 findings\b|\ball checks? passed\b|\bnothing was flagged\b|\bno (?:defect|error)s? (?:was|were) found\b"
 BOUND = r"(?i)against the sources? (?:checked|supplied|read)|not a clearance|cannot certify|does not cover|is not covered|known limitation|bounded by|on the (?:classes|set|cases) tested|measured on|input gap|could not be (?:read|checked|resolved)|not (?:a )?(?:claim|guarantee|proof)|limitations"
 NEGATION = r"(?i)\b(?:not|no|never|without|cannot|can't|isn't|aren't|doesn't)\b[^.]{0,24}$"
+#: Where a word begins and ends, in every regex dialect alike: no letter of any script stands there.
+_B, _E = r"(?:^|[^A-Za-z0-9_\x80-\x{10FFFF}])", r"(?:[^A-Za-z0-9_\x80-\x{10FFFF}]|$)"
 #: Contractions, progressive and passive forms (FLT12).
-CONTRACTION = r"(?i)\b(?:don|doesn|isn|aren|wasn|weren|can|won|couldn|shouldn|wouldn|hasn|haven|hadn|mustn)['’]t\b|\b(?:it|that|there|we|you|he|she|they)['’](?:s|re|ve|ll)\b"
-PROGRESSIVE = r"(?i)\b(?:is|are|was|were|be|been) [a-z]+ing\b"
-PASSIVE = r"(?i)\b(?:is|are|was|were|be|been) [a-z]+ed\b"
-INSTRUCTION = r"(?i)^(?:add|apply|ask|build|call|check|choose|compare|create|define|delete|do|download|enter|find|follow|give|include|install|keep|list|make|open|put|read|record|remove|repeat|report|run|save|search|select|send|set|show|start|stop|take|test|turn|use|verify|wait|write)\b"
+CONTRACTION = rf"(?i){_B}(?:don|doesn|isn|aren|wasn|weren|can|won|couldn|shouldn|wouldn|hasn|haven|hadn|mustn)['’]t{_E}|{_B}(?:it|that|there|we|you|he|she|they)['’](?:s|re|ve|ll){_E}"
+PROGRESSIVE = rf"(?i){_B}(?:is|are|was|were|be|been) [a-z]+ing{_E}"
+PASSIVE = rf"(?i){_B}(?:is|are|was|were|be|been) [a-z]+ed{_E}"
+INSTRUCTION = rf"(?i)^(?:add|apply|ask|build|call|check|choose|compare|create|define|delete|do|download|enter|find|follow|give|include|install|keep|list|make|open|put|read|record|remove|repeat|report|run|save|search|select|send|set|show|start|stop|take|test|turn|use|verify|wait|write){_E}"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Classes of wording that a rewrite must keep (SCA17, JOIN10).
 NORMATIVE = {
@@ -27,8 +29,8 @@ NORMATIVE = {
     "number": r"(?i)(?:^|[^A-Za-z0-9_.])([0-9]+(?:\.[0-9]+)?[\x20\x09-\x0D]*(?:%|words?|sentences?|seconds?|min|hours?|pages?|chars?|bytes?|KB|MB))",
     "check_id": r"\b([CHSRKDF][0-9]{1,2}[a-z]?)\b",
 }
-CLAUSE = r"(?i)\b(?:must not|must|shall not|shall|never|do not|don't|forbidden|refuses?|avoids?|prohibited|required)\b"
-PROHIBITION, OBLIGATION = r"(?i)\b(?:must not|shall not|never|do not|don't|forbidden|refuses?|avoids?|prohibited)\b", r"(?i)\b(?:must|shall)\b(?! not)|\brequired\b"
+CLAUSE = rf"(?i){_B}(?:must not|must|shall not|shall|never|do not|don't|forbidden|refuses?|avoids?|prohibited|required){_E}"
+PROHIBITION, OBLIGATION = rf"(?i){_B}(?:must not|shall not|never|do not|don't|forbidden|refuses?|avoids?|prohibited){_E}", rf"(?i){_B}(?:must|shall)(?! not){_E}|{_B}required{_E}"
 
 
 def without_code(text: Column) -> Column:

@@ -156,11 +156,11 @@ def customer_markers(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array_join(Q.author_year_markers(text), ";").alias("markers"))
 
 
-@query("""SELECT p_partkey AS id, 'p_value:p < 0.0' || (1 + p_size % 9) || '|measure:HR 0.' || (10 + p_size) || '|confidence_interval:95% CI 0.' || (10 + p_size) || ' to 1.' || (10 + p_size) || '|percent:' || p_size || '.5%|fraction:' || p_size || '/90|count:n = ' || (p_partkey + 100) || '|unit:' || p_size || ' mg|duration:' || p_size || ' weeks|year:2019|number:' || (p_partkey + 100) AS q FROM part""")
+@query("""SELECT p_partkey AS id, 'p_value:p < 0.0' || (1 + p_size % 9) || '|measure:HR 0.' || (10 + p_size) || '|confidence_interval:95% CI 0.' || (10 + p_size) || ' to 1.' || (10 + p_size) || '|percent:' || p_size || '.5%|fraction:' || p_size || '/90|count:n = ' || (p_partkey + 10000) || '|unit:' || p_size || ' mg|duration:' || p_size || ' weeks|year:2019|number:' || (p_partkey + 10000) AS q FROM part""")
 def part_quantities(spark, sf_dir):
     """SCA05: a quantity of each kind, of which the earlier owns its text."""
     c, size = F.col, F.col("p_size")
-    text = F.concat(F.lit("HR 0."), 10 + size, F.lit(" (95% CI 0."), 10 + size, F.lit(" to 1."), 10 + size, F.lit("), p < 0.0"), 1 + size % 9, F.lit("; "), size, F.lit(".5% ("), size, F.lit("/90) in 2019, n = "), c("p_partkey") + 100, F.lit(", on "), size, F.lit(" mg over "), size, F.lit(" weeks; then "), c("p_partkey") + 100)
+    text = F.concat(F.lit("HR 0."), 10 + size, F.lit(" (95% CI 0."), 10 + size, F.lit(" to 1."), 10 + size, F.lit("), p < 0.0"), 1 + size % 9, F.lit("; "), size, F.lit(".5% ("), size, F.lit("/90) in 2019, n = "), c("p_partkey") + 10000, F.lit(", on "), size, F.lit(" mg over "), size, F.lit(" weeks; then "), c("p_partkey") + 10000)
     return table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), F.array_join(F.transform(Q.quantities(text), lambda s: F.concat_ws(":", s["kind"], s["raw"])), "|").alias("q"))
 
 

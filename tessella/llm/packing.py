@@ -95,6 +95,34 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return docs.select(F.col(id_col).alias("doc_id"), (words if tokens is None else tokens).alias("n_tokens"), F.col(source_col).alias("source"), cluster)
 
 
+def packed_sequences(pieces: DataFrame, docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 2, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(bin_id, ids, n_tokens, starts): the sequence of each bin of pack()'s pieces, over documents of unique ids.
+
+    ids are `capacity` little-endian numbers of 2 bytes (4 where the vocabulary needs them), filled up with pad_id; n_tokens of
+    them are the documents' own, each document's followed by end_id; starts are the offsets of its pieces. Texts become
+    ids once, pieces are cut out of them, and a bin's pieces, no more than it holds, meet in one row. A null text is its end alone; no
+    pieces give no rows.
+    """
+    small_batches(docs.sparkSession, 500)
+    kind = loaded(tokenizer).kind
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, end = loaded(tokenizer), np.array([end_id], kind).tobytes()
+        for batch in batches:
+            out: list[bytes] = []
+            for flat, n in bpe.encode(*raw(batch.column(1))):
+                out += [x.tobytes() + end for x in np.split(flat, np.cumsum(n)[:-1])] if len(n) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+
+    size = kind.itemsize
+    ids = docs.select(F.col(id_col).cast("long"), whole_text(text_col)).mapInArrow(encode, "doc_id long, ids binary")
+    cut = pieces.join(ids, "doc_id").select("bin_id", "bin_offset", "n_tokens", F.expr(f"substring(ids, cast(piece * {capacity * size} + 1 AS int), cast(n_tokens * {size} AS int))").alias("part"))
+    bins = cut.groupBy("bin_id").agg(F.sort_array(F.collect_list(F.struct("bin_offset", "part"))).alias("p"), F.sum("n_tokens").alias("n_tokens"))
+    joined = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["part"]))
+    pad = F.lit(np.array([pad_id], kind).tobytes())
+    return bins.select("bin_id", F.rpad(joined, F.lit(capacity * size), pad).alias("ids"), "n_tokens", F.transform("p", lambda x: x["bin_offset"]).alias("starts"))
+
+
 def tokenized(docs: DataFrame) -> DataFrame:
     """measured() by the byte-level BPE of the token ids."""
     import public_tokenizers

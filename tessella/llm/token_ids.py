@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -187,7 +188,11 @@ def loaded(path: str) -> CachedBpe:
 
 
 def _place(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri)
+    """Arrow's file system of a full URI: file, hdfs, gs, abfs and s3, of which s3a is Spark's name. Other stores raise an error, here and not half-way."""
+    try:
+        return pa.fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+    except pa.ArrowInvalid as error:
+        raise ValueError(f"shards can't be written to {uri}: {error}") from error
 
 
 def _schema(kind: np.dtype, sequence: int) -> pa.Schema:
@@ -271,6 +276,7 @@ def write_token_ids(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2,
     Ids take 2 bytes where the vocabulary allows. A null or empty text is its end id alone; no rows make no shards.
     """
     small_batches(docs.sparkSession, 500)
+    _place(uri)
     n = shards or partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -234,6 +234,24 @@ def test_token_ids(spark, odd, tmp_path):
     assert len(ids) == len(mask) == 64 and not ids.flags.owndata
 
 
+def test_token_ids_of_null_and_repeated_ids(odd, tmp_path):
+    uri = f"file://{tmp_path}/odd"
+    got = token_ids.read_token_ids(token_ids.write_token_ids(odd, BPE, uri, shards=2, sequence=64), uri).collect()
+    from tokenizers import Tokenizer
+
+    plain, start = Tokenizer.from_file(BPE), 0
+    rows = sorted(_pairs(odd), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    for r, (i, t) in zip(sorted(got, key=lambda r: r.start), rows, strict=True):
+        n = len(plain.encode(t or "", add_special_tokens=False).ids) + 1
+        assert (r.doc_id, r.start, r.n_tokens) == (i, start, n)
+        start += n
+
+
+def test_stores_that_shards_cannot_be_written_to():
+    with pytest.raises(ValueError, match="dbfs"):
+        token_ids._place("dbfs:/x")
+
+
 def test_cached_bpe_equals_the_library():
     bpe, rng = token_ids.CachedBpe(BPE, kept=50), random.Random(6)
     signs = ["a", "b", " a", "\u00a0", "\u2003", "\u2019", "É", "1", ".", "'s", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "　", "漢", "<|endoftext|>", "\U0001f600", "\r", "_"]

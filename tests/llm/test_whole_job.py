@@ -85,3 +85,24 @@ def test_wrapped_notices(spark):
     docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string").coalesce(1)
     got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in license_scan.license_scan(docs).collect()}
     assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+def test_packed_sequences_hold_the_tokens_of_their_pieces(spark):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    docs = spark.createDataFrame([(1, "tea and water " * 40, "a"), (2, None, "b"), (3, "\u6f22\u5b57 " * 90, "a"), (4, "one more", "c")], "doc_id long, text string, source string")
+    want = {r.doc_id: [*plain.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
+    pieces = packing.pack(packing.measured(docs, tokenizer=path), capacity=64)
+    where = {(r.bin_id, r.bin_offset): (r.doc_id, r.piece, r.n_tokens) for r in pieces.collect()}
+    found = {}
+    for r in packing.packed_sequences(pieces, docs, path, capacity=64).collect():
+        ids = np.frombuffer(r.ids, np.uint16)
+        assert len(ids) == 64 and not ids[r.n_tokens :].any()
+        for at in r.starts:
+            doc, piece, n = where.pop((r.bin_id, at))
+            found[doc, piece] = ids[at : at + n].tolist()
+    assert not where
+    assert {d: sum((found[d, k] for k in sorted(k for x, k in found if x == d)), []) for d in want} == want

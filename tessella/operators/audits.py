@@ -177,3 +177,85 @@ def distribution(df: DataFrame, value: Column, group: list[str] | None = None) -
 def batches(ids: DataFrame, key: str, size: int, group: list[str]) -> DataFrame:
     """ids with `batch`: chunks of at most `size` ids of each group, in the order of the id (STR06)."""
     return ids.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(*group).orderBy(key)) - 1) / size))
+
+
+# The vocabularies of a source ledger (RUL02).
+PUBLICATION_TYPES = "journal_article randomised_trial systematic_review meta_analysis review guideline consensus_statement cohort_study case_control_study cross_sectional_study case_report case_series editorial comment letter preprint conference_abstract registry_record book_chapter report other".split()
+JOURNAL_TYPES = PUBLICATION_TYPES[:12]
+VOCABULARIES = {
+    "peer_reviewed": ["yes", "no", "unknown"],
+    "verification_status": ["verified", "unverified", "failed"],
+    "inclusion_status": ["included", "excluded", "pending", "cited_for_context"],
+    "retraction_status": ["not_checked", "clear", "retracted", "expression_of_concern", "corrected"],
+    "retrieval_status": ["returned", "empty", "unavailable", "error", "user_supplied"],
+}
+EXTRACTED = "study_design population intervention comparator n_participants follow_up key_outcomes main_finding effect_estimate theme".split()
+PERSONAL = {
+    "EMAIL": r"(?i)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.(com|org|net|edu|gov|io)",
+    "MRN": r"(?i)\b(MRN|medical record number)\b",
+    "DOB": r"(?i)\b(DOB|date of birth)\b",
+    "PHONE": r"\b[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}\b",
+    "NHS_NPI": r"(?i)\b(NPI|NHS number)\b",
+}
+
+
+def source_issues(sources: DataFrame, today: str, strict: bool = False) -> DataFrame:
+    """(source_id, code, severity, detail) of a source ledger's rows, each constraint a column expression (RUL02).
+
+    A row whose id is no S and digits has that one issue. Columns that a ledger lacks count as blank. today is a date, which
+    verified dates and years are held against. strict makes missing extraction fields errors.
+    """
+    has = set(sources.columns)
+    raw = {n: F.trim(F.coalesce(F.col(n).cast("string"), F.lit(""))) if n in has else F.lit("") for n in ["source_id", "title", "authors", "container", "year", "doi", "pmid", "pmcid", "publication_type", "verifier", "verified_date", "locator", "exclusion_reason", "pages", "volume", "issue", "notes", *VOCABULARIES, *EXTRACTED]}
+    c = {n: F.lower(x) if n in VOCABULARIES else x for n, x in raw.items()}
+    blank = lambda x: F.lower(x).isin("", "unknown", "na", "n/a", "-", "none", "tbd", "todo", "?")
+    absent = lambda x: blank(x) | (F.lower(x).isin("not_reported", "not_applicable"))
+    identified = ~absent(c["doi"]) | ~absent(c["pmid"]) | ~absent(c["pmcid"])
+    status, inclusion, retraction, kind = c["verification_status"], c["inclusion_status"], c["retraction_status"], c["publication_type"]
+    citable, verified, used = inclusion.isin("included", "cited_for_context"), status == "verified", (inclusion == "included") & (status == "verified")
+    year, n, effect = F.try_to_number(c["year"], F.lit("9999")).cast("int"), F.regexp_replace(F.lower(c["n_participants"]), "[, ]", ""), F.lower(c["effect_estimate"])
+    dated = c["verified_date"].rlike(r"^\d{4}-\d{2}-\d{2}$")
+    given = lambda x: (x != "") & ~x.isin("not_reported", "not_applicable")
+    rules = [
+        ("MISSING_TITLE", "error", blank(c["title"])),
+        ("MISSING_AUTHORS", "error", c["authors"] == ""),
+        ("MISSING_CONTAINER", "error", c["container"] == ""),
+        ("INVALID_YEAR", "error", ~c["year"].rlike(r"^\d{4}$")),
+        ("YEAR_OUT_OF_RANGE", "error", c["year"].rlike(r"^\d{4}$") & ~year.between(1500, int(today[:4]) + 1)),
+        ("MALFORMED_DOI", "error", ~absent(c["doi"]) & ~c["doi"].rlike(r"^(?i)(https?://(dx\.)?doi\.org/|doi:)?10\.\d{4,9}/\S+$")),
+        ("MALFORMED_PMID", "error", ~absent(c["pmid"]) & ~c["pmid"].rlike(r"^\d{1,8}$")),
+        ("MALFORMED_PMCID", "error", ~absent(c["pmcid"]) & ~c["pmcid"].rlike(r"^(?i)PMC\d+$")),
+        ("INVALID_PUBLICATION_TYPE", "error", ~kind.isin(PUBLICATION_TYPES)),
+        ("INVALID_PEER_REVIEWED", "error", ~c["peer_reviewed"].isin(VOCABULARIES["peer_reviewed"])),
+        ("PEER_REVIEW_STATUS_UNKNOWN", "warning", c["peer_reviewed"] == "unknown"),
+        *((f"INVALID_{f.upper()}", "error", ~c[f].isin(VOCABULARIES[f])) for f in VOCABULARIES if f != "peer_reviewed"),
+        ("INCLUDED_WITHOUT_IDENTIFIER", "error", citable & ~identified),
+        ("RETRIEVED_WITHOUT_IDENTIFIER", "warning", citable & ~identified & (c["retrieval_status"] == "returned")),
+        ("VERIFIED_WITHOUT_VERIFIER", "error", verified & (c["verifier"] == "")),
+        ("VERIFIED_WITHOUT_DATE", "error", verified & ~dated),
+        ("VERIFIED_DATE_IN_FUTURE", "error", verified & dated & (c["verified_date"] > today)),
+        ("VERIFIED_WITHOUT_LOCATOR", "error", verified & (c["locator"] == "")),
+        ("VERIFIED_WITHOUT_IDENTIFIER", "error", verified & ~identified),
+        ("UNVERIFIED_SOURCE_INCLUDED", "error", status.isin("unverified", "failed") & citable),
+        ("RETRACTION_NOT_CHECKED", "warning", retraction == "not_checked"),
+        ("RETRACTED_SOURCE_INCLUDED", "error", (retraction == "retracted") & citable),
+        ("RETRACTED_RETAINED_FOR_CONTEXT", "info", (retraction == "retracted") & ~citable),
+        ("EXPRESSION_OF_CONCERN", "warning", retraction == "expression_of_concern"),
+        ("PREPRINT_INCLUDED_LABEL_REQUIRED", "warning", (kind == "preprint") & citable),
+        ("ABSTRACT_INCLUDED_QUALIFY_IN_TEXT", "warning", (kind == "conference_abstract") & citable),
+        ("EXCLUDED_WITHOUT_REASON", "error", (inclusion == "excluded") & (c["exclusion_reason"] == "")),
+        ("PENDING_INCLUSION_DECISION", "warning", inclusion == "pending"),
+        ("CONTEXT_CITATION_NOT_IN_EVIDENCE_BASE", "info", (inclusion == "cited_for_context") & verified),
+        ("MISSING_PAGES_FOR_JOURNAL_ARTICLE", "warning", used & kind.isin(JOURNAL_TYPES) & F.lower(c["pages"]).isin("", "unknown", "na", "n/a", "-")),
+        ("MISSING_VOLUME_AND_ISSUE", "warning", used & kind.isin(JOURNAL_TYPES) & absent(c["volume"]) & absent(c["issue"])),
+        ("INVALID_N_PARTICIPANTS", "warning", used & given(n) & ~n.rlike(r"^\d+$")),
+        ("EFFECT_ESTIMATE_WITHOUT_NUMBER", "warning", used & given(effect) & ~effect.rlike(r"\d")),
+    ]
+    told = [(code, severity, "", bad) for code, severity, bad in rules]
+    told += [("MISSING_EXTRACTION_FIELD", "error" if strict else "warning", f, used & (c[f] == "")) for f in EXTRACTED]
+    told += [("AMBIGUOUS_EXTRACTION_VALUE", "warning", f, used & F.lower(c[f]).isin("unknown", "na", "n/a", "-", "none")) for f in EXTRACTED]
+    told += [(f"POSSIBLE_PHI_{code}", "error", f, c[f].rlike(p)) for f in ("title", "population", "key_outcomes", "notes", "main_finding") for code, p in PERSONAL.items()]
+    issue = lambda code, severity, detail: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(detail).alias("detail"))
+    fit = c["source_id"].rlike(r"^S\d{3,8}$")
+    found = F.array_compact(F.array(F.when(~fit, issue("INVALID_SOURCE_ID", "error", "")), *(F.when(fit & bad, issue(code, severity, detail)) for code, severity, detail, bad in told)))
+    return sources.select(c["source_id"].alias("source_id"), F.explode(found).alias("f")).select("source_id", "f.*")

@@ -191,3 +191,26 @@ def document_numbers(spark, sf_dir):
     """SCA06: all numbers as doubles, with signs, decimals and thousands."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.numbers(F.coalesce("text", F.lit(""))).alias("f"))
     return d.select("doc_id", F.size("f").alias("n"), F.size(F.array_distinct("f")).alias("n_different"), F.array_max("f").alias("most"), F.array_min("f").alias("least"))
+
+
+_SOURCES = """SELECT 'S' || lpad(p_partkey::VARCHAR, 8, '0') AS source_id, p_partkey AS k, p_size AS n FROM part"""
+
+
+@query(f"""WITH s AS ({_SOURCES}) SELECT CASE WHEN k % 19 = 0 THEN 'X' || k ELSE source_id END AS source_id, code, severity, detail FROM s, LATERAL (SELECT * FROM (VALUES
+  ('INVALID_SOURCE_ID', 'error', '', k % 19 = 0), ('MISSING_TITLE', 'error', '', k % 19 > 0 AND n % 5 = 0), ('MISSING_AUTHORS', 'error', '', k % 19 > 0 AND k % 7 = 0), ('INVALID_YEAR', 'error', '', k % 19 > 0 AND n % 6 = 1), ('YEAR_OUT_OF_RANGE', 'error', '', k % 19 > 0 AND n % 6 = 2),
+  ('MALFORMED_DOI', 'error', '', k % 19 > 0 AND k % 4 = 1), ('INCLUDED_WITHOUT_IDENTIFIER', 'error', '', k % 19 > 0 AND k % 4 = 2 AND k % 3 < 2), ('RETRIEVED_WITHOUT_IDENTIFIER', 'warning', '', k % 19 > 0 AND k % 4 = 2 AND k % 3 < 2), ('VERIFIED_WITHOUT_IDENTIFIER', 'error', '', k % 19 > 0 AND k % 4 = 2 AND n % 2 = 0),
+  ('INVALID_PUBLICATION_TYPE', 'error', '', k % 19 > 0 AND n % 9 = 0), ('PREPRINT_INCLUDED_LABEL_REQUIRED', 'warning', '', k % 19 > 0 AND n % 9 = 1 AND k % 3 < 2), ('PEER_REVIEW_STATUS_UNKNOWN', 'warning', '', k % 19 > 0 AND k % 6 = 0), ('VERIFIED_WITHOUT_VERIFIER', 'error', '', k % 19 > 0 AND n % 2 = 0 AND k % 5 = 0),
+  ('VERIFIED_DATE_IN_FUTURE', 'error', '', k % 19 > 0 AND n % 2 = 0 AND k % 8 = 0), ('UNVERIFIED_SOURCE_INCLUDED', 'error', '', k % 19 > 0 AND n % 2 = 1 AND k % 3 < 2), ('RETRACTED_SOURCE_INCLUDED', 'error', '', k % 19 > 0 AND k % 10 = 0 AND k % 3 < 2), ('RETRACTED_RETAINED_FOR_CONTEXT', 'info', '', k % 19 > 0 AND k % 10 = 0 AND k % 3 = 2),
+  ('EXCLUDED_WITHOUT_REASON', 'error', '', k % 19 > 0 AND k % 3 = 2), ('CONTEXT_CITATION_NOT_IN_EVIDENCE_BASE', 'info', '', k % 19 > 0 AND k % 3 = 1 AND n % 2 = 0), ('MISSING_EXTRACTION_FIELD', 'warning', 'theme', k % 19 > 0 AND k % 3 = 0 AND n % 2 = 0), ('AMBIGUOUS_EXTRACTION_VALUE', 'warning', 'comparator', k % 19 > 0 AND k % 3 = 0 AND n % 2 = 0),
+  ('MISSING_PAGES_FOR_JOURNAL_ARTICLE', 'warning', '', k % 19 > 0 AND k % 3 = 0 AND n % 2 = 0 AND n % 9 > 1), ('INVALID_N_PARTICIPANTS', 'warning', '', k % 19 > 0 AND k % 3 = 0 AND n % 2 = 0 AND n % 4 = 0), ('EFFECT_ESTIMATE_WITHOUT_NUMBER', 'warning', '', k % 19 > 0 AND k % 3 = 0 AND n % 2 = 0 AND n % 8 = 0), ('POSSIBLE_PHI_EMAIL', 'error', 'notes', k % 19 > 0 AND k % 25 = 0)) AS v(code, severity, detail, told)) WHERE told""")
+def part_source_issues(spark, sf_dir):
+    """RUL02: a ledger made of every part, whose rows break one constraint or another."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    when = lambda test, a, b="": F.when(test, a).otherwise(b)
+    fields = {
+        "source_id": F.when(k % 19 == 0, F.concat(F.lit("X"), k)).otherwise(F.concat(F.lit("S"), F.lpad(k.cast("string"), 8, "0"))), "title": when(n % 5 == 0, "TBD", "Tea"), "authors": when(k % 7 == 0, " ", "Lee"), "container": F.lit("J"), "year": F.when(n % 6 == 1, "20x0").when(n % 6 == 2, "1400").otherwise("2020"),
+        "doi": F.when(k % 4 == 1, "no doi").when(k % 4 == 2, "").otherwise("10.1000/x"), "publication_type": F.when(n % 9 == 0, "poem").when(n % 9 == 1, "preprint").otherwise("review"), "peer_reviewed": when(k % 6 == 0, "unknown", "Yes"), "verification_status": when(n % 2 == 0, "verified", "unverified"),
+        "inclusion_status": F.when(k % 3 == 0, "included").when(k % 3 == 1, "cited_for_context").otherwise("excluded"), "retraction_status": when(k % 10 == 0, "retracted", "clear"), "retrieval_status": F.lit("returned"), "verifier": when(k % 5 == 0, "", "me"), "verified_date": when(k % 8 == 0, "2030-01-01", "2024-01-01"), "locator": F.lit("p. 1"),
+        "volume": F.lit("3"), "n_participants": when(n % 4 == 0, "many", "1,200"), "effect_estimate": when(n % 8 == 0, "better", "HR 0.8"), "comparator": F.lit("None"), "notes": when(k % 25 == 0, "ask ann@example.org", "ok"), **{f: F.lit("told") for f in ("study_design", "population", "intervention", "follow_up", "key_outcomes", "main_finding")},
+    }
+    return A.source_issues(table(spark, sf_dir, "part").select(*(x.alias(f) for f, x in fields.items())), "2026-01-01")

@@ -15,7 +15,7 @@ PII = {
     "birth": r"(?i)\b(?:dob|date of birth)[: ]+\d",
     "ip": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
 }
-OVERCLAIM = r"(?i)\b(proves?|guarantees?|definitively|undoubtedly|conclusively|always|never)\b"
+OVERCLAIM = r"(?i)\b(proves?|guarantees?|definitively|undoubtedly|conclusively|always)\b"
 
 
 def _word(alternatives: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import agreement as A
+from tessella.operators import audits as A2
 from tessella.operators import checks as C
 from tessella.plans.registry import query, table
 
@@ -84,13 +85,16 @@ def style_findings(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", C.matches(F.col("text"), r"\b(?:is|are|was|were) [a-z]+ed\b").alias("passives"), F.size(long_).alias("long_sentences"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, '(?i)\\b(proves?|guarantees?|definitively|undoubtedly|conclusively|always|never)\\b') AND NOT regexp_matches(line, '(?i)\\b(not|no|never|without)\\b.{0,30}\\b(proves?|guarantees?|definitively|undoubtedly|conclusively|always|never)\\b')) AS overclaims FROM l GROUP BY doc_id""")
+@query(rf"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '(?m)^[ \t]*```[\s\S]*?(?:^[ \t]*```[^\n]*$|\z)', '', 'g') AS t FROM documents), l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM t),
+h AS (SELECT doc_id, regexp_extract_all(line, '{C.OVERCLAIM}', 1) AS hits, string_split_regex(line, '{C.OVERCLAIM}') AS parts FROM l WHERE regexp_matches(line, '{C.OVERCLAIM}')), k AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM h),
+b AS (SELECT doc_id, right(array_to_string(list_transform(range(1, k + 1), lambda i: CASE WHEN i > 1 THEN hits[i - 1] ELSE '' END || parts[i]), ''), 30) AS before FROM k)
+SELECT doc_id, count(*) AS n_lines, (SELECT count(*) FROM b WHERE b.doc_id = l.doc_id AND NOT regexp_matches(before, '{A2.NEGATION.replace("'", "''")}')) AS overclaims FROM l GROUP BY doc_id""")
 def overclaim_lines(spark, sf_dir):
-    """FLT09: lines that overclaim and don't negate it within 30 characters before."""
-    lines = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    negated = r"(?i)\b(not|no|never|without)\b.{0,30}" + C.OVERCLAIM.removeprefix("(?i)")
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("line").rlike(C.OVERCLAIM) & ~F.col("line").rlike(negated)).alias("overclaims"))
+    """FLT09: overclaims of a document that no negation stands before within 30 characters, each judged by itself."""
+    d = _docs(spark, sf_dir)
+    found = A2.claim_findings(d, forbidden=C.OVERCLAIM).where("kind = 'FORBIDDEN'").groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    lines = d.select("doc_id", F.size(F.split(A2.without_code(F.coalesce("text", F.lit(""))), "\n")).cast("long").alias("n_lines"))
+    return lines.join(found, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n", F.lit(0).cast("long")).alias("overclaims"))
 
 
 @query("""SELECT doc_id, len(regexp_extract_all(text, '\\d+'))::INT AS n, len(list_distinct(regexp_extract_all(text, '\\d+')))::INT AS n_different, coalesce(list_max(list_transform(regexp_extract_all(text, '\\d+'), lambda x: length(x))), 0)::INT AS longest FROM documents""")

@@ -259,3 +259,21 @@ def source_issues(sources: DataFrame, today: str, strict: bool = False) -> DataF
     fit = c["source_id"].rlike(r"^S\d{3,8}$")
     found = F.array_compact(F.array(F.when(~fit, issue("INVALID_SOURCE_ID", "error", "")), *(F.when(fit & bad, issue(code, severity, detail)) for code, severity, detail, bad in told)))
     return sources.select(c["source_id"].alias("source_id"), F.explode(found).alias("f")).select("source_id", "f.*")
+
+
+def certainty_table(sources: DataFrame, claims: DataFrame) -> DataFrame:
+    """(theme, n_sources, participants, certainty, directions, designs, caveats) of sources (source_id, theme, participants, direction, design) and claims (certainty, caveat, source_ids) (AGG08).
+
+    participants adds up digits only, with thousands' commas; certainty is the highest of the claims that rest on a source of the
+    theme; directions and designs are counts by value, in the order of the values; a blank theme is not_reported.
+    """
+    s = sources.withColumn("theme", F.coalesce(F.nullif(F.trim("theme"), F.lit("")), F.lit("not_reported")))
+    n = F.try_to_number(F.replace(F.col("participants").cast("string"), F.lit(","), F.lit("")), F.lit("999999999999999")).cast("long")
+    out = s.groupBy("theme").agg(F.count(F.lit(1)).alias("n_sources"), F.sum(n).alias("participants"))
+    for value, name in (("direction", "directions"), ("design", "designs")):
+        one = s.groupBy("theme", value).agg(F.count(F.lit(1)).alias("n")).groupBy("theme").agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), "n"))).alias("l"))
+        out = out.join(one.select("theme", F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["v"], x["n"].cast("string"))), ";").alias(name)), "theme", "left")
+    order = F.array_position(F.array(*map(F.lit, ("very low", "low", "moderate", "high"))), F.col("certainty"))
+    links = claims.select("certainty", "caveat", F.explode("source_ids").alias("source_id")).join(s.select("source_id", "theme"), "source_id")
+    of = links.groupBy("theme").agg(F.max_by("certainty", order).alias("certainty"), F.array_join(F.sort_array(F.collect_set("caveat")), ";").alias("caveats"))
+    return out.join(of, "theme", "left").select("theme", "n_sources", "participants", "certainty", "directions", "designs", "caveats")

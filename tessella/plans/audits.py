@@ -214,3 +214,17 @@ def part_source_issues(spark, sf_dir):
         "volume": F.lit("3"), "n_participants": when(n % 4 == 0, "many", "1,200"), "effect_estimate": when(n % 8 == 0, "better", "HR 0.8"), "comparator": F.lit("None"), "notes": when(k % 25 == 0, "ask ann@example.org", "ok"), **{f: F.lit("told") for f in ("study_design", "population", "intervention", "follow_up", "key_outcomes", "main_finding")},
     }
     return A.source_issues(table(spark, sf_dir, "part").select(*(x.alias(f) for f, x in fields.items())), "2026-01-01")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS source_id, CASE WHEN s_nationkey % 5 = 0 THEN 'not_reported' ELSE 't' || s_nationkey % 5 END AS theme, CASE WHEN s_suppkey % 4 > 0 THEN 1000 + s_suppkey END AS n, CASE WHEN s_acctbal > 0 THEN 'up' ELSE 'down' END AS direction, ['cohort', 'rct', 'review'][s_suppkey % 3 + 1] AS design FROM supplier),
+c AS (SELECT theme, ['very low', 'low', 'moderate', 'high'][max(o_custkey % 4 + 1)] AS certainty, string_agg(DISTINCT CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END, ';' ORDER BY CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END) AS caveats FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN s ON source_id = l_suppkey GROUP BY theme),
+d AS (SELECT theme, string_agg(direction || ':' || n, ';' ORDER BY direction) AS directions FROM (SELECT theme, direction, count(*) AS n FROM s GROUP BY ALL) GROUP BY theme), e AS (SELECT theme, string_agg(design || ':' || n, ';' ORDER BY design) AS designs FROM (SELECT theme, design, count(*) AS n FROM s GROUP BY ALL) GROUP BY theme)
+SELECT theme, count(*) AS n_sources, sum(n)::BIGINT AS participants, any_value(certainty) AS certainty, any_value(directions) AS directions, any_value(designs) AS designs, any_value(caveats) AS caveats FROM s LEFT JOIN c USING (theme) LEFT JOIN d USING (theme) LEFT JOIN e USING (theme) GROUP BY theme""")
+def supplier_certainty(spark, sf_dir):
+    """AGG08: suppliers as sources, orders as claims that rest on them."""
+    k = F.col("s_suppkey")
+    sources = table(spark, sf_dir, "supplier").select(k.alias("source_id"), F.when(F.col("s_nationkey") % 5 == 0, " ").otherwise(F.concat(F.lit("t"), F.col("s_nationkey") % 5)).alias("theme"), F.when(k % 4 > 0, F.format_number(1000 + k, 0)).otherwise("many").alias("participants"), F.when(F.col("s_acctbal") > 0, "up").otherwise("down").alias("direction"), F.element_at(F.array(*map(F.lit, ("cohort", "rct", "review"))), (k % 3 + 1).cast("int")).alias("design"))
+    o = table(spark, sf_dir, "orders")
+    ids = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_suppkey").alias("source_ids"))
+    certainty = F.element_at(F.array(*map(F.lit, ("very low", "low", "moderate", "high"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    return A.certainty_table(sources, o.join(ids, "o_orderkey").select(certainty.alias("certainty"), F.nullif("o_orderstatus", F.lit("O")).alias("caveat"), "source_ids"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import exact_dedup, language_id, license_scan, minhash, mixing, packing, quality_rules, suffix_blocks, token_counts, token_ids
+from tessella.llm import exact_dedup, language_id, license_scan, minhash, mixing, order_minhash, packing, quality_rules, spelling, suffix_blocks, token_counts, token_ids, vector_codes
 
-_MODULES = (token_ids, license_scan, packing, exact_dedup, token_counts, suffix_blocks, language_id, quality_rules, mixing, minhash)
+_MODULES = (token_ids, license_scan, packing, exact_dedup, token_counts, suffix_blocks, language_id, quality_rules, mixing, minhash, order_minhash, vector_codes, spelling)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

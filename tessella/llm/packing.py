@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE_PATTERN, documents, raw, small_batches, stored, whole_text
+from tessella.llm.common import SPACE_PATTERN, documents, partitions, raw, small_batches, stored, whole_text
 from tessella.llm.token_ids import loaded
 
 #: Tokens of a bin.
@@ -51,35 +52,64 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int =
     return out
 
 
+def _numbered(full: DataFrame) -> DataFrame:
+    """full with `before`: how many bins the rows before it fill, over all rows.
+
+    Rows are dealt into ranges of their order and stored, so that the sums by range, one row each, belong to the numbers within;
+    no task sees more than its range.
+    """
+    spark = full.sparkSession
+    dealt = stored(full.repartitionByRange(partitions(spark), "doc_id", "tie").select("*", F.spark_partition_id().alias("range")))
+    sums = {r["range"]: r["n"] for r in dealt.groupBy("range").agg(F.sum("whole").alias("n")).collect()}  # one row for each partition
+    starts, at = {}, 0
+    for k in sorted(sums):
+        starts[k], at = at, at + sums[k]
+    if not starts:
+        return dealt.select("*", F.lit(0).cast("long").alias("before"))
+    start = F.create_map(*(F.lit(x).cast(kind) for pair in starts.items() for x, kind in zip(pair, ("int", "long"), strict=True)))
+    own = F.sum("whole").over(W.partitionBy("range").orderBy("doc_id", "tie", "source", "n_tokens", "copy").rowsBetween(W.unboundedPreceding, -1))
+    return dealt.withColumn("before", start[F.col("range")] + F.coalesce(own, F.lit(0)))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """(doc_id, piece, bin_id, bin_offset, n_tokens) for documents (doc_id, n_tokens, source, cluster).
 
     A document of more than `capacity` tokens fills bins of its own and leaves its remainder, the last piece, to be packed;
-    so no token is lost. Pieces are dealt by hash of the id into shards of about `shard` pieces, whatever their source or
-    cluster, and each shard is packed by itself, longest first: its bins hold no more than its rows, however many copies
-    or rows of one source there are. Lengths below 1 or null count as 1. The result is the same for every run.
+    so no token is lost. Bins of whole pieces are numbered, -1, -2 and so on, by prefix sums over ranges of ids; so no two
+    rows share one, even if they repeat an id and everything else. Remainders are dealt by hash of the id and a number of the row
+    into shards of about `shard` pieces, whatever their source or cluster, and each shard is packed by itself, longest first: its
+    bins hold no more than its rows, however many copies or rows of one source or id there are. Lengths below 1 or null count as 1.
+    Null ids are rows like others, null sources and clusters conflict with none; clusters are of any type (maps excepted), compared
+    as they are. Other columns are ignored; an empty table has no pieces. Rows that differ are packed the same way in every run.
     """
-    pieces = pieces.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(1)), F.lit(1)).alias("n_tokens"), F.col("source").cast("string").alias("source"), "cluster")
     whole = F.floor((F.col("n_tokens") - 1) / capacity)
-    pieces = stored(pieces.withColumn("whole", whole).withColumn("rest", F.col("n_tokens") - whole * capacity))
+    pieces = pieces.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(1)), F.lit(1)).alias("n_tokens"), F.col("source").cast("string").alias("source"), F.col("cluster"))
+    cluster = F.when(F.col("cluster").isNotNull(), F.sha2(F.to_json(F.struct("cluster")) if dict(pieces.dtypes)["cluster"] not in ("binary", "string") else F.col("cluster"), 256))
+    pieces = pieces.withColumn("cluster", cluster).withColumn("tie", F.xxhash64("source", "cluster", "n_tokens"))
+    #: Tells apart rows that repeat everything: there is no other order among them.
+    pieces = stored(pieces.withColumn("whole", whole).withColumn("rest", F.col("n_tokens") - whole * capacity).withColumn("copy", F.monotonically_increasing_id()))
     shards = max(1, -(-pieces.count() // shard))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
+    odd = pieces.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
+    #: Rows of one id go by their own numbers: a null or repeated id may have any number of rows.
+    salted = odd.limit(1).count() > 0
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(shards)))
+    if salted:
+        dealt = pieces.join(odd.select(F.col("doc_id").alias("same"), F.lit(True).alias("odd")), F.col("doc_id").eqNullSafe(F.col("same")), "left")
+        dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tie", F.when(F.col("odd"), F.col("copy"))), F.lit(shards)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["rest", "doc_id", "cluster"], ascending=[False, True, True], kind="stable", na_position="last")
-        none = rows["source"].isna(), rows["cluster"].isna()
-        got = best_fit(rows["rest"].tolist(), [None if x else s for s, x in zip(rows["source"], none[0], strict=True)], [None if x else bytes(c) for c, x in zip(rows["cluster"], none[1], strict=True)], capacity)
+        rows = rows.sort_values(["rest", "doc_id", "tie", "copy"], ascending=[False, True, True, True], kind="stable", na_position="last")
+        got = best_fit(rows["rest"].tolist(), *([None if x is None or x != x else x for x in rows[c]] for c in ("source", "cluster")), capacity)
         return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "piece": rows["whole"], "bin_id": rows["shard"] * 2**32 + [b for b, _ in got], "bin_offset": [x for _, x in got], "n_tokens": rows["rest"]})
 
-    packed = dealt.groupBy("shard").applyInPandas(run, "doc_id long, piece long, bin_id long, bin_offset long, n_tokens long")
-    full = pieces.where("whole > 0").select("doc_id", "cluster", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") - 1)).alias("piece"))
-    #: Bins of whole pieces are named by hash: negative, so unlike those of shards.
-    own = full.select("doc_id", F.col("piece").cast("long"), (-F.shiftrightunsigned(F.xxhash64("doc_id", "cluster", "piece"), 1) - 1).alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"), F.lit(capacity).cast("long").alias("n_tokens"))
+    packed = dealt.select("doc_id", "source", "cluster", "tie", "whole", "rest", "copy", "shard").groupBy("shard").applyInPandas(run, "doc_id long, piece long, bin_id long, bin_offset long, n_tokens long")
+    full = _numbered(pieces.where("whole > 0")).select("doc_id", "before", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") - 1)).alias("piece"))
+    own = full.select("doc_id", F.col("piece").cast("long"), (-1 - F.col("before") - F.col("piece")).alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"), F.lit(capacity).cast("long").alias("n_tokens"))
     return packed.unionByName(own)
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokens: Column | None = None, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, source, cluster) of documents: ids of a tokenizer file and an end token each; without one words and an end token, unless `tokens` says otherwise; a cluster is all documents whose texts are equal but for white space. Null text is empty."""
+    """(doc_id, n_tokens, source, cluster) of documents: ids of a tokenizer file and an end token each; without one words and an end token, unless `tokens` says otherwise; a cluster is all documents whose texts are equal but for white space. Null text is empty; null and repeated ids are rows like others, other columns are ignored, an empty table gives no rows."""
     cluster = F.unhex(F.md5(F.regexp_replace(whole_text(text_col), SPACE_PATTERN, " "))).alias("cluster")
     if tokenizer is not None:
         small_batches(docs.sparkSession, 500)

@@ -7,34 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.tails import chi2_tail, t_quantile, t_two_sided, two_sided
 from tessella.operators.synthesis import drop_reason, pool
 
 #: Half the width of a 95 % interval in standard errors.
 Z95 = 1.959963984540054
 
 
-def chi2_tail(x: Column, df: Column) -> Column:
-    """P(X >= x) for a chi-squared X of `df` degrees of freedom (STA06).
-
-    One less the lower incomplete gamma function's series, of as many terms as x needs; the logarithm of gamma at a
-    multiple of a half is a sum. Null where x or df is null or df is below 1.
-    """
-    a, half = df / 2, x / 2
-    steps = F.when(df >= 3, F.sequence(F.lit(1), F.floor((df - 1) / 2).cast("int")))
-    # log gamma(a + 1): the product from a down to 1 or 1/2
-    log_gamma = F.log(a) + F.coalesce(F.aggregate(steps, F.lit(0.0), lambda s, j: s + F.log(a - j)), F.lit(0.0)) + F.when(df % 2 == 1, F.lit(0.5723649429247001)).otherwise(0.0)
-    first = F.exp(a * F.log(half) - half - log_gamma)
-    terms = F.sequence(F.lit(1), F.ceil(half + 12 * F.sqrt(half) + 60).cast("int"))
-    start = F.struct(first.alias("term"), first.alias("total"))
-    total = F.aggregate(terms, start, lambda s, n: F.struct((s["term"] * half / (a + n)).alias("term"), (s["total"] + s["term"] * half / (a + n)).alias("total")))["total"]
-    return F.when((df < 1) | x.isNull() | df.isNull(), F.lit(None)).when(x <= 0, 1.0).otherwise(F.greatest(1 - total, F.lit(0.0)))
-
-
-def two_sided(z: Column) -> Column:
-    """P(|Z| >= |z|) for a standard normal Z."""
-    return chi2_tail(z * z, F.lit(1))
-
-
 def interval(estimate: Column, se: Column) -> tuple[Column, Column]:
     return estimate - Z95 * se, estimate + Z95 * se
 
@@ -52,6 +31,18 @@ def inference(effects: DataFrame, group: list[str]) -> DataFrame:
     return pooled.select(*group, "k", F.col("dl").alias("estimate"), low.alias("low"), high.alias("high"), two_sided(F.col("dl") / F.col("dl_se")).alias("p"), F.when(F.col("q") > df, chi2_tail(F.col("q"), df)).alias("q_p"), pi_low.alias("pi_low"), pi_high.alias("pi_high"))
 
 
+def hartung_knapp(effects: DataFrame, group: list[str], level: float = 0.05) -> DataFrame:
+    """(group, k, estimate, se, t, low, high, p) of the random-effects pool with Hartung and Knapp's standard error and Student's t on k - 1 degrees of freedom (STA05).
+
+    A group of one row has an estimate alone. Equal studies have a standard error of 0: then t, p and the interval are null.
+    """
+    pooled = pool(effects, group).select(*group, "k", F.col("dl").alias("estimate"), F.col("hk_se").alias("se"))
+    df = F.col("k") - 1
+    t = F.when(F.col("se") > 0, F.col("estimate") / F.col("se"))
+    half = F.when(F.col("se") > 0, t_quantile(F.lit(level), df) * F.col("se"))
+    return pooled.select("*", t.alias("t"), half.alias("half")).select(*group, "k", "estimate", "se", "t", (F.col("estimate") - F.col("half")).alias("low"), (F.col("estimate") + F.col("half")).alias("high"), t_two_sided(F.col("t"), df).alias("p"))
+
+
 def _usable(effects: DataFrame) -> DataFrame:
     return effects.where(drop_reason(F.col("yi"), F.col("sei")).isNull()).withColumn("vi", F.col("sei") * F.col("sei"))
 
@@ -108,7 +99,7 @@ def refits(effects: DataFrame, group: list[str], study: str) -> DataFrame:
     """(group, study, estimate, se, p): the random-effects pool without each study (STA09).
 
     tau2 without a study follows from the group's sums less its own; the second pass weighs the group's other rows with it, a
-    join of an analysis with itself.
+    join of an analysis with itself: k rows for each of its k studies, so meant for analyses of up to some thousands of studies.
     """
     rows = _usable(effects).withColumn("w", 1 / F.col("vi"))
     y = F.col("yi")

@@ -10,14 +10,32 @@ from tessella.plans.synthesis import _EFFECTS, _POOL, _rounded, effects
 
 
 
+def _erfc(x: str) -> str:
+    """By the series of erf below 2 and a continued fraction, from its end, above."""
+    series = f"1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n: (CASE n % 2 WHEN 0 THEN 1 ELSE -1 END) * pow({x}, 2 * n + 1) / gamma(n + 1) / (2 * n + 1)))"
+    fraction = f"list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(0, 80), lambda i: (80 - i)::DOUBLE)), lambda f, j: 1 + j / (2 * ({x}) * ({x})) / f)"
+    return f"CASE WHEN {x} < 2 THEN {series} ELSE exp(-({x}) * ({x})) / (({x}) * sqrt(pi())) / {fraction} END"
+
+
 def _tail(x: str, df: str) -> str:
-    return f"CASE WHEN {x} <= 0 THEN 1.0 ELSE greatest(1 - list_sum(list_transform(range(0, 800), lambda n: exp(({df} / 2.0 + n) * ln({x} / 2.0) - {x} / 2.0 - lgamma({df} / 2.0 + n + 1)))), 0) END"
+    """P(X >= x) of whole degrees of freedom: the finite sum of its terms, which a library of quadrature has no part in."""
+    h, odd = f"({x} / 2.0)", f"({df} % 2)"
+    terms = f"coalesce(list_sum(list_transform(range(0, (({df}) // 2)::BIGINT), lambda j: exp((j + {odd} / 2.0) * ln({h}) - {h} - lgamma(j + 1 + {odd} / 2.0)))), 0)"
+    return f"CASE WHEN {x} <= 0 THEN 1.0 ELSE (CASE WHEN {odd} = 1 THEN {_erfc(f'sqrt({h})')} ELSE 0 END) + {terms} END"
 
 
 def _two_sided(z: str) -> str:
     return _tail(f"(({z}) * ({z}))", "1")
 
 
+def _t_two_sided(t: str, df: str) -> str:
+    """The finite sums of cosines for whole degrees of freedom."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, (({df}) // 2)::BIGINT), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1) + 2 * j * ln(cos({angle}))))) / sqrt(pi())"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(0, (({df} - 1) // 2)::BIGINT), lambda j: exp(lgamma(j + 1) - lgamma(j + 1.5) + (2 * j + 1) * ln(cos({angle}))))), 0) * sqrt(pi()) / 2)"
+    return f"greatest(1 - (CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END), 0)"
+
+
 _Z = "1.959963984540054"
 
 
@@ -29,6 +47,30 @@ def pool_inference(spark, sf_dir):
     return _rounded(M.inference(effects(spark, sf_dir), ["g"]), ["g", "k"], ["estimate", "low", "high", "p", "q_p", "pi_low", "pi_high"])
 
 
+def _newton(before: str, after: str) -> str:
+    """A step of Newton's rule from column t of one table towards the point that |t| exceeds with probability 0.05."""
+    density = "exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + t * t / df, -(df + 1) / 2)"
+    return f"{after} AS (SELECT * REPLACE (t + ({_t_two_sided('t', 'k - 1')} - 0.05) / (2 * {density}) AS t) FROM {before})"
+
+
+@query(_POOL + f""", r AS (SELECT t.g, k, (k - 1)::DOUBLE AS df, dl, sqrt((SELECT sum((w.yi - dl) ** 2 / (w.sei * w.sei + tau2)) FROM w WHERE w.g = t.g) / (k - 1) / sv) AS se FROM t JOIN d USING (g)),
+q0 AS (SELECT *, {_Z} + (pow({_Z}, 3) + {_Z}) / (4 * df) AS t FROM r), {_newton("q0", "q1")}, {_newton("q1", "q2")}, {_newton("q2", "q3")}
+SELECT g, k, round(dl, 6) AS estimate, round(se, 6) AS se, round(dl / se, 6) AS t, round(dl - t * se, 6) AS low, round(dl + t * se, 6) AS high, round({_t_two_sided("(dl / se)", "(k - 1)")}, 6) AS p, round({_t_two_sided("(se / se)", "(k - 1)")}, 6) AS p_of_one FROM q3""")
+def pool_knapp_hartung(spark, sf_dir):
+    """STA05: the pool with Student's t; p_of_one is the two-sided tail at t = 1, where the degrees of freedom show."""
+    return _rounded(M.hartung_knapp(effects(spark, sf_dir), ["g"]).withColumn("p_of_one", M.t_two_sided(F.lit(1.0), F.col("k") - 1)), ["g", "k"], ["estimate", "se", "t", "low", "high", "p", "p_of_one"])
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_suppkey % 40 + 1)::DOUBLE * l_linenumber / 7 AS x, (l_partkey % 60 + 1)::INT AS df FROM lineitem)
+SELECT k, n, round({_tail("x", "df")}, 9) AS chi2_p, round({_two_sided("(x / 4)")}, 9) AS normal_p, round({_t_two_sided("(x / 8)", "df")}, 9) AS t_p FROM l""")
+def line_tails(spark, sf_dir):
+    """STA06, STA05: the three tails at a statistic and degrees of freedom of each line."""
+    li = table(spark, sf_dir, "lineitem")
+    x = (F.col("l_suppkey") % 40 + 1).cast("double") * F.col("l_linenumber") / 7
+    df = (F.col("l_partkey") % 60 + 1).cast("int")
+    return li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.round(M.chi2_tail(x, df), 9).alias("chi2_p"), F.round(M.two_sided(x / 4), 9).alias("normal_p"), F.round(M.t_two_sided(x / 8, df), 9).alias("t_p"))
+
+
 @query(f"""WITH {_EFFECTS}, w AS (SELECT *, sei * sei AS v FROM e WHERE sei > 0), m AS (SELECT g, cluster, sum(yi / v) / sum(1 / v) AS mu, sum(1 / v) - sum(1 / v / v) / sum(1 / v) AS c FROM w GROUP BY ALL),
 h AS (SELECT g, sum((yi - mu) ** 2 / v) AS qe, count(*) AS k FROM w JOIN m USING (g, cluster) GROUP BY g), n AS (SELECT g, count(*) AS levels, sum(c) AS c FROM m GROUP BY g),
 t AS (SELECT g, k, levels, greatest((qe - k + levels) / c, 0) AS tau2 FROM h JOIN n USING (g)), b AS (SELECT g, cluster, sum(yi / (v + tau2)) / sum(1 / (v + tau2)) AS mu, sum(1 / (v + tau2)) AS sw FROM w JOIN t USING (g) GROUP BY ALL),

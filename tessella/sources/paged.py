@@ -160,7 +160,6 @@ class _Pages:
         self.per_task = int(options.get("pagespertask", PAGES_PER_TASK))
         self.sources: set | None = set(json.loads(options["sources"])) if "sources" in options else None
         self.years = tuple(float(options.get(k, f"{sign}inf")) for k, sign in (("fromyear", "-"), ("toyear", "+")))
-        self.pushes = options.get("pushfilters") == "true"
 
     def chains(self) -> list[Chain]:
         fs, at = _place(f"{self.path}/manifest")
@@ -196,16 +195,23 @@ class _Pages:
 
 
 class PageReader(_Pages, DataSourceReader):
+    def partitions(self) -> list[PageRange]:
+        return [r for c in self.chains() for r in self.ranges([p for p in c.pages if self.wanted(p)])] or [PageRange("", {})]
+
+    def read(self, partition: PageRange) -> Iterator[pa.RecordBatch]:
+        return self.rows(partition)
+
+
+class PushingReader(PageReader):
+    """Takes filters from Spark (option pushFilters, and spark.sql.python.filterPushdown.enabled).
+
+    Spark keeps what was pushed with the relation: a frame that is read twice with different filters, as in a union of two of its
+    parts, would be scanned with the last ones only. So this is for a frame that is read once; pages() takes sources and years as
+    arguments instead.
+    """
+
     def pushFilters(self, filters: list[Filter]):
-        """Sources are chosen here; years only rule out pages, so Spark still checks the rows.
-
-        Spark keeps what was pushed with the relation: a frame that is read twice with different filters, as in a union of two of
-        its parts, would be scanned with the last ones only. So this works where the option pushFilters says that the frame is
-        read once; else Spark filters, and pages() takes sources and years as arguments.
-        """
-        if not self.pushes:
-            yield from filters
-            return
+        """Sources are chosen here; years only rule out pages, so Spark still checks the rows."""
         for f in filters:
             column = getattr(f, "attribute", None)
             if column == ("source",) and isinstance(f, EqualTo | EqualNullSafe | In):
@@ -223,12 +229,6 @@ class PageReader(_Pages, DataSourceReader):
                 self.years = (low, high)
             yield f
 
-    def partitions(self) -> list[PageRange]:
-        return [r for c in self.chains() for r in self.ranges([p for p in c.pages if self.wanted(p)])] or [PageRange("", {})]
-
-    def read(self, partition: PageRange) -> Iterator[pa.RecordBatch]:
-        return self.rows(partition)
-
 
 class StatusReader(_Pages, DataSourceReader):
     """A row for each source: ok, empty, or unavailable with the reason (SRC13, UDF04)."""
@@ -269,7 +269,9 @@ class PagedSource(DataSource):
         return STATUS if self.options.get("table") == "status" else "source string, page long, year int, doi string, title string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return StatusReader(self.options, schema) if self.options.get("table") == "status" else PageReader(self.options, schema)
+        if self.options.get("table") == "status":
+            return StatusReader(self.options, schema)
+        return (PushingReader if self.options.get("pushFilters") == "true" else PageReader)(self.options, schema)
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return PageStream(self.options, schema)

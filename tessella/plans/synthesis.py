@@ -186,6 +186,29 @@ def citation_walks(spark, sf_dir):
     return G.walk(e, e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")), seeds, 8, 3)
 
 
+def _explored(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    edges = li.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.split("p_type", " ").alias("words"), (F.col("p_size") > 5).alias("keep"))
+    n = edges.distinct().groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.array().cast("array<string>").alias("words"), F.lit(True).alias("keep"))
+    nodes = parts.unionByName(suppliers).join(n, "id", "left").fillna(0, ["n"])
+    return G.explore(edges, nodes, parts.select(F.col("id").alias("walk"), "id"), steps=6, most=20, depth_limit=4)
+
+
+@query()
+def citation_explorations(spark, sf_dir):
+    """GRA01: a walk from every part along the graph of parts and suppliers, with its seven counters; a test walks by hand."""
+    return _explored(spark, sf_dir).select("walk", F.array_join("path", ">").alias("path"), *G.STATS)
+
+
+@query()
+def citation_exploration_edges(spark, sf_dir):
+    """GRA01: what these walks went along and what they crossed."""
+    out = _explored(spark, sf_dir).select("walk", F.posexplode("edges").alias("place", "e"))
+    return out.select("walk", "place", F.col("e.source").alias("source"), F.col("e.target").alias("target"), F.col("e.kind").alias("kind"), F.col("e.crossed").alias("crossed"))
+
+
 @query("""WITH e AS (SELECT l_partkey AS src, l_suppkey AS dst, max(l_quantity) AS score FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY ALL), r AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS total, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS k FROM e) SELECT src, dst, total FROM r WHERE k <= 3""")
 def related_records(spark, sf_dir):
     """GRA02."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("overlap", "corpus", "literature", "evidence", "usage", "synthesis", "moderators", "ledger_tables", "audits", "ledgers", "scalars", "inputs", "paged", "spans")
+_MODULES = ("overlap", "corpus", "literature", "evidence", "usage", "synthesis", "moderators", "ledger_tables", "audits", "ledgers", "scalars", "inputs", "paged", "spans", "states")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

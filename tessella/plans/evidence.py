@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import registry as R
-from tessella.plans.registry import query, table
+from tessella.plans.registry import example, query, table
 
 #: Rows that Spark and DuckDB both read.
 _SOURCES = """(VALUES ('S001', 1, '1', 'smith2020', 'https://doi.org/10.1000/abc.', '111', 2020, 'clear', true, true, true), ('S002', 2, '2', 'lee2018', '10.1000/xyz', '222', 2018, 'retracted', true, true, true),
@@ -43,7 +43,7 @@ def _cited(spark):
     return _resolved(spark).where("source_id IS NOT NULL").select("sentence_id", "source_id").distinct()
 
 
-@query(_RESOLVED_SQL + " SELECT * FROM resolved")
+@example(_RESOLVED_SQL + " SELECT * FROM resolved")
 def citation_resolution(spark, sf_dir):
     """JOIN01."""
     return _resolved(spark)
@@ -57,7 +57,7 @@ missing AS (SELECT sentence_id, quantity_id FROM (SELECT DISTINCT sentence_id, q
 )
 
 
-@query(_MISSING_SQL + " SELECT * FROM missing")
+@example(_MISSING_SQL + " SELECT * FROM missing")
 def numeric_containment(spark, sf_dir):
     """JOIN02."""
     return R.missing_quantities(_rows(spark, _QUANTITIES), _cited(spark), _rows(spark, _EVIDENCE))
@@ -77,13 +77,13 @@ def _contradicted(spark, mode):
     return R.contradictions(measured, _cited(spark), values, mode)
 
 
-@query(_contradicted_sql("bool_and(differs)") + " SELECT * FROM contradicted")
+@example(_contradicted_sql("bool_and(differs)") + " SELECT * FROM contradicted")
 def contradictions(spark, sf_dir):
     """JOIN03: no value of the source is equal."""
     return _contradicted(spark, "none_equal")
 
 
-@query(_contradicted_sql("bool_or(differs)") + " SELECT * FROM contradicted")
+@example(_contradicted_sql("bool_or(differs)") + " SELECT * FROM contradicted")
 def contradictions_any(spark, sf_dir):
     """JOIN03: some value of the source differs."""
     return _contradicted(spark, "any_differs")
@@ -105,19 +105,19 @@ def _verdicts(spark):
     return _rows(spark, _FACTS).select("sentence_id", state.alias("state"), rule.alias("rule"))
 
 
-@query(f"SELECT * FROM {_VERDICTS_SQL}")
+@example(f"SELECT * FROM {_VERDICTS_SQL}")
 def verdict_ladder(spark, sf_dir):
     """RUL01, UDF03: one sentence for each way through the ladder, against the verdicts as they should be."""
     return _verdicts(spark)
 
 
-@query(f"SELECT 16::BIGINT AS total, 15::BIGINT AS claiming, count(*) FILTER (state IN ('attributed', 'synthesis')) AS supported, round(2 / 15, 4) AS coverage, round(200 / 15, 1) AS percent FROM {_VERDICTS_SQL}")
+@example(f"SELECT 16::BIGINT AS total, 15::BIGINT AS claiming, count(*) FILTER (state IN ('attributed', 'synthesis')) AS supported, round(2 / 15, 4) AS coverage, round(200 / 15, 1) AS percent FROM {_VERDICTS_SQL}")
 def coverage_rollup(spark, sf_dir):
     """AGG01."""
     return R.coverage(_verdicts(spark))
 
 
-@query("SELECT 'unknown_rule' AS issue, 1::BIGINT AS n")
+@example("SELECT 'unknown_rule' AS issue, 1::BIGINT AS n")
 def cross_foot(spark, sf_dir):
     """AGG02: a rule that isn't known is told."""
     return R.cross_foot(_verdicts(spark), [f"D{i:02d}" for i in range(1, 14) if i != 9])
@@ -136,7 +136,7 @@ _CLAIMS = """(VALUES ('C001', 'verified', 'S001;S002'), ('C002', 'draft', 'S009'
 _LEDGER = """(VALUES ('S001', 'verified', 'included', 'clear', true), ('S002', 'verified', 'included', 'retracted', true), ('S003', 'unverified', 'excluded', 'clear', false), ('S004', 'verified', 'included', 'clear', false)) AS s(source_id, status, inclusion, retraction, held)"""
 
 
-@query("""SELECT * FROM (VALUES ('C001', 'S002', 'source_retracted'), ('C002', 'S009', 'unknown_source'), ('C003', 'S003', 'source_not_verified'), ('C003', 'S003', 'source_not_included'), ('C003', 'S003', 'verified_claim_on_unverified_source'), ('C003', 'S003', 'gap_no_text'), ('C003', 'S004', 'gap_no_text')) AS t(claim_id, source_id, issue)""")
+@example("""SELECT * FROM (VALUES ('C001', 'S002', 'source_retracted'), ('C002', 'S009', 'unknown_source'), ('C003', 'S003', 'source_not_verified'), ('C003', 'S003', 'source_not_included'), ('C003', 'S003', 'verified_claim_on_unverified_source'), ('C003', 'S003', 'gap_no_text'), ('C003', 'S004', 'gap_no_text')) AS t(claim_id, source_id, issue)""")
 def fk_audit(spark, sf_dir):
     """JOIN05, SET06: claims against sources."""
     claims = _rows(spark, _CLAIMS).select("claim_id", "status", F.split("ids", ";").alias("source_ids"))
@@ -153,7 +153,7 @@ _PAIRS = """(VALUES (1, '10.1000/aB', 'Effects of tea on sleep', 2020, '12', '33
  (3, '10.1000/e', 'Sugar', 2001, '1', '1', 'Diaz', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS INT), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING))) AS p(id, doi, title, year, volume, pages, author, doi2, title2, year2, volume2, pages2, author2)"""
 
 
-@query("SELECT * FROM (VALUES (1, ''), (2, 'doi,title,year,pages,author'), (3, 'unchecked,pages')) AS t(id, issues)")
+@example("SELECT * FROM (VALUES (1, ''), (2, 'doi,title,year,pages,author'), (3, 'unchecked,pages')) AS t(id, issues)")
 def record_comparison(spark, sf_dir):
     """JOIN07, JOIN08."""
     names = ("doi", "title", "year", "volume", "pages", "author")
@@ -161,7 +161,7 @@ def record_comparison(spark, sf_dir):
     return p.select("id", F.array_join(R.compare_record(F.col("a"), F.col("b")), ",").alias("issues"))
 
 
-@query("SELECT * FROM (VALUES (1, true, 'ok'), (2, false, 'partial'), (3, false, 'unreachable'), (4, true, 'partial')) AS t(id, is_retracted, status)")
+@example("SELECT * FROM (VALUES (1, true, 'ok'), (2, false, 'partial'), (3, false, 'unreachable'), (4, true, 'partial')) AS t(id, is_retracted, status)")
 def retraction_signals(spark, sf_dir):
     """JOIN13, JOIN14."""
     rows = spark.sql("SELECT * FROM VALUES (1, true, false, false), (2, false, null, false), (3, null, null, null), (4, null, true, null) AS t(id, a, b, c)").select("id", *(F.col(x).cast("boolean").alias(x) for x in "abc"))
@@ -176,7 +176,7 @@ def conversation_section(spark, sf_dir):
     return R.section_of(c, c.where("role = 'user'").select("doc_id", "pos", F.col("text").alias("heading")))
 
 
-@query("SELECT * FROM (VALUES ('S001_smith.pdf', 'S001'), ('lee2018-final.PDF', 'S002'), ('effects of tea on sleep in adults a trial.pdf', 'S003')) AS t(file, source_id)")
+@example("SELECT * FROM (VALUES ('S001_smith.pdf', 'S001'), ('lee2018-final.PDF', 'S002'), ('effects of tea on sleep in adults a trial.pdf', 'S003')) AS t(file, source_id)")
 def file_matches(spark, sf_dir):
     """JOIN12."""
     files = spark.sql("SELECT * FROM VALUES ('S001_smith.pdf'), ('lee2018-final.PDF'), ('effects of tea on sleep in adults a trial.pdf'), ('other.pdf') AS t(file)")
@@ -191,14 +191,14 @@ def gate_rollup(spark, sf_dir):
     return R.worst(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.when(s == "P", "fail").when(s == "O", "warn").otherwise("pass").alias("status")), "k")
 
 
-@query("SELECT * FROM (VALUES (1, true, ''), (2, false, 'citations_unresolved,retracted_cited')) AS t(id, passed, blockers)")
+@example("SELECT * FROM (VALUES (1, true, ''), (2, false, 'citations_unresolved,retracted_cited')) AS t(id, passed, blockers)")
 def attribution_gate(spark, sf_dir):
     """AGG15."""
     rows = spark.sql("SELECT * FROM VALUES (1, 0, 0, 0, 0, 0, 0, 0), (2, 0, 0, 3, CAST(NULL AS INT), 0, 0, 0) AS t(id, passage_findings, open_reviews, citations_unresolved, retracted_cited, quotes_unmarked, data_unverified, self_overlap)")
     return R.attribution_gate(rows, ["id"]).withColumn("blockers", F.array_join("blockers", ","))
 
 
-@query("SELECT v.sentence_id, v.state, a.grade FROM (SELECT * FROM " + _VERDICTS_SQL + ") v LEFT JOIN (VALUES (1, 'weak'), (13, 'strong')) AS a(sentence_id, grade) USING (sentence_id)")
+@example("SELECT v.sentence_id, v.state, a.grade FROM (SELECT * FROM " + _VERDICTS_SQL + ") v LEFT JOIN (VALUES (1, 'weak'), (13, 'strong')) AS a(sentence_id, grade) USING (sentence_id)")
 def advisory_join(spark, sf_dir):
     """RUL06: grades of a model stand beside a verdict and never change it."""
     grades = spark.sql("SELECT * FROM VALUES (1, 'weak'), (13, 'strong') AS a(sentence_id, grade)")

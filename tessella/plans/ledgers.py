@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import ledgers as L
-from tessella.plans.registry import query, table
+from tessella.plans.registry import example, query, table
 
 
 def _rows(spark, values, names):
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
 
 
-@query("SELECT id, rule, expected::BIGINT AS expected, found::BIGINT AS found FROM (VALUES (2, 'screened', 90, 95), (2, 'included', 30, 31), (3, 'reasons', 10, 9)) AS t(id, rule, expected, found)")
+@example("SELECT id, rule, expected::BIGINT AS expected, found::BIGINT AS found FROM (VALUES (2, 'screened', 90, 95), (2, 'included', 30, 31), (3, 'reasons', 10, 9)) AS t(id, rule, expected, found)")
 def count_reconciliation(spark, sf_dir):
     """AGG09."""
     flow = _rows(spark, "(1, 100, 10, 90, 40, 50, 5, 45, 15, 15, 30), (2, 100, 10, 95, 45, 50, 5, 45, 15, 15, 31), (3, 60, 0, 60, 20, 40, 0, 40, 10, 9, 30), (4, NULL, 3, 5, 1, 4, 0, 4, 1, 1, 3)", "id, identified, removed, screened, excluded, sought, not_retrieved, assessed, reports_excluded, reasons_total, included")
@@ -32,14 +32,14 @@ _LEDGER = """('S001', 1, 'Effects of tea on human sleep', '2020', '10.1000/a', '
 _NAMES = "source_id, pos, title, year, doi, pmid, verification_status, verified_date, inclusion_status, exclusion_reason, retraction_status"
 
 
-@query("""SELECT * FROM (VALUES ('X2', 'bad_source_id', 'error'), ('X2', 'missing_title', 'error'), ('X2', 'bad_year', 'error'), ('X2', 'bad_doi', 'error'), ('X2', 'unknown_status', 'error'), ('X2', 'excluded_without_reason', 'error'),
+@example("""SELECT * FROM (VALUES ('X2', 'bad_source_id', 'error'), ('X2', 'missing_title', 'error'), ('X2', 'bad_year', 'error'), ('X2', 'bad_doi', 'error'), ('X2', 'unknown_status', 'error'), ('X2', 'excluded_without_reason', 'error'),
 ('S003', 'verified_without_date', 'error'), ('S003', 'included_with_reason', 'warning'), ('S003', 'included_retracted', 'error'), ('S004', 'no_identifier', 'warning')) AS t(source_id, issue, severity)""")
 def ledger_row_issues(spark, sf_dir):
     """RUL02, SCA16."""
     return L.row_issues(_rows(spark, _LEDGER, _NAMES))
 
 
-@query("SELECT * FROM (VALUES ('S003', 'doi', 'S001'), ('S003', 'title', 'S001')) AS t(source_id, kind, first)")
+@example("SELECT * FROM (VALUES ('S003', 'doi', 'S001'), ('S003', 'title', 'S001')) AS t(source_id, kind, first)")
 def ledger_duplicates(spark, sf_dir):
     """AGG07, SCA10."""
     return L.duplicates(_rows(spark, _LEDGER, _NAMES))
@@ -62,7 +62,7 @@ def grouped_evidence(spark, sf_dir):
     return L.evidence_table(c.select(F.col("c_mktsegment").alias("theme"), participants.alias("participants"), certainty.alias("certainty"), (n % 3).alias("direction")), "theme")
 
 
-@query("SELECT * FROM (VALUES (2, 11, 12), (3, 30, 12)) AS t(id, said, held)")
+@example("SELECT * FROM (VALUES (2, 11, 12), (3, 30, 12)) AS t(id, said, held)")
 def claimed_counts(spark, sf_dir):
     """AGG11."""
     text = _rows(spark, "(1, 'We found twelve studies of tea.'), (2, 'Eleven studies were kept.'), (3, 'In all 30 studies'), (4, 'Many studies')", "id, text")
@@ -106,7 +106,7 @@ def compressed_numbers(spark, sf_dir):
     return li.select("doc", L.compressed(F.col("n")).alias("ranges"))
 
 
-@query("SELECT 1 AS doc, 4 AS first_pos, 6::BIGINT AS n")
+@example("SELECT 1 AS doc, 4 AS first_pos, 6::BIGINT AS n")
 def reference_list_runs(spark, sf_dir):
     """WIN01."""
     lines = _rows(spark, "(1, 1, '1. A heading'), (1, 2, 'prose'), (1, 3, 'References'), (1, 4, '1. Smith'), (1, 5, '2. Lee'), (1, 6, '[3] Kim'), (1, 7, '4. Diaz'), (1, 8, '5. Chen'), (1, 9, '6. Roy'), (2, 1, '1. One'), (2, 2, '2. Two')", "doc, pos, line")
@@ -120,19 +120,19 @@ def screening_disclosure(spark, sf_dir):
     return L.screening_disclosure(log)
 
 
-@query("SELECT * FROM (VALUES (1, 'CRP', 2::BIGINT)) AS t(id, term, n)")
+@example("SELECT * FROM (VALUES (1, 'CRP', 2::BIGINT)) AS t(id, term, n)")
 def undefined_abbreviations(spark, sf_dir):
     """FLT17."""
     return L.undefined_abbreviations(_rows(spark, "(1, 'CRP rose. The body mass index (BMI) and BMI fell, as CRP did; WHO says.')", "id, text"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Table 2', 'no caption'), (1, 'Figure 1', 'not referred to')) AS t(id, display, side)")
+@example("SELECT * FROM (VALUES (1, 'Table 2', 'no caption'), (1, 'Figure 1', 'not referred to')) AS t(id, display, side)")
 def display_references(spark, sf_dir):
     """FLT17."""
     return L.display_references(spark.createDataFrame([(1, "See Table 1 and Table 2.\nTable 1. Results\nFigure 1: Flow")], "id int, text string"))
 
 
-@query("SELECT 2 AS clause_id, 0.25::DOUBLE AS best")
+@example("SELECT 2 AS clause_id, 0.25::DOUBLE AS best")
 def clause_losses(spark, sf_dir):
     """JOIN10."""
     before = _rows(spark, "(1, 'never invent a source'), (2, 'always report open gaps')", "clause_id, text")
@@ -159,7 +159,7 @@ def formatted_references(spark, sf_dir):
     return p.select("id", L.formatted("apa").alias("apa"), L.formatted("vancouver").alias("vancouver"))
 
 
-@query("SELECT * FROM (VALUES (1, 'too few'), (2, 'low'), (3, 'ok'), (4, 'ok, high base rate'), (5, 'not estimable')) AS t(id, gate)")
+@example("SELECT * FROM (VALUES (1, 'too few'), (2, 'low'), (3, 'ok'), (4, 'ok, high base rate'), (5, 'not estimable')) AS t(id, gate)")
 def kappa_gate(spark, sf_dir):
     """AGG17."""
     t = _rows(spark, "(1, 20, 0.9D, 0.5D), (2, 80, 0.4D, 0.5D), (3, 80, 0.7D, 0.5D), (4, 80, 0.7D, 0.9D), (5, 80, CAST(NULL AS DOUBLE), 1.0D)", "id, n, kappa, pe")
@@ -173,7 +173,7 @@ def eligibility_flags(spark, sf_dir):
     return L.eligibility(p, {"red": "red", "economy": "ECONOMY"})
 
 
-@query("SELECT * FROM (VALUES (1, 'S9', 'unknown'), (1, 'S2', 'retracted'), (2, 'S3', 'excluded'), (2, 'S4', 'unverified'), (3, '', 'number without a marker')) AS t(pos, token, issue)")
+@example("SELECT * FROM (VALUES (1, 'S9', 'unknown'), (1, 'S2', 'retracted'), (2, 'S3', 'excluded'), (2, 'S4', 'unverified'), (3, '', 'number without a marker')) AS t(pos, token, issue)")
 def draft_audit(spark, sf_dir):
     """RUL04."""
     lines = _rows(spark, "(1, 'Tea helps [src:S1][src:S9] and [src:S2].'), (2, 'So it is [src:S3], [src:S4].'), (3, 'It fell by 12%.'), (4, 'No more.')", "pos, text")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.operators import literature as L
-from tessella.plans.registry import query, table
+from tessella.plans.registry import example, query, table
 
 _PAPERS = """p AS (SELECT p_partkey AS paper_id, p_partkey AS pos, p_name AS title, CASE WHEN p_size % 7 = 0 THEN NULL ELSE 1970 + p_size END AS year, p_size % 3 = 0 AS is_open, p_brand AS journal, p_type AS type,
   [split_part(p_name, ' ', 1), p_brand] AS authors, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_partkey % 50 END AS citations, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_type || ' ' || p_name END AS abstract,
@@ -98,7 +98,7 @@ def candidate_choice(spark, sf_dir):
 _NAMES = "VALUES ('Smith, John', 'J. Smith'), ('van der Berg, Anna', 'Anna van der Berg'), ('García, José', 'Jose Garcia'), ('Smith, John', 'Jane Smith'), ('Miller', 'Ann Miller'), ('Lee, K', 'Kim Lee Jr')"
 
 
-@query("SELECT * FROM (VALUES ('Smith, John', 'J. Smith', true), ('van der Berg, Anna', 'Anna van der Berg', true), ('García, José', 'Jose Garcia', true), ('Smith, John', 'Jane Smith', false), ('Miller', 'Ann Miller', false), ('Lee, K', 'Kim Lee Jr', true)) AS t(a, b, same)")
+@example("SELECT * FROM (VALUES ('Smith, John', 'J. Smith', true), ('van der Berg, Anna', 'Anna van der Berg', true), ('García, José', 'Jose Garcia', true), ('Smith, John', 'Jane Smith', false), ('Miller', 'Ann Miller', false), ('Lee, K', 'Kim Lee Jr', true)) AS t(a, b, same)")
 def author_matches(spark, sf_dir):
     """FLT04: names against what a reader says."""
     return spark.sql(f"SELECT * FROM {_NAMES} AS t(a, b)").withColumn("same", L.same_person(F.col("a"), F.col("b")))
@@ -112,7 +112,7 @@ def author_diagnostic(spark, sf_dir):
     return s.select("journal", L.zero_reason(F.col("found"), F.col("pool"), F.col("down")).alias("reason"))
 
 
-@query("SELECT 'a b c a' AS abstract")
+@example("SELECT 'a b c a' AS abstract")
 def inverted_abstract(spark, sf_dir):
     """SCA11."""
     return spark.sql("SELECT map('b', array(1), 'a', array(0, 3), 'c', array(2)) AS m").select(L.abstract_of(F.col("m")).alias("abstract"))

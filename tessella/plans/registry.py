@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("overlap", "corpus", "literature", "evidence", "usage", "synthesis", "moderators", "ledger_tables", "audits", "ledgers", "scalars", "inputs", "paged", "spans", "states")
+_EXAMPLES: dict[str, tuple[Query, str | None]] = {}
+_MODULES = ("overlap", "corpus", "literature", "evidence", "usage", "synthesis", "moderators", "ledger_tables", "audits", "ledgers", "scalars", "inputs", "paged", "spans", "states", "worked")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -25,6 +26,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def example(sql: str | None = None) -> Callable[[Query], Query]:
+    """Keeps a worked example over a few rows of its own, for the tests; it reads no table, so it is no registered query."""
+
+    def add(f: Query) -> Query:
+        _EXAMPLES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,3 +58,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return dict(_SQL)
+
+
+def examples() -> dict[str, tuple[Query, str | None]]:
+    _load()
+    return dict(_EXAMPLES)

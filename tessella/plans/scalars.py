@@ -8,28 +8,28 @@ from tessella.functions import quantities as Q
 from tessella.functions import text as T
 from tessella.operators import checks as C
 from tessella.operators.similarity import lcs_length
-from tessella.plans.registry import query, table
+from tessella.plans.registry import example, query, table
 
 
 def _rows(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-@query("SELECT * FROM (VALUES (1, '1,3,4,5'), (2, '12,13,14'), (3, '12,13,14'), (4, '')) AS t(id, numbers)")
+@example("SELECT * FROM (VALUES (1, '1,3,4,5'), (2, '12,13,14'), (3, '12,13,14'), (4, '')) AS t(id, numbers)")
 def numeric_markers(spark, sf_dir):
     """SCA04: ranges by hyphen and by dash are expanded alike."""
     t = _rows(spark, [(1, "as shown [1,3-5]"), (2, "so [12-14]."), (3, "so [12–14]."), (4, "none [a]")], "id int, text string")
     return t.select("id", F.array_join(Q.numeric_markers(F.col("text")), ",").alias("numbers"))
 
 
-@query("SELECT * FROM (VALUES (1, 'smith 2020;lee 2018b'), (2, '')) AS t(id, markers)")
+@example("SELECT * FROM (VALUES (1, 'smith 2020;lee 2018b'), (2, '')) AS t(id, markers)")
 def author_year_markers(spark, sf_dir):
     """SCA04."""
     t = _rows(spark, [(1, "It rose (Smith et al., 2020; Lee and Kim 2018b)."), (2, "It rose in 2020.")], "id int, text string")
     return t.select("id", F.array_join(Q.author_year_markers(F.col("text")), ";").alias("markers"))
 
 
-@query("SELECT * FROM (VALUES (1, 'p_value:p < 0.05|measure:HR 0.80|confidence_interval:95% CI 0.70 to 0.91'), (2, 'percent:12.5%|fraction:5/40|year:2019'), (3, 'duration:3 weeks|number:7')) AS t(id, q)")
+@example("SELECT * FROM (VALUES (1, 'p_value:p < 0.05|measure:HR 0.80|confidence_interval:95% CI 0.70 to 0.91'), (2, 'percent:12.5%|fraction:5/40|year:2019'), (3, 'duration:3 weeks|number:7')) AS t(id, q)")
 def quantities(spark, sf_dir):
     """SCA05."""
     t = _rows(spark, [(1, "HR 0.80 (95% CI 0.70 to 0.91), p < 0.05"), (2, "12.5% (5/40) in 2019"), (3, "7 of them after 3 weeks")], "id int, text string")
@@ -50,14 +50,14 @@ def interval_checks(spark, sf_dir):
     return li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), C.interval_ok(F.col("l_quantity") / 5, F.col("l_discount") * 100, F.col("l_tax") * 200).alias("issue"))
 
 
-@query("SELECT * FROM (VALUES ('0.81', true), ('0.8', true), ('0.83', false), ('12', true)) AS t(token, traced)")
+@example("SELECT * FROM (VALUES ('0.81', true), ('0.8', true), ('0.83', false), ('12', true)) AS t(token, traced)")
 def number_traceability(spark, sf_dir):
     """SCA08."""
     t = _rows(spark, [("0.81",), ("0.8",), ("0.83",), ("12",)], "token string")
     return t.select("token", Q.traceable(F.col("token"), F.array(F.lit(0.8123), F.lit(11.7))).alias("traced"))
 
 
-@query("SELECT * FROM (VALUES ('10.1000/abc', 'doi'), ('https://doi.org/10.1000/AbC', 'doi'), ('arXiv:2101.00001v2', 'arxiv'), ('PMC123', 'pmcid'), ('PMID: 12345', 'pmid'), ('A title', 'title')) AS t(value, kind)")
+@example("SELECT * FROM (VALUES ('10.1000/abc', 'doi'), ('https://doi.org/10.1000/AbC', 'doi'), ('arXiv:2101.00001v2', 'arxiv'), ('PMC123', 'pmcid'), ('PMID: 12345', 'pmid'), ('A title', 'title')) AS t(value, kind)")
 def identifier_kinds(spark, sf_dir):
     """SCA09."""
     t = _rows(spark, [(x,) for x in ("10.1000/abc", "https://doi.org/10.1000/AbC", "arXiv:2101.00001v2", "PMC123", "PMID: 12345", "A title")], "value string")
@@ -71,7 +71,7 @@ def doi_and_title_keys(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), T.doi_key(F.concat(F.lit("https://doi.org/10.1000/"), "p_brand", F.lit("."))).alias("doi"), T.title_key(F.concat("p_name", F.lit(": "), "p_type", F.lit("!"))).alias("title"))
 
 
-@query("SELECT * FROM (VALUES (1, '13,9', '12'), (2, '', '')) AS t(id, added, dropped)")
+@example("SELECT * FROM (VALUES (1, '13,9', '12'), (2, '', '')) AS t(id, added, dropped)")
 def revision_numbers(spark, sf_dir):
     """FLT11, SET04."""
     t = _rows(spark, [(1, "We saw 12 of 40.", "We saw 13 of 40 and 9."), (2, "None.", "Still none.")], "id int, before string, after string")
@@ -79,7 +79,7 @@ def revision_numbers(spark, sf_dir):
     return t.select("id", F.array_join(more, ",").alias("added"), F.array_join(less, ",").alias("dropped"))
 
 
-@query("SELECT * FROM (VALUES (1, 'blank'), (2, 'no letters'), (3, NULL), (4, 'other script')) AS t(id, gap)")
+@example("SELECT * FROM (VALUES (1, 'blank'), (2, 'no letters'), (3, NULL), (4, 'other script')) AS t(id, gap)")
 def prose_gaps(spark, sf_dir):
     """FLT11."""
     t = _rows(spark, [(1, "## **"), (2, "12 34"), (3, "Plain prose."), (4, "a 漢字漢字")], "id int, text string")
@@ -98,14 +98,14 @@ def edit_similarity(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(Q.similarity_ratio(F.lower("p_name"), F.lower("p_type")), 9).alias("ratio"))
 
 
-@query("SELECT * FROM (VALUES (1, 2), (2, 0), (3, 3), (4, 0)) AS t(id, n)")
+@example("SELECT * FROM (VALUES (1, 2), (2, 0), (3, 3), (4, 0)) AS t(id, n)")
 def frame_lcs(spark, sf_dir):
     """SIM06."""
     t = _rows(spark, [(1, ["a", "b", "c"], ["b", "x", "c"]), (2, ["a"], ["b"]), (3, ["the", "of", "in"], ["the", "of", "a", "in"]), (4, [], ["a"])], "id int, a array<string>, b array<string>")
     return t.select("id", lcs_length(F.col("a"), F.col("b")).alias("n"))
 
 
-@query("""SELECT * FROM (VALUES (1, 0, 27, 'Dr. Lee saw 2.5% (p < 0.05)'), (2, 0, 9, 'One line.'), (2, 10, 20, 'Two lines?'), (2, 22, 27, 'Three')) AS t(id, start, "end", sentence)""")
+@example("""SELECT * FROM (VALUES (1, 0, 27, 'Dr. Lee saw 2.5% (p < 0.05)'), (2, 0, 9, 'One line.'), (2, 10, 20, 'Two lines?'), (2, 22, 27, 'Three')) AS t(id, start, "end", sentence)""")
 def sentence_spans(spark, sf_dir):
     """SCA03."""
     t = _rows(spark, [(1, "Dr. Lee saw 2.5% (p < 0.05)"), (2, "One line. Two lines?\n\nThree")], "doc_id int, text string")
@@ -121,21 +121,21 @@ def sentence_spans_fit(spark, sf_dir):
     return d.join(spans, d.doc_id == spans.id, "left").select(F.col("doc_id").alias("id"), F.coalesce(bad, F.lit(0)).alias("wrong"))
 
 
-@query("SELECT * FROM (VALUES (1, 'We did it to learn, because it rained.'), (2, 'in order to')) AS t(id, text)")
+@example("SELECT * FROM (VALUES (1, 'We did it to learn, because it rained.'), (2, 'in order to')) AS t(id, text)")
 def plainer_wording(spark, sf_dir):
     """FLT13."""
     t = _rows(spark, [(1, "We did it in order to learn, due to the fact that it rained.", False), (2, "in order to", True)], "id int, text string, flagged boolean")
     return t.select("id", T.plainer(F.col("text"), F.col("flagged")).alias("text"))
 
 
-@query("SELECT 'a tool' AS name, 'x: y' AS what")
+@example("SELECT 'a tool' AS name, 'x: y' AS what")
 def front_matter(spark, sf_dir):
     """FLT15."""
     t = _rows(spark, [("---\nname: a tool\nwhat: x: y\n---\nbody",)], "text string").select(T.front_matter(F.col("text")).alias("m"))
     return t.select(F.col("m")["name"].alias("name"), F.col("m")["what"].alias("what"))
 
 
-@query("SELECT * FROM (VALUES ('sleep study of teas', 'sleep;teas', '\"sleep study of teas\" | sleep AND teas | (sleep OR sleeps) AND (teas OR tea) | sleep study of teas')) AS t(query, terms, ladder)")
+@example("SELECT * FROM (VALUES ('sleep study of teas', 'sleep;teas', '\"sleep study of teas\" | sleep AND teas | (sleep OR sleeps) AND (teas OR tea) | sleep study of teas')) AS t(query, terms, ladder)")
 def query_ladder(spark, sf_dir):
     """SCA12, SCA13."""
     from tessella.operators.literature import ladder

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import citations_graph as G
 from tessella.operators import synthesis as S
-from tessella.plans.registry import query, table
+from tessella.plans.registry import example, query, table
 
 _EFFECTS = """e AS (SELECT l_suppkey AS study, l_returnflag AS g, l_suppkey % 7 AS cluster, avg(l_quantity) AS yi, stddev_samp(l_quantity) / sqrt(count(*)) AS sei FROM lineitem GROUP BY ALL HAVING count(*) > 2)"""
 
@@ -117,7 +117,7 @@ def effects_from_means(spark, sf_dir):
 _SIZES = "(VALUES (1, 0.5, 0.9, 0.7, 0.3, 40, 25), (2, 1.1, 1.9, 0.0, 1.0, 3, 30), (3, -0.2, 0.4, 2.0, -0.6, 12, 12)) AS t(id, lo, hi, ratio, r, n, m)"
 
 
-@query(f"""SELECT id, round((hi - lo) / (2 * 1.959963984540054), 9)::DOUBLE AS se, round(CASE WHEN ratio > 0 THEN ln(ratio) END, 9) AS lr, round(CASE WHEN abs(r) < 1 THEN atanh(r::DOUBLE) END, 9) AS z, round(CASE WHEN n > 3 THEN 1 / sqrt(n - 3) END, 9) AS z_se,
+@example(f"""SELECT id, round((hi - lo) / (2 * 1.959963984540054), 9)::DOUBLE AS se, round(CASE WHEN ratio > 0 THEN ln(ratio) END, 9) AS lr, round(CASE WHEN abs(r) < 1 THEN atanh(r::DOUBLE) END, 9) AS z, round(CASE WHEN n > 3 THEN 1 / sqrt(n - 3) END, 9) AS z_se,
   round(sqrt((n + m) / (n * m) + r * r / (2 * (n + m - 2))), 9)::DOUBLE AS smd_se, round(0.1 * 1000 * (ratio - 1), 6)::DOUBLE AS per_thousand FROM (SELECT id, lo::DOUBLE AS lo, hi::DOUBLE AS hi, ratio::DOUBLE AS ratio, r::DOUBLE AS r, n::DOUBLE AS n, m::DOUBLE AS m FROM {_SIZES})""")
 def effect_sizes(spark, sf_dir):
     """STA01, STA12."""
@@ -126,7 +126,7 @@ def effect_sizes(spark, sf_dir):
     return t.select("id", *(F.round(x, 9).alias(k) for k, x in (("se", S.se_from_ci(c["lo"], c["hi"])), ("lr", S.log_ratio(c["ratio"])), ("z", S.fisher_z(c["r"])), ("z_se", S.fisher_se(c["n"])), ("smd_se", S.smd_se(c["n"], c["m"], c["r"])))), F.round(S.absolute_effect(c["ratio"], F.lit(0.1)), 6).alias("per_thousand"))
 
 
-@query("SELECT * FROM (VALUES (1, NULL), (2, 'no estimate'), (3, 'no standard error'), (4, 'standard error not positive'), (5, 'estimate not finite')) AS t(id, reason)")
+@example("SELECT * FROM (VALUES (1, NULL), (2, 'no estimate'), (3, 'no standard error'), (4, 'standard error not positive'), (5, 'estimate not finite')) AS t(id, reason)")
 def unusable_rows(spark, sf_dir):
     """STA03, AGG13."""
     t = spark.sql("SELECT * FROM VALUES (1, 0.5D, 0.1D), (2, CAST(NULL AS DOUBLE), 0.1D), (3, 0.5D, CAST(NULL AS DOUBLE)), (4, 0.5D, 0D), (5, double('NaN'), 0.1D) AS t(id, yi, sei)")
@@ -216,7 +216,7 @@ def related_records(spark, sf_dir):
     return G.related(li, 3)
 
 
-@query("SELECT * FROM (VALUES (1, 'heart attack'), (1, 'myocardial infarction'), (2, 'flu'), (2, 'influenza'), (3, 'unknown')) AS t(query_id, term)")
+@example("SELECT * FROM (VALUES (1, 'heart attack'), (1, 'myocardial infarction'), (2, 'flu'), (2, 'influenza'), (3, 'unknown')) AS t(query_id, term)")
 def term_expansion(spark, sf_dir):
     """GRA03."""
     terms = spark.sql("SELECT * FROM VALUES (1, 'Heart attack'), (2, 'flu'), (3, 'unknown') AS t(query_id, term)")

@@ -1,4 +1,4 @@
-"""Each query of the engine against its SQL on the smallest tables."""
+"""Each query of the engine against its SQL on the smallest tables, and each worked example against its own."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import pytest
 from conftest import SMALL
 from tessella.plans import registry
 
-QUERIES, SQL = registry.queries(), registry.oracle_sql()
+EXAMPLES = registry.examples()
+QUERIES = registry.queries() | {name: f for name, (f, _) in EXAMPLES.items()}
+SQL = registry.oracle_sql() | {name: sql for name, (_, sql) in EXAMPLES.items() if sql}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

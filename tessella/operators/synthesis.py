@@ -171,3 +171,56 @@ def review_overlap(marks: DataFrame) -> DataFrame:
 def pooling_status(overlap: DataFrame, threshold: float = 0.30, handled: bool = False) -> DataFrame:
     """(a, b, status): finding where the overlap is above the threshold and dependence isn't handled, else caution (AGG14)."""
     return overlap.where(F.col("share") > threshold).select("a", "b", F.lit("caution" if handled else "finding").alias("status"))
+
+
+def overlap_counts(marks: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(review, studies, partners, apart): of each review (review) its studies, the reviews that share one with it, and those that share none (JOIN09).
+
+    Pairs without a common study are told as a number: all of them would be as many rows as reviews squared. A review without any
+    study has no share with another one; it is apart from all. Repeated and null marks and reviews that aren't listed count for nothing.
+    """
+    known = reviews.select("review").where("review IS NOT NULL").distinct()
+    m = marks.where("study IS NOT NULL").select("review", "study").join(known, "review", "left_semi")
+    sizes = m.distinct().groupBy("review").agg(F.count(F.lit(1)).alias("studies"))
+    pairs = review_overlap(m).select("a", "b")
+    partners = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("review")).agg(F.count(F.lit(1)).alias("partners"))
+    out = known.join(sizes, "review", "left").join(partners, "review", "left").fillna(0, ["studies", "partners"])
+    return out.select("review", "studies", "partners", (F.lit(known.count() - 1) - F.col("partners")).alias("apart"))
+
+
+def pooling_notes(effects: DataFrame, marks: DataFrame, group: str, threshold: float = 0.30, pool: bool = True, handled: bool = False) -> DataFrame:
+    """(group, level, rule, a, b): what speaks against pooling the reviews of each group (AGG14).
+
+    effects (group, review, metric, family), marks (group, review, study, marked): marked is true, false, or null where a cell can't be read.
+    A review with an unreadable cell or without any study is a gap. An overlap above `threshold` of the smaller review is a finding where
+    reviews are to be pooled and dependence isn't handled, else a caution. A review of several metrics is a finding, of several
+    families a caution; to pool, metrics must agree over the group, unless dependence is handled, and there must be two reviews.
+    Groups are those of effects; null groups and reviews are left out.
+    """
+    known = effects.where(F.col(group).isNotNull() & F.col("review").isNotNull()).select(group, "review", F.lower(F.trim("metric")).alias("metric"), F.lower(F.trim("family")).alias("family"))
+    reviews = known.groupBy(group, "review").agg(F.count_distinct(F.nullif("metric", F.lit(""))).alias("metrics"), F.count_distinct(F.nullif("family", F.lit(""))).alias("families"))
+    cells = marks.where(F.col(group).isNotNull()).groupBy(group, "review").agg(F.count_if(F.col("marked")).alias("n"), F.count_if(F.col("marked").isNull()).alias("unread"))
+
+    def note(df: DataFrame, level: str, rule: str, a: str | None = None, b: str | None = None) -> DataFrame:
+        return df.select(group, F.lit(level).alias("level"), F.lit(rule).alias("rule"), *((F.col(x).cast("string") if x else F.lit(None).cast("string")).alias(n) for n, x in (("a", a), ("b", b))))
+
+    gaps = note(reviews.join(cells, [group, "review"], "left").where("coalesce(n, 0) = 0 OR unread > 0"), "gap", "unreadable", "review")
+    told = marks.where("marked AND study IS NOT NULL").join(known.select(group).distinct(), group, "left_semi")
+    m = told.select(F.struct(group, "review").alias("review"), F.struct(group, "study").alias("study"))
+    shared = review_overlap(m).where(F.col("share") > threshold).select(F.col(f"a.{group}").alias(group), F.col("a.review").alias("a"), F.col("b.review").alias("b"))
+    out = gaps.unionByName(note(shared, "finding" if pool and not handled else "caution", "overlap", "a", "b"))
+    out = out.unionByName(note(reviews.where("metrics > 1"), "finding", "metric", "review")).unionByName(note(reviews.where("families > 1"), "caution", "outcome_family", "review"))
+    if pool:
+        if not handled:
+            out = out.unionByName(note(known.groupBy(group).agg(F.count_distinct(F.nullif("metric", F.lit(""))).alias("n")).where("n > 1"), "finding", "metric_mismatch"))
+        out = out.unionByName(note(reviews.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where("n < 2"), "finding", "review_count"))
+    return out
+
+
+def pooling_verdicts(effects: DataFrame, notes: DataFrame, group: str, pool: bool = True) -> DataFrame:
+    """(group, gaps, findings, cautions, status, verdict) of pooling_notes: gaps come before findings, and with a gap there is no verdict (AGG14)."""
+    counts = notes.groupBy(group).agg(*(F.count_if(F.col("level") == x).alias(f"{x}s") for x in ("gap", "finding", "caution")))
+    out = effects.where(F.col(group).isNotNull()).select(group).distinct().join(counts, group, "left").fillna(0, ["gaps", "findings", "cautions"])
+    status = F.when(F.col("gaps") > 0, "insufficient_evidence").when(F.col("findings") > 0, "fail").otherwise("pass")
+    verdict = F.when(F.col("gaps") > 0, F.lit(None)).otherwise("narrative" if not pool else F.when(F.col("findings") > 0, "indefensible").otherwise("pool"))
+    return out.select(group, "gaps", "findings", "cautions", status.alias("status"), verdict.alias("verdict"))

@@ -159,6 +159,42 @@ def pooling_defensibility(spark, sf_dir):
     return S.pooling_status(S.review_overlap(_marks(spark, sf_dir)), 0.25)
 
 
+@query(_OVERLAP + ", r AS (SELECT DISTINCT l_suppkey AS review FROM lineitem UNION SELECT s_suppkey + 1000000 FROM supplier), own AS (SELECT l_suppkey AS review, count(DISTINCT l_partkey) AS studies FROM lineitem GROUP BY 1), sides AS (SELECT a AS review FROM o UNION ALL SELECT b FROM o), q AS (SELECT review, count(*) AS partners FROM sides GROUP BY review) SELECT review, coalesce(studies, 0) AS studies, coalesce(partners, 0) AS partners, (SELECT count(*) FROM r) - 1 - coalesce(partners, 0) AS apart FROM r LEFT JOIN own USING (review) LEFT JOIN q USING (review)")
+def review_partners(spark, sf_dir):
+    """JOIN09: with how many reviews each one shares a study, and with how many none; half of the reviews have no study."""
+    reviews = _marks(spark, sf_dir).select("review").distinct().unionByName(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1_000_000).alias("review")))
+    return S.overlap_counts(_marks(spark, sf_dir), reviews)
+
+
+#: Small syntheses: the suppliers of each day; some cells can't be read, some suppliers have no study, some days have metrics of two kinds.
+_SYNTHESIS = "substr(CAST(l_shipdate AS STRING), 1, 10) AS g, l_suppkey AS review, l_partkey AS study, CASE WHEN l_suppkey % 29 = 0 AND l_linenumber = 7 THEN NULL ELSE l_linenumber <> 6 OR l_suppkey % 9 > 0 END AS marked, CASE WHEN l_partkey % 97 = 0 THEN 'RR' ELSE 'OR ' END AS metric, CASE WHEN l_quantity > 49 THEN 'late' ELSE 'early' END AS family"
+_NOTES = f"""l AS (SELECT {_SYNTHESIS} FROM lineitem), r AS (SELECT g, review, count(DISTINCT metric) AS metrics, count(DISTINCT family) AS families, count(*) FILTER (marked) AS n, count(*) FILTER (marked IS NULL) AS unread FROM l GROUP BY ALL),
+m AS (SELECT DISTINCT g, review, study FROM l WHERE marked), z AS (SELECT g, review, count(*) AS n FROM m GROUP BY ALL), o AS (SELECT x.g, x.review AS a, y.review AS b, count(*) AS shared FROM m x JOIN m y ON x.g = y.g AND x.study = y.study AND x.review < y.review GROUP BY ALL),
+notes AS (SELECT g, 'gap' AS level, 'unreadable' AS rule, review::VARCHAR AS a, NULL::VARCHAR AS b FROM r WHERE n = 0 OR unread > 0
+  UNION ALL SELECT o.g, 'finding', 'overlap', a::VARCHAR, b::VARCHAR FROM o JOIN z x ON x.g = o.g AND x.review = a JOIN z y ON y.g = o.g AND y.review = b WHERE round(shared / least(x.n, y.n), 4) > 0.3
+  UNION ALL SELECT g, 'finding', 'metric', review::VARCHAR, NULL FROM r WHERE metrics > 1 UNION ALL SELECT g, 'caution', 'outcome_family', review::VARCHAR, NULL FROM r WHERE families > 1
+  UNION ALL SELECT g, 'finding', 'metric_mismatch', NULL, NULL FROM l GROUP BY g HAVING count(DISTINCT metric) > 1 UNION ALL SELECT g, 'finding', 'review_count', NULL, NULL FROM r GROUP BY g HAVING count(*) < 2)"""
+
+
+def _syntheses(spark, sf_dir):
+    first, rest = _SYNTHESIS.split(" AS g, ")
+    rows = table(spark, sf_dir, "lineitem").selectExpr(f"{first} AS g", *rest.split(", "))
+    return rows.select("g", "review", "metric", "family"), rows.select("g", "review", "study", "marked")
+
+
+@query(f"WITH {_NOTES} SELECT * FROM notes")
+def synthesis_notes(spark, sf_dir):
+    """AGG14: what speaks against pooling the suppliers of each day."""
+    return S.pooling_notes(*_syntheses(spark, sf_dir), "g")
+
+
+@query(f"WITH {_NOTES}, c AS (SELECT g, count(*) FILTER (level = 'gap') AS gaps, count(*) FILTER (level = 'finding') AS findings, count(*) FILTER (level = 'caution') AS cautions FROM (SELECT DISTINCT g FROM l) LEFT JOIN notes USING (g) GROUP BY g) SELECT *, CASE WHEN gaps > 0 THEN 'insufficient_evidence' WHEN findings > 0 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN gaps > 0 THEN NULL WHEN findings > 0 THEN 'indefensible' ELSE 'pool' END AS verdict FROM c")
+def synthesis_verdicts(spark, sf_dir):
+    """AGG14: gaps, then findings, then a pass."""
+    effects, marks = _syntheses(spark, sf_dir)
+    return S.pooling_verdicts(effects, S.pooling_notes(effects, marks, "g"), "g")
+
+
 _GRAPH = "e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem), g AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
 
 

@@ -60,7 +60,7 @@ _SENTENCE = [
 _TEXT = " || ".join(f"'{x}'" if i % 2 == 0 else f"(floor({x})::BIGINT)" for i, x in enumerate(_SENTENCE))
 
 
-@query(_sql("(SELECT l_orderkey * 10 + l_linenumber AS line_id, " + _TEXT + " AS text FROM lineitem) lines", "line_id", "text", """ SELECT doc_id AS line_id, count(*) AS n, string_agg(kind || ':' || raw || '@' || start, '|' ORDER BY start) AS q FROM r GROUP BY doc_id"""))
+@query(_sql("(SELECT l_orderkey * 10 + l_linenumber AS line_id, " + _TEXT + " AS text FROM lineitem) lines", "line_id", "text", """ SELECT doc_id AS line_id, count(*) AS n, string_agg(kind || ':' || raw || '@' || start, '|' ORDER BY start, kind || ':' || raw || '@' || start) AS q FROM r GROUP BY doc_id"""))
 def line_quantities(spark, sf_dir):
     """SCA05: every kind in a sentence written from each line's own numbers."""
     text = F.concat(*(F.lit(x) if i % 2 == 0 else F.floor(F.expr(x)).cast("string") for i, x in enumerate(_SENTENCE)))

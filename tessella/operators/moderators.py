@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -115,9 +117,10 @@ def refits(effects: DataFrame, group: list[str], study: str) -> DataFrame:
 
 def fragility(effects: DataFrame, group: list[str], study: str, level: float = 0.05) -> DataFrame:
     """(group, refits, least, most, flips): the range of estimates without one study, and how many refits change whether p is below `level` (STA09)."""
-    whole = inference(effects, group).select(*group, (F.col("p") < level).alias("whole"))
+    beyond = F.abs(F.col("estimate") / F.col("se")) > NormalDist().inv_cdf(1 - level / 2)  # the same as p < level, without a tail for each refit
+    whole = pool(effects, group).select(*group, F.col("dl").alias("estimate"), F.col("dl_se").alias("se")).select(*group, beyond.alias("whole"))
     each = refits(effects, group, study).join(whole, group)
-    return each.groupBy(*group).agg(F.count(F.lit(1)).alias("refits"), F.min("estimate").alias("least"), F.max("estimate").alias("most"), F.count_if((F.col("p") < level) != F.col("whole")).alias("flips"))
+    return each.groupBy(*group).agg(F.count(F.lit(1)).alias("refits"), F.min("estimate").alias("least"), F.max("estimate").alias("most"), F.count_if(beyond != F.col("whole")).alias("flips"))
 
 
 def _by_group(effects: DataFrame, group: list[str], columns: str, run) -> DataFrame:

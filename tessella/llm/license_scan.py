@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,26 +13,54 @@ from tessella.llm.common import LOWER_BYTES, byte_class, documents, raw, slices,
 
 #: The phrases that are searched word by word, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices as (label, wording). A block meets a template that has PERCENT of its different words: of four words all, so that
-#: the short MIT form isn't met by other licenses' lines, as "released under the mit license" would be without "mit".
+#: Notices as (label, wording), sentences of the licenses and the short forms of their names. A block meets a
+#: template that has PERCENT of its different words: of four words or fewer all, so that a short form isn't met by that of
+#: another license.
 TEMPLATES = [
+    ("agpl", "gnu affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mit", "under the mit license"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2.0", "identifier apache 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-2-clause", "bsd 2 clause"),
+    ("bsd-3-clause", "bsd 3 clause"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
-    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0", "cc0 1 0"),
+    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-2.0", "identifier gpl 2 0"),
+    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
+    ("gpl-3.0", "identifier gpl 3 0"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("lgpl", "gnu lesser general public"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "under the mit license"),
+    ("mit", "mit license copyright"),
+    ("mit", "license identifier mit"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "mozilla public license 2"),
+    ("mpl-2.0", "identifier mpl 2 0"),
     ("no-copying", "no part of this publication may be reproduced or transmitted in any form without written permission"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 PERCENT = 80
-#: A template of so many different words may be wrapped, and is looked for in WINDOW lines that follow each other; a shorter
-#: one in each line by itself, since few words are soon met by chance.
-LONG, WINDOW = 10, 3
+
+
+def window(template: str) -> int:
+    """How many words a block has: those of the template and a quarter more, so that a few others may stand between.
+
+    A template of up to four words, all of which must be met, has blocks of its own length: with others between, "under the Apache
+    License" and the German word "mit" after it would be the short MIT form.
+    """
+    n = len(template.split())
+    return n if n <= 4 else -(-5 * n // 4)
+
+
 #: Of a text whose A-Z are lower-case: [^\x00-\x2F\x3A-\x60\x7B-\x7F].
 WORD = byte_class(inside=bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 
@@ -60,6 +87,7 @@ class _Scanner:
         self.number = {w: int(_numbers(self.vocabulary, _vocabulary([w]))[0]) for w in terms}
         self.runs = [(np.array([self.number[w] for w in p.split()]), label) for p, label in phrases.items()]
         self.sets = [(label, frozenset(self.number[w] for w in t.split())) for label, t in templates]
+        self.windows = [window(t) for _, t in templates]
 
     def count(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How often each word of the vocabulary stands in a partition."""
@@ -76,34 +104,55 @@ class _Scanner:
     def order(self, counts: dict[int, int]) -> None:
         """Global order: rarest words first. Each template then has its prefix: a block with enough of its words has one of these."""
         rank = {w: i for i, w in enumerate(sorted(range(len(self.vocabulary)), key=lambda w: (counts.get(w, 0), w)))}
-        self.lists: tuple[dict[int, list[tuple[int, int]]], ...] = ({}, {})
-        self.sorted = []
+        size = len(self.vocabulary)
+        self.least = [-(-len(s) * self.percent // 100) for _, s in self.sets]
+        #: A word's place in each template, rarest first, or the size of the vocabulary.
+        self.places = np.full((len(self.sets), size), size)
         for t, (_, words_) in enumerate(self.sets):
-            row = sorted(words_, key=rank.get)
-            least = math.ceil(len(row) * self.percent / 100)
-            self.sorted.append((row, least))
-            for place, w in enumerate(row[: len(row) - least + 1]):
-                self.lists[len(row) >= LONG].setdefault(w, []).append((t, place))
-        self.rank = rank
-        self.prefixes = np.zeros((2, len(self.vocabulary)), bool)
-        for i in (0, 1):
-            self.prefixes[i, list(self.lists[i])] = True
-
-    def join(self, block: set[int], long: bool) -> Iterator[tuple[int, float]]:
-        """(template, containment) of the short or long templates that a block meets; the block is given by its words of the vocabulary, rarest first."""
-        row = sorted(block, key=self.rank.get)
-        tried = set()
-        for i, w in enumerate(row):
-            for t, place in self.lists[long].get(w, ()):
-                if t in tried:
-                    continue
-                tried.add(t)  # the first word in common: what comes before it in either is lost
-                all_, least = self.sorted[t]
-                if len(row) < least or min(len(all_) - place, len(row) - i) < least:
-                    continue
-                share = len(self.sets[t][1] & block)
-                if 100 * share >= self.percent * len(all_):
-                    yield t, share / len(all_)
+            self.places[t, sorted(words_, key=rank.get)] = np.arange(len(words_))
+        self.prefix = [len(s) - least for (_, s), least in zip(self.sets, self.least, strict=True)]
+
+    def join(self, t: int, at: np.ndarray, known: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The blocks that meet template t: indices of their first words, and the share of the template's words they have.
+
+        `at` are the places of the vocabulary's words in all documents of a slice, `known` their numbers, `stop` where the document
+        of each ends. Of all blocks those that begin with a word of the template are enough.
+        """
+        none = np.zeros(0, np.int64), np.zeros(0)
+        wide, least, total = self.windows[t], self.least[t], len(self.sets[t][1])
+        place = self.places[t][known]
+        posted = at[place <= self.prefix[t]]
+        if not len(posted):
+            return none
+        # Prefix: only words of the template within reach of a posting of its rarest ones
+        index = np.flatnonzero(place < total)
+        after = np.searchsorted(posted, at[index])
+        reach = (posted[np.minimum(after, len(posted) - 1)] - at[index] < wide) & (after < len(posted))
+        reach |= (at[index] - posted[np.maximum(after - 1, 0)] < wide) & (after > 0)
+        index = index[reach]
+        where, place = at[index], place[index]
+        end = np.searchsorted(where, np.minimum(where + wide, stop[index]))
+        # Length: how many words of the template the block has, repeats included
+        first = np.flatnonzero(end - np.arange(len(where)) >= least)
+        if not len(first):
+            return none
+        # Position: before the rarest common word a template has only words that the block lacks
+        lead = np.full(len(first), total)
+        longest = int((end[first] - first).max())
+        for d in range(longest):
+            inside = first + d < end[first]
+            lead[inside] = np.minimum(lead[inside], place[first[inside] + d])
+        first = first[total - lead >= least]
+        order = np.argsort(place, kind="stable")
+        before = np.full(len(where), -1)
+        same = place[order[1:]] == place[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        met = np.zeros(len(first), np.int64)
+        for d in range(longest):
+            j = np.minimum(first + d, len(where) - 1)
+            met += (first + d < end[first]) & (before[j] < first)
+        enough = met >= least
+        return index[first[enough]], met[enough] / total
 
     def scan(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,20 +178,14 @@ class _Scanner:
                         n_base[x] += 1
                         first[x], last[x] = min(first[x], place), max(last[x], place)
                         base[x].add(label)
-                known = n >= 0
-                breaks = np.flatnonzero(d == 10)
-                lines = np.searchsorted(breaks, starts) + doc  # a new document begins a new line, too
-                for long in (False, True):
-                    hits = np.flatnonzero(known & self.prefixes[int(long), n])
-                    begin = np.unique(lines[hits]) if not long else np.unique(np.concatenate([np.zeros(0, np.int64), *(lines[hits] - x for x in range(WINDOW))]))
-                    size = WINDOW if long else 1
-                    for i, j in zip(*np.searchsorted(lines, [begin, begin + size]), strict=True):
-                        edges = np.searchsorted(doc[i:j], np.unique(doc[i:j])) + i  # lines of two documents are no block
-                        for u, v in zip(edges, [*edges[1:], j], strict=True):
-                            for t, share in self.join(set(n[u:v][known[u:v]].tolist()), long):
-                                x = a + doc[u]
-                                found[x].add(self.sets[t][0])
-                                score[x] = max(score[x], share)
+                at = np.flatnonzero(n >= 0)
+                known, stop = n[at], begins[doc[at] + 1]
+                for t, (label, _) in enumerate(self.sets):
+                    blocks, shares = self.join(t, at, known, stop)
+                    meets = doc[at[blocks]] + a
+                    np.maximum.at(score, meets, shares)
+                    for x in np.unique(meets).tolist():
+                        found[x].add(label)
             none = n_base == 0
             score[~none] = 1.0
             yield pa.RecordBatch.from_arrays(
@@ -155,14 +198,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base: every place where the words of a phrase of PHRASES stand one after another. The method adds the labels of all
-    templates of which some block has `percent` of the different words: a line or, for templates of LONG words and more, WINDOW
-    lines that follow each other, so that a notice is found however it is wrapped over them. Words are ordered by how often they stand
-    in the whole corpus (a first pass, of which one number per word of the templates comes to the driver). A block is only
-    looked at if it has a word of a template's prefix; then length and position bound what it can have, and what passes is
-    counted out. score is the best share of a template's words, 1 with a base place, 0 without any label.
+    templates of which some block has `percent` of the different words. Blocks are all runs of as many words as the template has and
+    (from five words on) a quarter more, however they are wrapped into lines; a shorter text is a block. Words are ordered by how often they stand in the
+    whole corpus (a first pass, of which one number per word of the templates comes to the driver). Only blocks with a word of a
+    template's prefix are looked at; length and position bound what they can have, and what passes is counted out. score is the best
+    share of a template's words, 1 with a base place, 0 without any label.
 
     The templates, a fixed list, go to every task; texts are never shuffled. Null text is empty: no words, labels "".
-    Rows that repeat an id are rows of their own. Other columns are ignored.
+    Rows that repeat an id, or have none, are rows of their own; an empty table gives none. Texts of any length are read in slices of
+    whole documents. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     scanner = _Scanner(TEMPLATES if templates is None else templates, PHRASES, percent)
@@ -175,7 +219,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
-_VALUES = ", ".join(f"('{label}', string_split('{text}', ' '))" for label, text in TEMPLATES)
+_VALUES = ", ".join(f"({i}, '{label}', string_split('{text}', ' '), {window(text)})" for i, (label, text) in enumerate(TEMPLATES))
 SQL = {
     "op2_license_scan": rf"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
@@ -188,13 +232,11 @@ b AS (
   UNION ALL SELECT doc_id, i, 'reserved' FROM f WHERE x = 'all' AND y = 'rights' AND z = 'reserved'
 ),
 g AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
-t AS (SELECT label, list_distinct(s) AS s FROM (VALUES {_VALUES}) AS v(label, s)),
-k AS (SELECT doc_id, string_split(text, chr(10)) AS k FROM d),
-q AS (SELECT doc_id, generate_subscripts(k, 1) AS i, unnest(k) AS line FROM k),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS one,
-    list_distinct(regexp_extract_all(string_agg(line, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS several FROM q),
-m AS (SELECT doc_id, label, share FROM (SELECT doc_id, label, len(t.s) AS n, len(list_intersect(CASE WHEN len(t.s) >= {LONG} THEN several ELSE one END, t.s)) AS n_met FROM l, t), LATERAL (SELECT n_met / n AS share) WHERE 100 * n_met >= {PERCENT} * n),
-a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION ALL SELECT doc_id, label FROM b) GROUP BY doc_id),
+t AS (SELECT t, label, len(list_distinct(s)) AS n, wide, list_distinct(s) AS s FROM (VALUES {_VALUES}) AS v(t, label, s, wide)),
+v AS (SELECT t, n, wide, unnest(s) AS x FROM t),
+e AS (SELECT doc_id, t, i, x, n, wide, count(*) OVER (PARTITION BY doc_id, t) AS c FROM p JOIN v USING (x)),
+m AS (SELECT doc_id, t, max(len(list_distinct(s)) / n) AS share FROM (SELECT doc_id, t, n, list(x) OVER (PARTITION BY doc_id, t ORDER BY i RANGE BETWEEN CURRENT ROW AND wide - 1 FOLLOWING) AS s FROM e WHERE 100 * c >= {PERCENT} * n) WHERE 100 * len(list_distinct(s)) >= {PERCENT} * n GROUP BY doc_id, t),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m JOIN t USING (t) UNION ALL SELECT doc_id, label FROM b) GROUP BY doc_id),
 s AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
 SELECT doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
   CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score

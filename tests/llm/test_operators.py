@@ -274,15 +274,27 @@ def test_license_scan(spark, odd):
 def test_license_join_equals_all_comparisons(spark):
     rng = random.Random(1)
     words = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()}) + ["x", "y"]
-    blocks = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(300)]
     for _, t in license_scan.TEMPLATES:
         w = t.split()
-        blocks += [" ".join(rng.sample(w, len(w) - k) + ["x"] * k) for k in range(4)]
-    df = spark.createDataFrame(list(enumerate(blocks)), "doc_id long, text string")
-    got = {r.doc_id: set(filter(None, r.labels.split(","))) - set(filter(None, r.base_labels.split(","))) for r in license_scan.license_scan(df).collect()}
-    for i, b in enumerate(blocks):
-        want = {label for label, t in license_scan.TEMPLATES if 100 * len(set(t.split()) & set(b.split())) >= 80 * len(set(t.split()))}
-        assert got[i] - want == set() and want - got[i] <= {"gpl"}
+        texts += [" ".join(rng.sample(w, max(len(w) - k, 0)) + ["x"] * k) for k in range(4)]
+        for k in range(12):  # other words, repeats and line ends between
+            out = [x for w_ in w for x in (w_, *rng.choices(["x", "the", "\n", rng.choice(w)], k=rng.randrange(2)))]
+            texts.append(" ".join(["y"] * rng.randrange(3) + [x for x in out if rng.random() > 0.02 * k]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: (set(filter(None, r.labels.split(","))) - set(filter(None, r.base_labels.split(","))), r) for r in license_scan.license_scan(df).collect()}
+    met = 0
+    for i, text in enumerate(texts):
+        w, want, best = text.split(), set(), 0
+        for label, t in license_scan.TEMPLATES:
+            all_, wide = set(t.split()), license_scan.window(t)
+            share = max(len(all_ & set(w[at : at + wide])) for at in range(max(len(w), 1)))
+            if 100 * share >= 80 * len(all_):
+                want, best = want | {label}, max(best, share / len(all_))
+        met += len(want)
+        assert got[i][0] - want == set() and want - got[i][0] <= {"gpl"}
+        assert got[i][1].score == (1 if got[i][1].n_base else best)
+    assert met > 300
 
 
 def test_packing(spark):

@@ -72,13 +72,20 @@ def test_each_license_line_of_documents(spark):
 
 
 def test_wrapped_notices(spark):
-    """The usual line breaks of notices; but short notices aren't put together from lines, nor any from two documents."""
+    """Any line breaks of notices; but none is put together from two documents."""
     want = {
         "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy": {"mpl-2.0"},
         "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided": {"bsd"},
         "x\n * Permission is hereby granted, free\n * of charge, to any person obtaining\n * a copy of this software": {"mit"},
-        "Permission is hereby granted, free\nof charge, to any\n\n\n person obtaining a\ncopy of this software": set(),
-        "under the\nmit license": set(),
+        "Permission is hereby granted, free\nof charge, to any\n\n\n person obtaining a\ncopy of this software": {"mit"},
+        "under the\nmit license": {"mit"},
+        "This Source Code Form\nis subject to the terms\nof the Mozilla Public\nLicense, v. 2.0.": {"mpl-2.0"},
+        "licensed under\nthe Apache License\nversion 2.0": {"apache-2.0"},
+        "Licensed under the Apache License (the \"License\"),\nVersion 2.0": {"apache-2.0"},
+        "// SPDX-License-Identifier: MIT": {"mit"},
+        "# SPDX-License-Identifier: BSD-3-Clause": {"bsd-3-clause"},
+        "MIT License\n\nCopyright (c) 2020": {"mit"},
+        "Mozilla Public License 2.0": {"mpl-2.0"},
         "this source code form is subject to the terms": set(),
         "of the mozilla public license v 2 0": set(),
     }

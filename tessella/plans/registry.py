@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _EXAMPLES: dict[str, tuple[Query, str | None]] = {}
-_MODULES = ("overlap", "corpus", "literature", "evidence", "usage", "synthesis", "moderators", "ledger_tables", "audits", "ledgers", "scalars", "inputs", "paged", "spans", "states", "controlled", "worked")
+_MODULES = ("overlap", "corpus", "literature", "evidence", "usage", "synthesis", "moderators", "ledger_tables", "audits", "ledgers", "scalars", "inputs", "paged", "spans", "states", "controlled", "manuscript", "worked")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

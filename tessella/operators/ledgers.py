@@ -191,6 +191,39 @@ def eligibility(records: DataFrame, rules: dict[str, str]) -> DataFrame:
     return records.select("record_id", F.explode(flags).alias("flag"))
 
 
+# Markers that only templates have; tools of appraisal, what stands in for an appraisal, and judgements (RUL03).
+LEAKS = ["[src:", "{{", "}}", "TODO", "TBD", "FIXME"]
+TOOLS = ["rob 2", "rob2", "robins-i", "robins-e", "rob-me", "quadas", "probast", "amstar", "robis", "syrcile"]
+STAND_INS = ["in concept", "conceptual", "not scored", "not assessed", "to be assessed", "no clinical prediction model", "to fully score", "n/a", "tbd", "pending", "not applicable"]
+JUDGEMENTS = ["low", "some concerns", "high", "unclear", "moderate", "serious", "critical"]
+
+
+def _contained(text: Column, terms: list[str]) -> Column:
+    return F.array_compact(F.array(*(F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in terms)))
+
+
+def template_leaks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, marker): each marker of a template that is left in a text, once (RUL03). Null text is empty."""
+    return docs.select(F.col(id_col).alias("id"), F.explode(_contained(F.coalesce(F.col(text_col), F.lit("")), LEAKS)).alias("marker"))
+
+
+def appraisal_issues(methods: DataFrame, rows: DataFrame) -> DataFrame:
+    """(review, source_id, issue, detail) of reviews whose methods (review, text) name a tool of appraisal (RUL03).
+
+    "no appraisal": the review has no row, detail the tools that it names; "placeholder": a row has words that stand in for an appraisal
+    (detail the first of STAND_INS); "no judgement": a row has none of JUDGEMENTS. All columns of the rows (review, source_id, ...) but
+    the review count. Rows without a source_id are rows; null cells are empty; reviews that name no tool have no issue, nor do rows
+    without a review.
+    """
+    named = methods.select("review", F.explode(_contained(F.lower(F.coalesce("text", F.lit(""))), TOOLS)).alias("tool")).groupBy("review").agg(F.array_join(F.array_sort(F.collect_set("tool")), ", ").alias("tools"))
+    blob = F.lower(F.concat_ws(" ", *(F.col(c).cast("string") for c in rows.columns if c != "review")))
+    told = rows.select("review", F.col("source_id").cast("string").alias("source_id"), F.get(_contained(blob, STAND_INS), F.lit(0)).alias("stand_in"), (F.size(_contained(blob, JUDGEMENTS)) > 0).alias("judged"))
+    wrong = told.where(F.col("stand_in").isNotNull() | ~F.col("judged")).join(named.select("review"), "review", "left_semi")
+    bad = wrong.select("review", "source_id", F.when(F.col("stand_in").isNotNull(), "placeholder").otherwise("no judgement").alias("issue"), F.coalesce("stand_in", F.lit("")).alias("detail"))
+    none = named.join(rows.select("review"), "review", "left_anti").select("review", F.lit(None).cast("string").alias("source_id"), F.lit("no appraisal").alias("issue"), F.col("tools").alias("detail"))
+    return bad.unionByName(none)
+
+
 def draft_audit(lines: DataFrame, sources: DataFrame) -> DataFrame:
     """(pos, token, issue) of a draft's lines (pos, text) with markers [src:ID]: unknown, unverified, excluded or retracted sources, and numbers without any marker (RUL04)."""
     markers = lines.select("pos", F.explode(F.regexp_extract_all("text", F.lit(r"\[src:([A-Za-z0-9]+)\]"))).alias("token"))

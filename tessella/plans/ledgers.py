@@ -173,6 +173,32 @@ def eligibility_flags(spark, sf_dir):
     return L.eligibility(p, {"red": "red", "economy": "ECONOMY"})
 
 
+_LEAKED = "coalesce(text, '') || CASE doc_id % 7 WHEN 0 THEN ' see [src:S1] and {{name}}' WHEN 1 THEN ' TODO: tea, todo' WHEN 2 THEN ' TBD by FIXME }' ELSE '' END"
+
+
+@query(f"WITH d AS (SELECT doc_id AS id, {_LEAKED} AS text FROM documents) SELECT id, unnest(list_filter({L.LEAKS}, lambda m: position(m IN text) > 0)) AS marker FROM d")
+def document_template_leaks(spark, sf_dir):
+    """RUL03: what is left of templates."""
+    k = F.col("doc_id") % 7
+    more = F.when(k == 0, " see [src:S1] and {{name}}").when(k == 1, " TODO: tea, todo").when(k == 2, " TBD by FIXME }").otherwise("")
+    return L.template_leaks(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), more).alias("text")))
+
+
+@query(f"""WITH m AS (SELECT o_orderkey AS review, CASE o_custkey % 4 WHEN 0 THEN 'We used RoB 2 and AMSTAR 2.' WHEN 1 THEN 'Judged by ROBINS-I' WHEN 2 THEN 'No tool.' END AS text FROM orders),
+t AS (SELECT review, list_sort(list_filter({L.TOOLS}, lambda x: contains(lower(text), x))) AS tools FROM m WHERE text IS NOT NULL), n AS (SELECT * FROM t WHERE len(tools) > 0),
+r AS (SELECT l_orderkey AS review, l_linenumber AS source_id, CASE l_suppkey % 5 WHEN 0 THEN 'Low' WHEN 1 THEN 'Not scored, in concept low' WHEN 2 THEN 'Some Concerns' WHEN 3 THEN 'good' END AS overall FROM lineitem WHERE l_linenumber > 1),
+b AS (SELECT review, source_id::VARCHAR AS source_id, list_filter({L.STAND_INS}, lambda x: contains(blob, x)) AS p, list_filter({L.JUDGEMENTS}, lambda x: contains(blob, x)) AS j FROM (SELECT review, source_id, lower(concat_ws(' ', source_id, overall)) AS blob FROM r))
+SELECT review, source_id, CASE WHEN len(p) > 0 THEN 'placeholder' ELSE 'no judgement' END AS issue, coalesce(p[1], '') AS detail FROM b WHERE (len(p) > 0 OR len(j) = 0) AND review IN (SELECT review FROM n)
+UNION ALL SELECT review, NULL, 'no appraisal', array_to_string(tools, ', ') FROM n WHERE review NOT IN (SELECT review FROM r)""")
+def order_appraisals(spark, sf_dir):
+    """RUL03: reviews are orders, appraisals their later lines."""
+    k, j = F.col("o_custkey") % 4, F.col("l_suppkey") % 5
+    methods = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("review"), F.when(k == 0, "We used RoB 2 and AMSTAR 2.").when(k == 1, "Judged by ROBINS-I").when(k == 2, "No tool.").alias("text"))
+    overall = F.when(j == 0, "Low").when(j == 1, "Not scored, in concept low").when(j == 2, "Some Concerns").when(j == 3, "good")
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("review"), F.col("l_linenumber").alias("source_id"), overall.alias("overall"))
+    return L.appraisal_issues(methods, rows)
+
+
 @example("SELECT * FROM (VALUES (1, 'S9', 'unknown'), (1, 'S2', 'retracted'), (2, 'S3', 'excluded'), (2, 'S4', 'unverified'), (3, '', 'number without a marker')) AS t(pos, token, issue)")
 def draft_audit(spark, sf_dir):
     """RUL04."""

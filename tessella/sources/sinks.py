@@ -12,6 +12,20 @@ def write_verdicts(verdicts: DataFrame, coverage: DataFrame, folder: str) -> Non
     coverage.write.mode("overwrite").json(f"{folder}/coverage")
 
 
+def write_findings(findings: DataFrame, gaps: DataFrame, folder: str, order: list[str]) -> None:
+    """findings.md (SNK01): a markdown table of the findings in the order of columns, and one of the input gaps, as text files to be read by name.
+
+    Each is written by Spark in ranges of the order, the first of which begins with the head; without rows the head alone is there.
+    """
+    for name, df, by in (("findings.md", findings, order), ("input_gaps.md", gaps, gaps.columns)):
+        cells = df.columns
+        head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(cells) + " |"), (1, "|" + " --- |" * len(cells))], "_rank int, value string")
+        keys = [f"_key_{i}" for i in range(len(by))]
+        body = df.select(F.lit(2).alias("_rank"), markdown_row(cells).alias("value"), *(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)))
+        rows = head.unionByName(body, allowMissingColumns=True)
+        rows.repartitionByRange("_rank", *keys).sortWithinPartitions("_rank", *keys).select("value").write.mode("overwrite").text(f"{folder}/{name}")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, quoted where needed (SNK02)."""
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -74,6 +74,36 @@ def read_corpus(spark: SparkSession, path: str, least: int = 5) -> tuple[DataFra
     return rows.where(enough), rows.where(~enough).select("path", F.lit("fewer words than needed").alias("reason"))
 
 
+#: Files that are read as text; all others are gaps by name.
+TEXT_FILES = r"(?i)\.(?:txt|text|md|markdown|html?)$"
+
+
+def scan_corpus(spark: SparkSession, path: str, least: int = 5) -> DataFrame:
+    """(path, text, reason): a row for every file below a folder (SRC07), either with its text or with the reason why it is a gap.
+
+    Text and HTML have white space folded and HTML its markup removed. Reasons: no_pdf_extractor, unsupported, not UTF-8, "fewer
+    words than needed", "empty or unreadable". A scan skips empty files and, here, what can't be opened; the names come from the listing,
+    which Spark's driver holds for every scan, and what has no row beside its name is a gap, so no file is lost. A file that the cluster
+    may not open by its permissions, and a folder that can't be listed, raise. An empty folder has no rows. A file is read whole, so one is
+    at most 2 GB. Paths are as `input_file_name` writes them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(path)
+    told = F.when(F.lower("path").endswith(".pdf"), "no_pdf_extractor").when(~F.col("path").rlike(TEXT_FILES), "unsupported")
+    names = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select("path", told.alias("told"))
+    raw = F.col("content").cast("string")
+    read = files.where(F.col("path").rlike(TEXT_FILES)).select(F.input_file_name().alias("path"), F.is_valid_utf8(raw).alias("valid"), F.make_valid_utf8(raw).alias("raw"))
+    text = F.trim(F.regexp_replace(F.when(F.col("path").rlike(r"(?i)\.html?$"), html_text(F.col("raw"))).otherwise(F.col("raw")), r"\s+", " "))
+    rows = read.select("path", "valid", text.alias("text"), F.lit(True).alias("opened"))
+    reason = (
+        F.when(F.col("told").isNotNull(), F.col("told"))
+        .when(F.col("opened").isNull(), "empty or unreadable")
+        .when(~F.col("valid"), "not UTF-8")
+        .when(F.regexp_count("text", F.lit(r"\S+")) < least, "fewer words than needed")
+    )
+    all_ = names.join(rows, "path", "left").withColumn("reason", reason)
+    return all_.select("path", F.when(F.col("reason").isNull(), F.col("text")).alias("text"), "reason")
+
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 

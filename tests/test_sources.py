@@ -43,6 +43,39 @@ def test_corpus_and_pdf(spark, tmp_path):
     assert [r.reason for r in texts.read_pdf_gaps(spark, str(tmp_path)).collect()] == ["no_pdf_extractor"]
 
 
+def test_scan_gives_a_row_for_every_file(spark, tmp_path):
+    deep = tmp_path / "a" / "b"
+    deep.mkdir(parents=True)
+    (deep / "a.txt").write_text("one two  three\nfour five")
+    (tmp_path / "b.HTML").write_text("<p>one two three four five</p>")
+    (tmp_path / "c.md").write_text("short")
+    (tmp_path / "d.txt").write_bytes(b"")
+    (tmp_path / "e.txt").write_bytes(b"one two three four \xff\xfe five")
+    (tmp_path / "f.pdf").write_bytes(b"%PDF-1.4")
+    (tmp_path / "g.zip").write_bytes(b"PK")
+    (tmp_path / "i j.txt").write_text("one two three four five")
+    (tmp_path / "h.txt").write_text("gone before it is read, but named")
+    rows = texts.scan_corpus(spark, str(tmp_path))
+    (tmp_path / "h.txt").unlink()
+    got = {r.path.rsplit("/", 1)[1].replace("%20", " "): (r.text, r.reason) for r in rows.collect()}
+    few = (None, "fewer words than needed")
+    assert got == {
+        "a.txt": ("one two three four five", None), "b.HTML": ("one two three four five", None), "c.md": few, "d.txt": (None, "empty or unreadable"), "e.txt": (None, "not UTF-8"),
+        "f.pdf": (None, "no_pdf_extractor"), "g.zip": (None, "unsupported"), "h.txt": (None, "empty or unreadable"), "i j.txt": ("one two three four five", None),
+    }
+    (tmp_path / "none").mkdir()
+    assert texts.scan_corpus(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_findings_in_order(spark, tmp_path):
+    found = spark.createDataFrame([(i, f"a|{i}", None) for i in range(40, 0, -1)], "id int, what string, value string")
+    gaps = spark.createDataFrame([], "path string, reason string")
+    sinks.write_findings(found, gaps, str(tmp_path), ["id"])
+    lines = lambda name: [x for f in sorted((tmp_path / name).glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines("findings.md") == ["| id | what | value |", "| --- | --- | --- |", *(f"| {i} | a\\|{i} |  |" for i in range(1, 41))]
+    assert lines("input_gaps.md") == ["| path | reason |", "| --- | --- |"]
+
+
 def test_csv_json_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "quoted", cell'), (2, "line\nend")], "id int, text string")
     sinks.write_csv(df, str(tmp_path / "c"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import documents, partitions, row_keys, shared_dir
+from tessella.llm.common import documents, file_order, partitions, row_keys, shared_dir
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.language_id import fit, identify
 from tessella.llm.minhash import minhash_dedup
@@ -46,14 +46,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources, each with its own share, in its order from file to file; all rows stay."""
+    """The mix of sources, each with its own share, in its order from file to file, which packing follows; all rows stay."""
     out = mix(docs)
     return out.repartitionByRange(partitions(spark), "mix_position").sortWithinPartitions("mix_position").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's pieces lie: doc_id, piece, bin_id, bin_offset, n_tokens."""
-    return pack(tokenized(docs))
+    """Where each document's pieces lie: doc_id, piece, bin_id, bin_offset, n_tokens, bin_place.
+
+    Bins are filled from stretches of the mix, that is, of the order of the rows in the files of docs (of a frame without files, of
+    its rows). Bins in ascending bin_place follow the mix.
+    """
+    placed = file_order(docs.select("doc_id", "text", "source"), "place")
+    return pack(tokenized(placed, order="place"), order="place")
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("packing", packed)]

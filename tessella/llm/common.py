@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,21 @@ def row_keys(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str =
     return out.withColumn(name, F.when(F.col("_odd_id").isNull() & F.col(id_col).isNotNull(), F.col(id_col).cast("long")).otherwise(hashed)).drop("_odd_id")
 
 
+def file_order(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column that orders the rows as they were written: by the numbers that Spark puts into the names of a table's files, then by the row within its file.
+
+    Files of other names come after those, by path. Parquet files tell the rows' numbers; any other frame, such as one that
+    was joined or made in memory, is in its own order. A frame that was only cut or sorted since it was read has its files' order.
+    """
+    try:
+        path, row = (docs.metadataColumn("_metadata")[x] for x in ("file_path", "row_index"))
+        number = lambda pattern: F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")).cast("long")
+        part = number(r"/part-([0-9]{1,18})-[^/]*$")
+        return docs.withColumn(name, F.struct(part.isNull().alias("other"), part.alias("part"), number(r"/part-[^/]*-c([0-9]{1,18})\.[^/]*$").alias("file"), path.alias("path"), row.alias("row")))
+    except AnalysisException:
+        return docs.withColumn(name, F.struct(F.monotonically_increasing_id().alias("row")))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole documents must fit a Python worker, so a batch ends at BATCH_BYTES or `rows`, whichever comes first; a longer document stands alone.
 

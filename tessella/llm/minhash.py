@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import LOWER, LOWER_BYTES, NOT_SPACE, discard, documents, gather, mixed, raw, shingles, slices, small_batches, stored, word_hashes, words
-from tessella.llm.graph import components
+from tessella.llm.graph import components, merged
 
 #: Coordinates of a signature, hash functions whose least values make up one coordinate, and how many coordinates must be
 #: equal for a pair to be looked at. At similarity 0.8 a coordinate is equal with probability 0.512; fewer than 8 of 48
@@ -80,6 +80,8 @@ def _full_set(text: str, k: int) -> set:
 
 
 def _confirm(k: int, percent: int):
+    """For rows (a, b, their texts, ...): those whose similarity is high enough, without the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, set()
         for batch in batches:
@@ -92,7 +94,7 @@ def _confirm(k: int, percent: int):
                 both = len(kept & other)
                 good.append(100 * both >= percent * (len(kept) + len(other) - both))
             mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in (a, b, *batch.columns[4:])], names=["a", "b", *batch.schema.names[4:]])
 
     return run
 
@@ -116,14 +118,11 @@ def _counted(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("equal", _equal_coordinates("xa", "xb")).drop("xa", "xb")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of counted pairs of class representatives those with MATCHES equal coordinates and then a high enough similarity."""
-    near = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("equal") >= MATCHES))
-    near = stored(near.select("a", "b").distinct())
+def _confirmed(near: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of class representatives, with columns of longs besides, those with a high enough similarity."""
+    more = [c for c in near.columns if c not in ("a", "b")]
     both = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    out = stored(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent), "a long, b long"))
-    discard(near)
-    return out
+    return stored(both.select("a", "b", "ta", "tb", *more).mapInArrow(_confirm(k, percent), ", ".join(f"{c} long" for c in ("a", "b", *more))))
 
 
 def _residuals(k: int):
@@ -237,14 +236,17 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = table(lists.join(pivots, "token").select("token", "p", F.col("doc_id").alias("x")))
     star = lists.where("x <> p").select(F.col("x").alias("a"), F.col("p").alias("b")).distinct()
     star = table(_counted(star, reps))
-    links = _confirmed(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb", "equal"), texts, shingle_words, percent)
+    likely = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("equal") >= MATCHES)
+    # of two documents always the same one, of the greater centre, is the pivot, so no pair comes both ways
+    near = table(star.where(likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    links = _confirmed(near, texts, shingle_words, percent)
     labels = components(links)
 
     def labelled(df: DataFrame, key: str, name: str) -> DataFrame:
         return df.join(labels.select(F.col("id").alias(key), F.col("label").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
-    near = F.col("equal") >= NEAR
-    around = labelled(labelled(star.where(near).select(F.col("a").alias("x"), F.col("b").alias("p"), F.col("na").alias("n"), F.col("nb").alias("np")), "x", "lx"), "p", "lp")
+    resembling = F.col("equal") >= NEAR
+    around = labelled(labelled(star.where(resembling).select(F.col("a").alias("x"), F.col("b").alias("p"), F.col("na").alias("n"), F.col("nb").alias("np")), "x", "lx"), "p", "lp")
     open_pivots = around.where("lx <> lp").select("p").distinct()
     around = table(around.join(open_pivots, "p", "left_semi"))
     with_texts = around.select("p", "x").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("doc_id").alias("p"), F.col("text").alias("tp")), "p")
@@ -256,23 +258,24 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     often = outside.groupBy("p", "h").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("any")).where("n > 1 AND any").drop("any")
     ranked = outside.join(often, ["p", "h"]).groupBy("p", "x", "lx", "k", "apart").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("order"))
     prefix = table(ranked.where(F.size("order") >= F.col("k")).select("p", "x", "lx", "apart", F.explode(F.slice("order", F.lit(1), (F.size("order") - F.col("k") + 1).cast("int"))).alias("t")).select("p", F.col("t.h").alias("h"), "x", "lx", "apart"))
-    sharing = prefix.where("apart").select("p", "h", "x", "lx").join(prefix.select("p", "h", F.col("x").alias("y"), F.col("lx").alias("ly"), F.col("apart").alias("both")), ["p", "h"]).where(differing & (~F.col("both") | (F.col("x") < F.col("y")))).select("x", "y")
+    sharing = prefix.where("apart").select("p", "h", "x", "lx").join(prefix.select("p", "h", F.col("x").alias("y"), F.col("lx").alias("ly"), F.col("apart").alias("both")), ["p", "h"]).where(differing & (~F.col("both") | (F.col("x") < F.col("y")))).select("x", "y", "lx", "ly")
     # without any in common outside the pivot
     x, y = around.where("lx <> lp").select("p", "x", "n", "np", "lx", "met"), around.select("p", F.col("x").alias("y"), F.col("n").alias("m"), F.col("lx").alias("ly"), F.col("met").alias("met_y"))
     enough = F.least("met", "met_y") * (100 + percent) >= percent * (F.col("n") + F.col("m"))
-    small = x.where(100 * F.col("met") >= percent * F.col("n")).join(y.where(100 * F.col("met_y") >= percent * F.col("m")), "p").where(differing & (F.col("m") < F.col("np")) & enough).select("x", "y")
+    small = x.where(100 * F.col("met") >= percent * F.col("n")).join(y.where(100 * F.col("met_y") >= percent * F.col("m")), "p").where(differing & (F.col("m") < F.col("np")) & enough).select("x", "y", "lx", "ly")
 
-    far = star.where(~near).select(F.col("a").alias("x"), F.col("b").alias("p"))
+    far = star.where(~resembling).select(F.col("a").alias("x"), F.col("b").alias("p"))
     apart = lists.join(far, ["x", "p"], "left_semi").select("token").distinct()
     apart = table(labelled(lists.join(apart, "token"), "x", "lx"))
     hopeless = _hopeless(apart.select(F.col("x").alias("doc_id")).distinct(), reps, texts, shingle_words, percent)
     apart = table(apart.join(hopeless.withColumnRenamed("doc_id", "x"), "x", "left_anti"))
     lone = apart.join(far, ["x", "p"], "left_semi").select("token", "x", "lx", "p")
-    direct = lone.join(apart.select("token", F.col("x").alias("y"), F.col("lx").alias("ly")), "token").where(differing & (F.col("y") != F.col("p"))).select("x", "y")
+    direct = lone.join(apart.select("token", F.col("x").alias("y"), F.col("lx").alias("ly")), "token").where(differing & (F.col("y") != F.col("p"))).select("x", "y", "lx", "ly")
 
-    pairs = sharing.unionByName(small).unionByName(direct).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _confirmed(_counted(pairs, reps), texts, shingle_words, percent)
-    reached = components(links.unionByName(more))
+    pairs = sharing.unionByName(small).unionByName(direct).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("lx", "ly").alias("la"), F.greatest("lx", "ly").alias("lb")).distinct()
+    near = table(_counted(pairs, reps).where(likely).select("a", "b", "la", "lb"))
+    more = _confirmed(near, texts, shingle_words, percent)
+    reached = merged(labels, components(more, "la", "lb"))
     for df in (*tables, links, more):
         discard(df)
 

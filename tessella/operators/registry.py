@@ -220,21 +220,31 @@ def match_files(files: DataFrame, sources: DataFrame, claimed: DataFrame | None
 def find_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """(name, file): for each name wanted (name) a file (file): the same base name, else the same stem, else one stem within the other (JOIN12).
 
-    For the last a stem is posted under the rarest run of three characters that it has, and met by the others' runs; stems of fewer
-    than three characters are a run of their own.
+    For the last a stem is posted under one of its runs of half its length or more, whose number of characters is a power of two: the
+    one that the others have least often; and met by the others' runs of as many. Of equal stems one is searched for, with the first file.
+    Spark takes runs for as few as names, so it would broadcast them by its size check: the joins are told to merge.
     """
     base = lambda x: F.lower(F.regexp_extract(x, r"([^/\\]*)$", 1))
     stem = lambda x: F.regexp_replace(base(x), r"\.[a-z0-9]+$", "")
-    runs = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substring(x, i, F.lit(3))))
-    a, b = wanted.select("name", base(F.col("name")).alias("base"), stem(F.col("name")).alias("stem")), files.select("file", base(F.col("file")).alias("b"), stem(F.col("file")).alias("s"))
-    same = a.join(b, a.base == b.b).select("name", "file", F.lit(0).alias("order"))
-    stems = a.join(b, a.stem == b.s).select("name", "file", F.lit(1).alias("order"))
-    left, right = a.where("stem <> ''").select("name", "stem", F.explode(runs(F.col("stem"))).alias("t")), b.where("s <> ''").select("file", "s", F.explode(runs(F.col("s"))).alias("t"))
-    often = left.select("t").unionByName(right.select("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    rarest = lambda df, *by: df.join(often, "t").groupBy(*by).agg(F.min_by("t", F.struct("n", "t")).alias("t"))
-    within = left.join(rarest(right, "file", "s"), "t").where(F.contains("stem", F.col("s"))).unionByName(rarest(left, "name", "stem").join(right, "t").where(F.contains("s", F.col("stem"))).select("t", "name", "stem", "file", "s"))
-    inside = within.select("name", "file", F.lit(2).alias("order")).distinct()
-    return same.unionByName(stems).unionByName(inside).groupBy("name").agg(F.min_by("file", F.struct("order", "file")).alias("file"))
+    a, b = wanted.select("name", base(F.col("name")).alias("base"), stem(F.col("name")).alias("stem")), files.select("file", base(F.col("file")).alias("base"), stem(F.col("file")).alias("stem"))
+    found = lambda by, place: a.join(b.groupBy(by).agg(F.min("file").alias("file")).hint("merge"), by).select("name", "file", F.lit(place).alias("order"))
+    stems, held = a.where("stem <> ''").select("stem").distinct(), b.where("stem <> ''").groupBy("stem").agg(F.min("file").alias("file"))
+    power = F.length(F.bin(F.length("stem"))) - 1
+    two = lambda k: F.pow(F.lit(2.0), k).cast("int")
+    run = lambda k: F.transform(F.sequence(F.lit(1), F.length("stem") - two(k) + 1), lambda i: F.substring("stem", i, two(k)))
+
+    def within(long: DataFrame, short: DataFrame) -> DataFrame:
+        """(short, long): stems within longer ones, or equal ones."""
+        powers = short.agg(F.array_sort(F.collect_set(power)).alias("powers"))  # as many as the longest name's length has binary digits
+        runs = long.crossJoin(F.broadcast(powers)).select("stem", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("powers", lambda k: k <= power), run)))).alias("t"))
+        own = short.select(F.col("stem"), F.explode(F.array_distinct(run(power))).alias("t")).join(runs.groupBy("t").agg(F.count(F.lit(1)).alias("n")).hint("merge"), "t")
+        rarest = own.groupBy(F.col("stem").alias("short")).agg(F.min_by("t", F.struct("n", "t")).alias("t"))
+        return runs.join(rarest.hint("merge"), "t").where(F.contains("stem", F.col("short"))).select("short", F.col("stem").alias("long"))
+
+    met = within(stems, held.select("stem")).select(F.col("long").alias("mine"), F.col("short").alias("stem")).unionByName(within(held.select("stem"), stems).select(F.col("short").alias("mine"), F.col("long").alias("stem")))
+    inside = met.join(held.hint("merge"), "stem").groupBy(F.col("mine").alias("stem")).agg(F.min("file").alias("file"))
+    inside = a.join(inside.hint("merge"), "stem").select("name", "file", F.lit(2).alias("order"))
+    return found("base", 0).unionByName(found("stem", 1)).unionByName(inside).groupBy("name").agg(F.min_by("file", F.struct("order", "file")).alias("file"))
 
 
 def bibliography_status(entries: DataFrame, records: DataFrame) -> DataFrame:

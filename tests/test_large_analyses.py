@@ -58,3 +58,36 @@ def test_fragility_of_many_studies(spark):
     got = M.fragility(rows, ["g"], "study").first()
     assert got.refits == 60_000 and got.flips == 0 and 0.09 < got.least < got.most < 0.11
     assert time.perf_counter() - began < 60
+
+
+def test_cr2_of_large_clusters(spark):
+    """Against the inverse roots of whole matrices."""
+    rng = np.random.default_rng(7)
+    sizes = [700, 300, 1, 2, 40]
+    c = np.repeat(np.arange(5), sizes)
+    y, s = rng.normal(0.3, 0.4, len(c)), 10 ** rng.uniform(-2, 1, len(c))
+    got = M.cluster_cr2(spark.createDataFrame([("a", int(i), float(a), float(b)) for i, a, b in zip(c, y, s, strict=True)], "g string, c long, yi double, sei double"), ["g"], "c").first()
+    v, w = s**2, s**-2
+    mean = w @ y / w.sum()
+    phi = v + max(0.0, (w @ (y - mean) ** 2 - len(y) + 1) / (w.sum() - w @ w / w.sum()))
+    m, mean = 1 / (1 / phi).sum(), (y / phi).sum() / (1 / phi).sum()
+    ee, gs = 0.0, []
+    for j in range(5):
+        at = np.flatnonzero(c == j)
+        root = np.sqrt(phi[at])
+        values, vectors = np.linalg.eigh(np.diag(phi[at] ** 2) - m * np.outer(root, root))
+        weight = m * (vectors @ ((vectors.T @ (1 / root)) / np.sqrt(values))) * root
+        ee += (weight @ (y[at] - mean)) ** 2
+        whole = -weight.sum() * m / phi
+        whole[at] += weight
+        gs.append(whole)
+    omega = (np.array(gs) * phi) @ np.array(gs).T
+    assert (got.estimate, got.se, got.df, got.clusters, got.caution) == (pytest.approx(mean, abs=1e-9), pytest.approx(np.sqrt(ee), rel=1e-8), pytest.approx(np.trace(omega) ** 2 / (omega**2).sum(), rel=1e-6), 5, True)
+
+
+def test_cr2_of_a_cluster_of_many_rows(spark):
+    began = time.perf_counter()
+    rows = spark.range(40_000).select(F.lit("a").alias("g"), (F.col("id") % 2).alias("c"), (F.rand(3) - 0.4).alias("yi"), (F.rand(4) / 4 + 0.05).alias("sei"))
+    got = M.cluster_cr2(rows, ["g"], "c").first()
+    assert got.clusters == 2 and 0.09 < got.estimate < 0.11 and 0 < got.se < 0.1
+    assert time.perf_counter() - began < 60

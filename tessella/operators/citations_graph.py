@@ -36,19 +36,21 @@ def walk(edges: DataFrame, citations: DataFrame, seeds: DataFrame, steps: int =
     """(walk, step, id, move): bounded walks from many seeds (walk, id) at once (GRA01).
 
     At each step a walk goes to the most cited neighbour (edges src, dst; citations id, n) that it hasn't visited; without one, or
-    at the depth limit, back a step; at the seed it ends. move is seed, forward or back. A step of all walks is one join of their
-    places with the edges and one aggregate by walk; places, stacks and what was visited are a table in the shared folder. A
-    walk's own state has as many ids as it takes steps.
+    at the depth limit, back a step; at the seed it ends. move is seed, forward or back. A walk has visited no more ids than it has
+    taken steps, and its seed, so of each record's neighbours as many, and one more, in order, are all that it can come to: they are ranked
+    once and stored. A step of all walks is one join of their places with these; places, stacks and what was visited are a table in the
+    shared folder. A walk's own state has as many ids as it takes steps.
     """
     first = seeds.select("walk", F.col("id").alias("here"), F.array("id").alias("stack"), F.array("id").alias("seen"), F.lit("seed").alias("move"), F.lit(0).alias("step"))
     state = stored(first)
     out = [state.select("walk", "step", F.col("here").alias("id"), "move")]
-    ranked = edges.select("src", "dst").distinct().join(citations.select(F.col("id").alias("dst"), "n"), "dst", "left").select(F.col("src").alias("here"), F.col("dst").alias("to"), F.coalesce("n", F.lit(0)).alias("n"))
+    known = edges.where("dst IS NOT NULL").select("src", "dst").distinct().join(citations.select(F.col("id").alias("dst"), "n"), "dst", "left").select(F.col("src").alias("here"), F.col("dst").alias("to"), F.coalesce("n", F.lit(0)).alias("n"))
+    ranked = known.withColumn("k", F.row_number().over(W.partitionBy("here").orderBy(F.desc("n"), "to"))).where(F.col("k") <= steps + 1)
+    ranked = stored(ranked.groupBy("here").agg(F.sort_array(F.collect_list(F.struct("k", "to")))["to"].alias("found")))
     for step in range(1, steps + 1):
         free = F.lit(True) if depth_limit is None else F.size("stack") <= depth_limit
-        fresh = state.where(free).join(ranked, "here").where(~F.array_contains("seen", F.col("to")))
-        best = fresh.groupBy("walk").agg(F.max_by("to", F.struct("n", -F.col("to"))).alias("to"))
-        both = state.join(best, "walk", "left")
+        to = F.when(free, F.try_element_at(F.filter("found", lambda x: ~F.array_contains("seen", x)), F.lit(1)))
+        both = state.join(ranked, "here", "left").withColumn("to", to)
         forward, back = F.col("to").isNotNull(), F.slice("stack", F.lit(1), F.greatest(F.size("stack") - 1, F.lit(0)))
         stack = F.when(forward, F.concat("stack", F.array("to"))).otherwise(back)
         new = both.select("walk", stack.alias("stack"), F.when(forward, F.concat("seen", F.array("to"))).otherwise(F.col("seen")).alias("seen"), F.when(forward, "forward").otherwise("back").alias("move"), F.lit(step).alias("step"))

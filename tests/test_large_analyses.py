@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.operators import citations_graph as G
 from tessella.operators import moderators as M
 
 
@@ -91,3 +92,17 @@ def test_cr2_of_a_cluster_of_many_rows(spark):
     got = M.cluster_cr2(rows, ["g"], "c").first()
     assert got.clusters == 2 and 0.09 < got.estimate < 0.11 and 0 < got.se < 0.1
     assert time.perf_counter() - began < 60
+
+
+def test_walks_from_a_hub(spark):
+    """Walks that all stand at a record of many neighbours, whose ids are texts."""
+    began = time.perf_counter()
+    n = 30_000
+    edges = spark.range(n).select(F.lit("hub").alias("src"), F.concat(F.lit("x"), F.format_string("%05d", "id")).alias("dst"))
+    edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    cited = spark.range(n).select(F.concat(F.lit("x"), F.format_string("%05d", "id")).alias("id"), (F.col("id") % 100).alias("n"))
+    seeds = spark.range(20_000).select(F.col("id").alias("walk"), F.lit("hub").alias("id"))
+    got = G.walk(edges, cited, seeds, 6)
+    kinds = {r.step: (r.id, r.move, r.n) for r in got.groupBy("step", "id", "move").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert kinds == {0: ("hub", "seed", 20_000)} | {k: (f"x{(k + 1) // 2 * 100 - 1:05d}", "forward", 20_000) if k % 2 else ("hub", "back", 20_000) for k in range(1, 7)}
+    assert time.perf_counter() - began < 60

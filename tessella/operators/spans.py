@@ -7,7 +7,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -121,6 +121,71 @@ def quantity_spans(texts: DataFrame, keys: list[str], text_col: str = "text") ->
     return rows.mapInArrow(run, schema)
 
 
+_NAMED = re.compile(r"(?:9[059](?<![0-9]..)|(?:1[6-9]|20)[0-9]{2}(?<![0-9]....))(?![0-9])")
+_DIGITS = str.maketrans("123456789", "333333333")
+#: Texts of one shape whose places are kept by a worker.
+SHAPES = 1 << 14
+
+
+def shape_of(text: str) -> str:
+    """The text with 3 for each digit from the first one of a number on that isn't 0, but 2000 for each number that can be a year and 95 for each that can be an interval's level.
+
+    All that the patterns and owned_quantities ask of digits is where they stand, whether a number is one of those that KINDS name, and whether a value
+    reaches 1000, that is, how many digits it has without its leading zeros. So texts of one shape have the same quantities at the same places.
+    """
+    out = text.translate(_DIGITS)
+    while "30" in out:
+        out = out.replace("30", "33")
+    for m in _NAMED.finditer(text):
+        start, end = m.span()
+        out = f"{out[:start]}{'95' if end - start == 2 else '2000'}{out[end:]}"
+    return out
+
+
+def quantity_notes(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, n, q): how many numeric statements the texts of each key have, and these as kind:raw@start, in order of start, joined by | (SCA05).
+
+    As quantity_spans, in one line for a key: rows are dealt and sorted by key before their texts are made. Texts that are written alike
+    are searched once in a worker: the places are those of their shape. Null texts have none; a key without any is left out.
+    """
+    dealt = rows.repartition(key).sortWithinPartitions(key).select(key, text.alias("_text")).where(F.col("_text").rlike("[0-9]"))
+    kind = dict(dealt.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[tuple[str, int, int, str]]] = {}
+        last, found, several = None, [], False
+
+        def line() -> tuple:
+            return last, len(found), "|".join([x for _, x in (sorted(found) if several else found)])
+
+        def made(out: list[tuple], like: pa.DataType) -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (like, pa.int64(), pa.string()), strict=True)], names=[key, "n", "q"])
+
+        for batch in batches:
+            out = []
+            for own, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shape = shape_of(x)
+                places = known.get(shape)
+                if places is None:
+                    if len(known) >= SHAPES:
+                        known.clear()
+                    places = known[shape] = [(f"{r[0]}:", r[2], r[3], f"@{r[2]}") for r in owned_quantities(shape)]
+                told = [(start, f"{name}{x[start:end]}{place}") for name, start, end, place in places]
+                if found and own == last:
+                    found, several = found + told, True
+                    continue
+                if found:
+                    out.append(line())
+                last, found, several = own, told, False
+            like = batch.schema.field(0).type
+            yield made(out, like)
+        if found:
+            yield made([line()], like)
+
+    return dealt.mapInArrow(run, f"`{key}` {kind}, n long, q string")
+
+
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: int = 1024) -> DataFrame:
     """Rows of left and right, (keys, start, end, ...) each, whose half-open spans share a position, with their common span (from, to) (SRC20).
 

@@ -64,9 +64,8 @@ _TEXT = " || ".join(f"'{x}'" if i % 2 == 0 else f"(floor({x})::BIGINT)" for i, x
 def line_quantities(spark, sf_dir):
     """SCA05: every kind in a sentence written from each line's own numbers."""
     text = F.concat(*(F.lit(x) if i % 2 == 0 else F.floor(F.expr(x)).cast("string") for i, x in enumerate(_SENTENCE)))
-    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), text.alias("text"))
-    found = F.sort_array(F.collect_list(F.struct("start", F.concat("kind", F.lit(":"), "raw", F.lit("@"), F.col("start").cast("string")).alias("q"))))
-    return S.quantity_spans(lines, ["line_id"]).groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(found["q"], "|").alias("q"))
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return S.quantity_notes(lines, "line_id", text)
 
 
 @query(_sql("documents", "doc_id", "text", """, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
